@@ -90,9 +90,6 @@ def exact_quantiles(
     Equal values collapse to counts first, ranks come from running sums over value slices, so no
     task ever holds all values of a hot key.  Nulls are ignored, as in an aggregate.
     """
-    keys = list(keys)
-    if not keys:
-        keys, df = ["_all"], df.withColumn("_all", F.lit(0))
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
@@ -129,9 +126,17 @@ def exact_quantiles(
         (F.col(f"_{n}_lo") + (F.col(f"_{n}_hi") - F.col(f"_{n}_lo")) * F.col(f"_{n}_f")).alias(n)
         for n in probabilities
     ]
-    return picked.select(*[k for k in keys if k != "_all"], *result)
+    return picked.select(*keys, *result)
 
 
-def join_statistics(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Join two per-key aggregates whose keys may be null."""
-    return _null_safe_join(left, right, keys, "left") if keys else left.crossJoin(right)
+def with_quantiles(
+    aggregated: DataFrame, df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float]
+) -> DataFrame:
+    """``aggregated`` (one row per key, keys may be null) with exact quantile columns added.
+
+    Without keys both sides are one row, joined on a constant.
+    """
+    if keys:
+        return _null_safe_join(aggregated, exact_quantiles(df, keys, value, probabilities), keys, "left")
+    quantiles = exact_quantiles(df.withColumn("_all", F.lit(0)), ["_all"], value, probabilities)
+    return aggregated.withColumn("_all", F.lit(0)).join(quantiles, "_all", "left").drop("_all")

@@ -210,12 +210,14 @@ def _(t):
 
 @query(
     "source_errors",
-    "SELECT 'b9' AS source, 's3' AS source_type, count(*) AS rows_of_the_others FROM objects WHERE bucket IN ('b0', 'b1')",
+    """SELECT bucket AS source, count(*) AS found, false AS failed FROM objects WHERE bucket IN ('b0', 'b1') GROUP BY bucket
+       UNION ALL SELECT 'b9', NULL, true""",
 )
 def _(t):
     rows, errors, _partial = _union(t)
-    counted = rows.agg(F.count(F.lit(1)).alias("rows_of_the_others"))
-    return errors.select("source", "source_type").crossJoin(counted)
+    found = rows.groupBy("source").agg(F.count(F.lit(1)).alias("found")).withColumn("failed", F.lit(False))
+    failed = errors.select("source", F.lit(None).cast("bigint").alias("found"), F.lit(True).alias("failed"))
+    return found.unionByName(failed)
 
 
 @query(
