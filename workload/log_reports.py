@@ -402,7 +402,7 @@ def _(t):
 
 
 def _series_sql(seconds: int) -> str:
-    return f"""SELECT event_type AS metric, CAST(epoch(ts) // {seconds} AS BIGINT) * {seconds} AS period, count(*) AS samples,
+    return f"""SELECT event_type AS metric, CAST(floor(epoch(ts) / {seconds}) AS BIGINT) * {seconds} AS period, count(*) AS samples,
          round(sum(value), 4) AS sum_value, round(avg(value), 4) AS avg_value, max(value) AS max_value, min(value) AS min_value,
          round(quantile_cont(value, 0.99), 4) AS p99_value
        FROM events GROUP BY 1, 2"""
@@ -425,7 +425,7 @@ def _(t):
 
 @query(
     "alarm_error_sum",
-    """SELECT CAST(epoch(ts) // 900 AS BIGINT) * 900 AS period, 'error' AS metric, round(sum(value), 4) AS statistic
+    """SELECT CAST(floor(epoch(ts) / 900) AS BIGINT) * 900 AS period, 'error' AS metric, round(sum(value), 4) AS statistic
        FROM events WHERE event_type = 'error' GROUP BY 1 HAVING sum(value) > 1""",
 )
 def _(t):
@@ -437,7 +437,7 @@ def _(t):
     "alarm_duration_consecutive",
     """SELECT period, 'click' AS metric, round(statistic, 4) AS statistic FROM (
          SELECT *, lag(period) OVER (ORDER BY period) AS before FROM (
-           SELECT CAST(epoch(ts) // 300 AS BIGINT) * 300 AS period, avg(value) AS statistic FROM events WHERE event_type = 'click' GROUP BY 1
+           SELECT CAST(floor(epoch(ts) / 300) AS BIGINT) * 300 AS period, avg(value) AS statistic FROM events WHERE event_type = 'click' GROUP BY 1
            HAVING avg(value) > 5)) WHERE before = period - 300""",
 )
 def _(t):
