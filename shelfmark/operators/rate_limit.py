@@ -10,6 +10,8 @@ from shelfmark.operators.ranking import sliced_row_number
 
 # Requests per window and window length in minutes.
 TIERS = {"public": (50, 60), "registered": (100, 60), "paid": (3000, 1440), "private": (6000, 1440)}
+#: What requests are counted by.
+WINDOW_KEYS = ["client", "reset_ms", "window_minutes"]
 #: How long a closed window's state is kept.
 STATE_GRACE_MS = 5 * MINUTE_MS
 #: One client's window is split into this many time slices when its requests are numbered.
@@ -40,10 +42,13 @@ def with_windows(
 
 
 def numbered_in_window(windowed: DataFrame) -> DataFrame:
-    """Adds ``nth``: the position of a request among those of its client and window."""
+    """Adds ``nth``: the position of a request among those of its client and window.
+
+    Windows of different length are different windows, also when they end together.
+    """
     slice_ms = F.greatest(F.col("window_minutes") * F.lit(MINUTE_MS) / SLICES_PER_WINDOW, F.lit(1.0))
     time_slice = F.floor(F.unix_millis(F.col("ts")) / slice_ms)
-    return sliced_row_number(windowed, ["client", "reset_ms"], time_slice, ["ts", "request_id"], "nth")
+    return sliced_row_number(windowed, WINDOW_KEYS, time_slice, ["ts", "request_id"], "nth")
 
 
 def verdicts(numbered: DataFrame) -> DataFrame:

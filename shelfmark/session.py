@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import SparkSession
 
 #: Runtime settings; all of them can be changed on a live session.
@@ -22,3 +25,18 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in RUNTIME_SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def work_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder for intermediate tables and stream checkpoints.
+
+    It lies below ``spark.checkpoint.dir``, which every executor can reach.  Only where a session has
+    none (a single-machine test) is a temporary folder set as that directory.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder shared by all executors")
+        base = tempfile.mkdtemp(prefix="shelfmark-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"

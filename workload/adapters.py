@@ -317,7 +317,7 @@ def requests(t: Tables) -> DataFrame:
 cte(
     "requests",
     """
-    SELECT event_id AS request_id, ts, epoch_ms(ts) AS ms,
+    SELECT event_id AS request_id, ts, epoch_us(ts) // 1000 AS ms,
            CASE WHEN user_id % 5 <> 0
                 THEN ' 10.0.' || (user_id // 256) || '.' || (user_id % 256) || ' , 172.16.0.1' END AS forwarded_for,
            CASE WHEN user_id % 10 <> 0 THEN '10.0.' || (user_id // 256) || '.' || (user_id % 256) END AS source_ip,
