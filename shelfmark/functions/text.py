@@ -56,7 +56,7 @@ def slugify(heading: Column) -> Column:
 
 
 def _tokens(text: Column, keep: str, separators: str) -> Column:
-    cleaned = F.regexp_replace(F.lower(text), rf"[^{keep}{WS}]", " ")
+    cleaned = F.regexp_replace(F.lower(text), rf"[^{keep}{WS}-]", " ")
     return F.split(cleaned, rf"[{separators}{WS}]+")
 
 
@@ -66,19 +66,19 @@ def keywords(text: Column) -> Column:
     ``array_except`` both removes the stop words and one-character tokens and keeps the
     first occurrence of the rest, without an interpreted lambda.
     """
-    return F.array_except(_tokens(text, "a-z0-9-", ""), literal_array(STOP_WORDS + _ONE_CHARACTER_TOKENS))
+    return F.array_except(_tokens(text, "a-z0-9", ""), literal_array(STOP_WORDS + _ONE_CHARACTER_TOKENS))
 
 
 def python_keywords(text: Column) -> Column:
     """As :func:`keywords`, also splitting on underscores and with more stop words."""
     return F.array_except(
-        _tokens(text, "a-z0-9_-", "_"), literal_array(PYTHON_STOP_WORDS + _ONE_CHARACTER_TOKENS)
+        _tokens(text, "a-z0-9_", "_"), literal_array(PYTHON_STOP_WORDS + _ONE_CHARACTER_TOKENS)
     )
 
 
 def query_keywords(text: Column) -> Column:
     """Distinct search terms: at least three characters and a shorter stop list."""
-    words = F.array_except(_tokens(F.coalesce(text, F.lit("")), "a-z0-9-", ""), literal_array(QUERY_STOP_WORDS))
+    words = F.array_except(_tokens(F.coalesce(text, F.lit("")), "a-z0-9", ""), literal_array(QUERY_STOP_WORDS))
     return F.filter(words, lambda w: F.length(w) > 2)
 
 

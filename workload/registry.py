@@ -17,6 +17,7 @@ _CTES: dict[str, str] = {}
 MODULES = [
     "adapters",
     "corpus",
+    "code_files",
     "functions",
     "catalog",
     "log_reports",
