@@ -29,7 +29,13 @@ def sql_keywords(text: str, minimum: int = 2, stop=STOP, keep: str = "a-z0-9", s
     """DuckDB expression for the ordered distinct keywords of ``text``."""
     tokens = rf"string_split_regex(regexp_replace(lower({text}), '[^{keep}\s-]', ' ', 'g'), '[{sep}\s]+')"
     kept = f"list_filter({tokens}, lambda w: length(w) >= {minimum} AND NOT list_contains({sql_list(stop)}, w))"
-    return f"list_filter({kept}, lambda w, i: list_position({kept}, w) = i)"
+    return sql_ordered_distinct(kept)
+
+
+def sql_ordered_distinct(items: str) -> str:
+    """DuckDB expression for the distinct items of a list in order of first occurrence."""
+    numbered = f"SELECT unnest({items}) AS w, generate_subscripts({items}, 1) AS i"
+    return f"coalesce((SELECT list(w ORDER BY i) FROM (SELECT w, min(i) AS i FROM ({numbered}) GROUP BY w)), [])"
 
 
 def sql_slug(text: str) -> str:
