@@ -86,9 +86,9 @@ def _(t):
     f"""SELECT page_id, CASE WHEN strpos(crumbed, '</body>') > 0
                  THEN substring(crumbed, 1, strpos(crumbed, '</body>') - 1) || '{FS.FOOTER.replace("'", "''").replace(chr(10), "' || chr(10) || '")}'
                       || substring(crumbed, strpos(crumbed, '</body>')) ELSE crumbed END AS html
-        FROM (SELECT l.page_id, CASE WHEN at > 0 THEN substring(html, 1, at + strpos(substring(html, at), '>') - 1) || trail
-                       || substring(html, at + strpos(substring(html, at), '>')) ELSE html END AS crumbed
-              FROM (SELECT *, strpos(lower(html), '<body') AS at FROM linked_pages) l JOIN page_trails USING (page_id))""",
+        FROM (SELECT l.page_id, CASE WHEN body_at > 0 THEN substring(html, 1, body_at + strpos(substring(html, body_at), '>') - 1) || trail
+                       || substring(html, body_at + strpos(substring(html, body_at), '>')) ELSE html END AS crumbed
+              FROM (SELECT *, strpos(lower(html), '<body') AS body_at FROM linked_pages) l JOIN page_trails USING (page_id))""",
 )
 def _(t):
     return S.page_navigation(A.site_pages(t)).select("page_id", "html")
