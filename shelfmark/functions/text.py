@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 WS = r"\t\n\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
 #: The same without the line feed, for use inside one line of a multi-line pattern.
 WS_INLINE = r"\t\x0B\f\r \x{00A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}"
+#: The same characters as a string.
+WS_CHARACTERS = "".join(
+    map(chr, [9, 10, 11, 12, 13, 32, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF])
+)
 #: What "." does not match.
 LINE_ENDS = r"\n\r\x{2028}\x{2029}"
 
@@ -41,7 +45,7 @@ _ONE_CHARACTER_TOKENS = [""] + list(string.ascii_lowercase + string.digits + "-"
 
 def js_trim(text: Column) -> Column:
     """Trim every kind of whitespace, not only blanks."""
-    return F.regexp_replace(text, rf"\A[{WS}]+|[{WS}]+\z", "")
+    return F.btrim(text, F.lit(WS_CHARACTERS))
 
 
 def literal_array(values: list[str]) -> Column:
@@ -55,9 +59,13 @@ def slugify(heading: Column) -> Column:
     return F.regexp_replace(dashed, r"\A-|-\z", "")
 
 
-def _tokens(text: Column, keep: str, separators: str) -> Column:
-    cleaned = F.regexp_replace(F.lower(text), rf"[^{keep}{WS}-]", " ")
-    return F.split(cleaned, rf"[{separators}{WS}]+")
+def _tokens(text: Column) -> Column:
+    """Lower-cased pieces between characters other than a-z, 0-9 and "-".
+
+    All other characters separate, whether they are whitespace or would first be replaced by a blank,
+    so one split does both steps.
+    """
+    return F.split(F.lower(text), "[^a-z0-9-]+")
 
 
 def keywords(text: Column) -> Column:
@@ -66,19 +74,17 @@ def keywords(text: Column) -> Column:
     ``array_except`` both removes the stop words and one-character tokens and keeps the
     first occurrence of the rest, without an interpreted lambda.
     """
-    return F.array_except(_tokens(text, "a-z0-9", ""), literal_array(STOP_WORDS + _ONE_CHARACTER_TOKENS))
+    return F.array_except(_tokens(text), literal_array(STOP_WORDS + _ONE_CHARACTER_TOKENS))
 
 
 def python_keywords(text: Column) -> Column:
-    """As :func:`keywords`, also splitting on underscores and with more stop words."""
-    return F.array_except(
-        _tokens(text, "a-z0-9_", "_"), literal_array(PYTHON_STOP_WORDS + _ONE_CHARACTER_TOKENS)
-    )
+    """As :func:`keywords` with more stop words; underscores separate as all other characters do."""
+    return F.array_except(_tokens(text), literal_array(PYTHON_STOP_WORDS + _ONE_CHARACTER_TOKENS))
 
 
 def query_keywords(text: Column) -> Column:
     """Distinct search terms: at least three characters and a shorter stop list."""
-    words = F.array_except(_tokens(F.coalesce(text, F.lit("")), "a-z0-9", ""), literal_array(QUERY_STOP_WORDS))
+    words = F.array_except(_tokens(F.coalesce(text, F.lit(""))), literal_array(QUERY_STOP_WORDS))
     return F.filter(words, lambda w: F.length(w) > 2)
 
 

@@ -44,20 +44,19 @@ def markdown_sections(files: DataFrame) -> DataFrame:
     """
     text = F.concat(F.lit("\n"), F.col("content"))
     headings = F.regexp_extract_all(text, F.lit(_HEADING_LINE), 0)
-    # The first piece is what precedes the first heading.
     pieces = F.split(text, _HEADING_LINE)
-    bodies = F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
-    zipped = F.arrays_zip(headings.alias("line"), bodies.alias("body"))
+    # The first piece precedes the first heading; an empty line stands for its heading.
+    zipped = F.arrays_zip(F.concat(F.array(F.lit("")), headings).alias("line"), pieces.alias("body"))
     keep = [c for c in files.columns if c != "content"]
     return (
-        files.where(F.col("content").contains("#"))
-        .select(*keep, F.posexplode(zipped).alias("sec_ord", "sec"))
+        files.select(*keep, F.posexplode(zipped).alias("pos", "sec"))
+        .where(F.col("pos") > 0)
         .select(
             *keep,
-            "sec_ord",
+            (F.col("pos") - 1).alias("sec_ord"),
             F.length(F.regexp_extract("sec.line", r"\A\n(#{1,6})", 1)).alias("level"),
             js_trim(F.regexp_replace("sec.line", r"\A\n#{1,6}", "")).alias("heading"),
-            js_trim(F.coalesce("sec.body", F.lit(""))).alias("body"),
+            js_trim(F.col("sec.body")).alias("body"),
         )
     )
 
@@ -73,7 +72,8 @@ def markdown_entries(files: DataFrame) -> DataFrame:
         markdown_sections(files)
         .withColumn("slug", slug)
         .where(F.col("slug") != "")
-        .withColumn("content_path", path)
+        # Used twice below, so kept as columns of their own.
+        .withColumns({"content_path": path, "words": words})
         .select(
             "owner",
             F.col("repo").alias("repository"),
@@ -87,6 +87,6 @@ def markdown_entries(files: DataFrame) -> DataFrame:
             F.col("body").alias("content"),
             F.lit("documentation").alias("type"),
             F.lit("guide").alias("sub_type"),
-            with_fallback(words, fallback).alias("keywords"),
+            with_fallback(F.col("words"), fallback).alias("keywords"),
         )
     )

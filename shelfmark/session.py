@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: Runtime settings; all of them can be changed on a live session.
 RUNTIME_SETTINGS = {
@@ -27,6 +27,23 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute rows only when the scan gives fewer tasks than there are cores.
+
+    For inputs of few large files whose rows are expensive to process; a scan that already has a task
+    for every core is left as it is, without a shuffle.
+    """
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(slots) if df.rdd.getNumPartitions() < slots else df
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table that several later steps read, and read it back: nothing is computed twice or lost with an executor."""
+    path = work_dir(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A fresh folder for intermediate tables and stream checkpoints.
 

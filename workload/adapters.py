@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.session import spread
 from workload.registry import Tables, cte
 
 STOP = (
@@ -55,7 +56,7 @@ def files_md(t: Tables) -> DataFrame:
     lines = F.transform(
         F.split("text", "\n"), lambda x, i: F.when(i % 5 == 0, F.concat(F.lit("# "), x)).otherwise(x)
     )
-    return t.documents.select(
+    return spread(t.documents).select(
         F.concat(F.lit("org"), F.col("doc_id") % 3).alias("owner"),
         F.col("source").alias("repo"),
         (F.col("doc_id") % 3).cast("int").alias("src_ord"),

@@ -9,6 +9,7 @@ from shelfmark.operators.code import code_entries, code_items, extract_errors
 from shelfmark.operators.files import routed_files
 from shelfmark.operators.templates import template_details, template_summaries
 from shelfmark.plans.index import build_index
+from shelfmark.session import spread
 from workload import adapters as A
 from workload.registry import cte, query
 
@@ -54,7 +55,7 @@ def _fill_sql(template: str) -> str:
 def _described(t):
     line = F.regexp_replace(F.split("text", "\n")[0], "[^A-Za-z ]", "")
     line = F.trim(F.regexp_replace(line, " +", " "))
-    return t.documents.select(
+    return spread(t.documents).select(
         "doc_id",
         (F.col("doc_id") % 10).alias("m"),
         F.concat(F.lit("org"), F.col("doc_id") % 3).alias("owner"),

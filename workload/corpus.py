@@ -8,6 +8,7 @@ from shelfmark.operators import files as FI
 from shelfmark.operators.postings import build_stats, build_totals, postings, unique_entries
 from shelfmark.operators.search import query_terms, ranked_search, search_scores, suggestions
 from shelfmark.operators.sections import markdown_entries, markdown_sections
+from shelfmark.session import stored
 from workload import adapters as A
 from workload.registry import cte, query
 
@@ -16,6 +17,12 @@ def _entries(t):
     return unique_entries(markdown_entries(A.files_md(t)))
 
 
+def _index(t):
+    """Entries and postings for the queries that need both; the entries are stored once."""
+    entries = stored(_entries(t), "entries")
+    return entries, postings(entries)
+
+
 @query(
     "file_filter",
     r"""
@@ -117,8 +124,8 @@ def _(t):
 def _(t):
     from shelfmark.operators.ranking import top_k
 
-    entries = _entries(t)
-    scores = search_scores(A.search_queries(t), postings(entries))
+    entries, rows = _index(t)
+    scores = search_scores(A.search_queries(t), rows)
     order = [F.col("total_score").desc(), F.col("first_pos"), F.col("hash")]
     top = top_k(scores, ["query_id"], order, 30, "candidate")
     return top.join(entries.select("hash", "title", "content_path"), "hash").select(
@@ -137,8 +144,8 @@ cte("search_ranked", _RANKED.format(where=""))
 
 @query("ranked_search", "SELECT * FROM search_ranked")
 def _(t):
-    entries = _entries(t)
-    return ranked_search(A.search_queries(t), postings(entries), entries)
+    entries, rows = _index(t)
+    return ranked_search(A.search_queries(t), rows, entries)
 
 
 def _typed(t):
@@ -154,8 +161,8 @@ def _typed(t):
     _RANKED.format(where="WHERE query_id % 3 <> 0"),
 )
 def _(t):
-    entries = _entries(t)
-    return ranked_search(_typed(t), postings(entries), entries)
+    entries, rows = _index(t)
+    return ranked_search(_typed(t), rows, entries)
 
 
 @query(
@@ -170,8 +177,8 @@ def _(t):
     """,
 )
 def _(t):
-    entries = _entries(t)
-    found = ranked_search(_typed(t), postings(entries), entries, prefilter=True)
+    entries, rows = _index(t)
+    found = ranked_search(_typed(t), rows, entries, prefilter=True)
     return found.select("query_id", "rank", "title", "file_path", "relevance_score", "total_results")
 
 
@@ -180,8 +187,8 @@ def _(t):
     """SELECT query_id, title, file_path, relevance_score FROM (""" + _RANKED.format(where="WHERE owner = 'org1'") + ")",
 )
 def _(t):
-    entries = _entries(t)
-    found = ranked_search(A.search_queries(t), postings(entries), entries, owners=["org1"])
+    entries, rows = _index(t)
+    found = ranked_search(A.search_queries(t), rows, entries, owners=["org1"])
     return found.select("query_id", "title", "file_path", "relevance_score")
 
 
@@ -197,9 +204,9 @@ def _(t):
     """,
 )
 def _(t):
-    entries = _entries(t)
+    entries, rows = _index(t)
     queries = _typed(t)
-    found = ranked_search(queries, postings(entries), entries)
+    found = ranked_search(queries, rows, entries)
     return suggestions(queries, found).select("query_id", F.array_join("suggestions", "|").alias("suggestions"))
 
 
@@ -232,5 +239,4 @@ def _(t):
 def _(t):
     from shelfmark.plans.index import consistency_checks
 
-    entries = _entries(t)
-    return consistency_checks(entries, postings(entries))
+    return consistency_checks(*_index(t))
