@@ -54,8 +54,10 @@ def literal_array(values: list[str]) -> Column:
 
 def slugify(heading: Column) -> Column:
     """``Getting Started (v2)`` -> ``getting-started-v2``; letters outside a-z are dropped."""
-    kept = F.regexp_replace(F.lower(heading), rf"[^a-z0-9{WS}-]", "")
-    dashed = F.regexp_replace(kept, rf"[{WS}-]+", "-")
+    # Every whitespace character becomes a blank first, which keeps the patterns short.
+    spaced = F.translate(F.lower(heading), WS_CHARACTERS, " " * len(WS_CHARACTERS))
+    kept = F.regexp_replace(spaced, "[^a-z0-9 -]+", "")
+    dashed = F.regexp_replace(kept, "[ -]+", "-")
     return F.regexp_replace(dashed, r"\A-|-\z", "")
 
 

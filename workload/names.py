@@ -48,10 +48,12 @@ def _sql_text(template: str) -> str:
     return "'" + _MARK.sub(r"' || \1 || '", template.replace("'", "''")) + "'"
 
 
-def _spark_text(template: str):
-    """Template to a column; every second piece of the split is a column name."""
-    pieces = _MARK.split(template)
-    return F.concat(*[F.col(p).cast("string") if i % 2 else F.lit(p) for i, p in enumerate(pieces)])
+def _spark_text(templates: list[str]):
+    """The template of each row's shape, with its marks replaced."""
+    text = F.element_at(F.array(*[F.lit(x) for x in templates]), (F.col("shape") + 1).cast("int"))
+    for mark in "wud":
+        text = F.replace(text, F.lit("{" + mark + "}"), F.col(mark).cast("string"))
+    return text
 
 
 def _case(field: str) -> str:
@@ -80,10 +82,7 @@ def names(t):
     )
 
     def pick(position):
-        value = F.lit("")
-        for i, shape in enumerate(_SHAPES):
-            value = F.when(F.col("shape") == i, _spark_text(shape[position])).otherwise(value)
-        return F.nullif(value, F.lit(""))
+        return F.nullif(_spark_text([shape[position] for shape in _SHAPES]), F.lit(""))
 
     return words.select("id", *[pick(i).alias(f) for i, f in enumerate(_FIELDS[:4])])
 
@@ -210,24 +209,15 @@ _REQUESTS = [
 ]
 
 
-def _split_mark(text: str, mark: str = '"w"') -> list[str]:
-    return text.split(mark)
-
-
 def tool_requests(t):
     """One request per part, in fourteen shapes."""
-    shape = F.col("p_partkey") % len(_REQUESTS)
-    word = F.split("p_name", " ")[0]
-    tool, document = F.lit(""), F.lit("")
-    for i, (name, text, _errors) in enumerate(_REQUESTS):
-        pieces = [F.lit(p) for p in _split_mark(text)]
-        quoted = F.concat(F.lit('"'), word, F.lit('"'))
-        joined = pieces[0]
-        for piece in pieces[1:]:
-            joined = F.concat(joined, quoted, piece)
-        tool = F.when(shape == i, name).otherwise(tool)
-        document = F.when(shape == i, joined).otherwise(document)
-    return t.part.select(F.col("p_partkey").alias("id"), tool.alias("tool"), document.alias("input_json"))
+    shape = (F.col("p_partkey") % len(_REQUESTS) + 1).cast("int")
+    quoted = F.concat(F.lit('"'), F.split("p_name", " ")[0], F.lit('"'))
+    tool = F.element_at(F.array(*[F.lit(r[0]) for r in _REQUESTS]), shape)
+    document = F.element_at(F.array(*[F.lit(r[1]) for r in _REQUESTS]), shape)
+    return t.part.select(
+        F.col("p_partkey").alias("id"), tool.alias("tool"), F.replace(document, F.lit('"w"'), quoted).alias("input_json")
+    )
 
 
 def _request_sql() -> str:
