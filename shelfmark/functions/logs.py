@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed field orders of the two bracketed line formats, after the tag.
@@ -15,12 +15,20 @@ CACHE_FIELDS = ["id", "endpoint", "result", "exec_time"]
 _TAGGED = r"(?s)\A[^\[]*\[(.*?)\] (.*)\z"
 
 
-def parse_glob(message: Column, fields: list[str]) -> list[Column]:
-    """``[*] * | * ...`` to ``logging_type`` and the fields; all null when the shape does not fit."""
-    parts = F.split(F.regexp_extract(message, _TAGGED, 2), r" \| ", len(fields))
-    fits = message.rlike(_TAGGED) & (F.size(parts) == len(fields))
-    tag = F.when(fits, F.regexp_extract(message, _TAGGED, 1)).alias("logging_type")
-    return [tag] + [F.when(fits, F.get(parts, F.lit(i))).alias(name) for i, name in enumerate(fields)]
+def parse_glob(df: DataFrame, fields: list[str], keep: list[str]) -> DataFrame:
+    """``keep`` columns, ``logging_type`` and the fields of ``[*] * | * ...`` in ``message``.
+
+    All are null when the shape does not fit.  Tag and rest are taken out once, in a step of their own.
+    """
+    m = F.col("message")
+    tagged = df.withColumns({"_tag": F.regexp_extract(m, _TAGGED, 1), "_rest": F.regexp_extract(m, _TAGGED, 2), "_fits": m.rlike(_TAGGED)})
+    split = tagged.withColumn("_parts", F.when(F.col("_fits"), F.split("_rest", r" \| ", len(fields))))
+    fits = F.size("_parts") == len(fields)
+    return split.select(
+        *keep,
+        F.when(fits, F.col("_tag")).alias("logging_type"),
+        *[F.when(fits, F.get("_parts", F.lit(i))).alias(name) for i, name in enumerate(fields)],
+    )
 
 
 def parse_regex(message: Column, pattern: str, group: int = 1) -> Column:

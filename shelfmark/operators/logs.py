@@ -45,29 +45,31 @@ def recent(logs: DataFrame, n: int | None) -> DataFrame:
     return logs if n is None else logs.orderBy(F.col("ts").desc(), F.col("log_id").desc()).limit(n)
 
 
+def _tagged_lines(logs: DataFrame, tag: str, fields: list[str], last_n: int | None, keep: list[str]) -> DataFrame:
+    """Lines of one tag; the text test spares other lines the pattern."""
+    lines = recent(logs, last_n).where(F.col("message").contains(f"[{tag}] "))
+    return parse_glob(lines, fields, keep).where(F.col("logging_type") == tag)
+
+
 def response_lines(logs: DataFrame, last_n: int | None = None) -> DataFrame:
-    parsed = recent(logs, last_n).select("log_id", "ts", *parse_glob(F.col("message"), RESPONSE_FIELDS))
-    return parsed.where(F.col("logging_type") == "RESPONSE").withColumn(
-        "exec_ms", F.col("exec_time").try_cast("bigint")
-    )
+    parsed = _tagged_lines(logs, "RESPONSE", RESPONSE_FIELDS, last_n, ["log_id", "ts"])
+    return parsed.withColumn("exec_ms", F.col("exec_time").try_cast("bigint"))
 
 
 def cache_lines(logs: DataFrame, last_n: int | None = None) -> DataFrame:
-    parsed = recent(logs, last_n).select("log_id", "ts", *parse_glob(F.col("message"), CACHE_FIELDS))
-    return parsed.where(F.col("logging_type") == "CACHE").withColumn("exec_ms", F.col("exec_time").try_cast("bigint"))
+    parsed = _tagged_lines(logs, "CACHE", CACHE_FIELDS, last_n, ["log_id", "ts"])
+    return parsed.withColumn("exec_ms", F.col("exec_time").try_cast("bigint"))
 
 
 def problem_lines(logs: DataFrame, last_n: int | None = 500) -> DataFrame:
     """Error and warning lines, and timeouts, among the newest lines."""
-    tag = parse_glob(F.col("message"), ["logging_message"])
-    lines = recent(logs, last_n).select("log_id", "ts", "log_stream", "message", *tag)
+    lines = parse_glob(recent(logs, last_n), ["logging_message"], ["log_id", "ts", "log_stream", "message"])
     timed_out = F.col("message").contains("Task timed out")
     return lines.where(F.coalesce(F.col("logging_type").isin("ERROR", "WARN"), F.lit(False)) | timed_out)
 
 
 def cold_start_lines(logs: DataFrame, last_n: int | None = 100) -> DataFrame:
-    lines = recent(logs, last_n).select("log_id", "ts", "log_stream", *parse_glob(F.col("message"), ["ms"]))
-    return lines.where(F.col("logging_type") == "COLDSTART")
+    return _tagged_lines(logs, "COLDSTART", ["ms"], last_n, ["log_id", "ts", "log_stream"])
 
 
 def rate_limit_violations(logs: DataFrame, access: DataFrame, last_n: int = 100) -> DataFrame:

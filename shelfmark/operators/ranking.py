@@ -12,6 +12,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Default of spark.sql.optimizer.windowGroupLimitThreshold.
+GROUP_LIMIT = 1000
+SALTS = 64
 
 
 def _columns(names: Sequence[str | Column]) -> list[Column]:
@@ -31,7 +36,16 @@ def last_wins(df: DataFrame, keys: Sequence[str | Column], order: Sequence[str |
 def top_k(
     df: DataFrame, keys: Sequence[str | Column], order: Sequence[str | Column], k: int, name: str = "_rank"
 ) -> DataFrame:
-    """The first ``k`` rows of every key, numbered from 1 in column ``name``."""
+    """The first ``k`` rows of every key, numbered from 1 in column ``name``.
+
+    Beyond the size up to which Spark limits groups before the shuffle, a first cut per key and salt
+    takes its place: the best ``k`` of a key are among the best ``k`` of its parts.
+    """
+    if k > GROUP_LIMIT:
+        hashable = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(*hashable), F.lit(SALTS)))
+        part = Window.partitionBy(*_columns(keys), F.col("_salt")).orderBy(*_columns(order))
+        df = salted.withColumn("_cut", F.row_number().over(part)).where(F.col("_cut") <= k).drop("_salt", "_cut")
     window = Window.partitionBy(*_columns(keys)).orderBy(*_columns(order))
     return df.withColumn(name, F.row_number().over(window)).where(F.col(name) <= k)
 

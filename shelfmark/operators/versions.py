@@ -38,7 +38,7 @@ def version_history(versions: DataFrame, wanted: DataFrame | None = None) -> Dat
     ranked = sliced_row_number(
         versions,
         KEY,
-        slice_key=F.date_trunc("month", "last_modified"),
+        slice_key=F.date_trunc("day", "last_modified"),
         order=_newest_first(),
         name="position",
         slice_descending=True,

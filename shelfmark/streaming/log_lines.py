@@ -11,14 +11,12 @@ from shelfmark.functions.logs import CACHE_FIELDS, RESPONSE_FIELDS, parse_glob
 
 def parsed_lines(logs: DataFrame) -> DataFrame:
     """Tag and the fields of both bracketed formats beside the line; fields that do not apply are null."""
-    m = F.col("message")
-    response = F.struct(*parse_glob(m, RESPONSE_FIELDS))
-    cache = F.struct(*parse_glob(m, CACHE_FIELDS))
-    return logs.select(
-        "*",
-        F.when(response["logging_type"] == "RESPONSE", response).alias("response"),
-        F.when(cache["logging_type"] == "CACHE", cache).alias("cache"),
-    )
+    df = logs
+    for name, tag, fields in (("response", "RESPONSE", RESPONSE_FIELDS), ("cache", "CACHE", CACHE_FIELDS)):
+        parsed = parse_glob(df, fields, df.columns)
+        own = F.struct("logging_type", *fields)
+        df = parsed.withColumn(name, F.when(F.col("logging_type") == tag, own)).drop("logging_type", *fields)
+    return df
 
 
 def start_parsing(logs: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

@@ -9,7 +9,7 @@ from shelfmark.operators import catalog as C
 from shelfmark.operators import names as N
 from shelfmark.operators import starters as S
 from shelfmark.operators import versions as V
-from shelfmark.operators.ranking import exact_quantiles, first_wins, sliced_row_number
+from shelfmark.operators.ranking import GROUP_LIMIT, exact_quantiles, first_wins, sliced_row_number, top_k
 from shelfmark.operators.rate_limit import rate_limited
 from shelfmark.operators.requests import validate_requests
 from shelfmark.operators.search import ranked_search, suggestions
@@ -171,3 +171,11 @@ def test_window_edges(spark):
 def test_first_wins_is_idempotent(spark):
     once = first_wins(_skewed(spark), ["k"], ["t", "id"])
     assert once.exceptAll(first_wins(once, ["k"], ["t", "id"])).count() == 0 and once.count() == 3
+
+
+def test_large_cuts_are_salted(spark):
+    df = _skewed(spark)
+    k = GROUP_LIMIT + 1
+    plain = df.withColumn("_rank", F.row_number().over(Window.partitionBy("k").orderBy("t", "id"))).where(F.col("_rank") <= k)
+    assert top_k(df, ["k"], ["t", "id"], k).exceptAll(plain).count() == 0
+    assert top_k(df, ["k"], ["t", "id"], k).count() == plain.count()

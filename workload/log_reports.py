@@ -164,16 +164,11 @@ _count_query("count_by_key", L.response_lines, "response_lines", "key")
 
 @query(
     "order_by_requests",
-    """SELECT endpoint, requests, CAST(row_number() OVER (ORDER BY requests DESC, endpoint) AS INTEGER) AS position
-       FROM (SELECT endpoint, count(*) AS requests FROM cache_lines GROUP BY endpoint) ORDER BY requests DESC, endpoint""",
+    "SELECT endpoint, count(*) AS requests FROM cache_lines GROUP BY endpoint ORDER BY requests DESC, endpoint",
 )
 def _(t):
-    from pyspark.sql import Window
-
-    # The position makes the order visible to a comparison that ignores it; there is one row per endpoint.
     counted = L.count_by(L.cache_lines(A.logs(t)), "endpoint")
-    order = Window.orderBy(F.col("requests").desc(), "endpoint")
-    return counted.withColumn("position", F.row_number().over(order)).orderBy(F.col("requests").desc(), "endpoint")
+    return counted.orderBy(F.col("requests").desc(), "endpoint")
 
 
 # --- reports ------------------------------------------------------------------------------------
