@@ -17,6 +17,8 @@ from pyspark.sql import types as T
 #: Default of spark.sql.optimizer.windowGroupLimitThreshold.
 GROUP_LIMIT = 1000
 SALTS = 64
+#: Keys with more rows than this are split.
+HOT_ROWS = 1_000_000
 
 
 def _columns(names: Sequence[str | Column]) -> list[Column]:
@@ -58,6 +60,15 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
+def _mark_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
+    """Adds ``_hot``: true for rows of keys with more than ``hot_rows`` rows, else null.
+
+    There are at most (rows / hot_rows) such keys, which bounds what is broadcast.
+    """
+    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    return _null_safe_join(df, F.broadcast(hot.select(*keys, F.lit(True).alias("_hot"))), keys, "left")
+
+
 def sliced_row_number(
     df: DataFrame,
     keys: Sequence[str],
@@ -65,67 +76,71 @@ def sliced_row_number(
     order: Sequence[str | Column],
     name: str,
     slice_descending: bool = False,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
-    """Number the rows of every key from 1, sorting only one slice of a key in one task.
+    """Number the rows of every key from 1, sorting only one slice of a hot key in one task.
 
-    ``slice_key`` must never decrease along ``order`` (never increase if ``slice_descending``).
-    Rows are counted per slice with partial aggregation, the small counts are summed up over
-    the slices, and each row gets its number inside the slice plus what came before.
+    ``slice_key`` must never decrease along ``order`` (never increase if ``slice_descending``).  Rows
+    of hot keys are counted per slice with partial aggregation, the small counts are summed up over
+    the slices, and each row gets its number inside the slice plus what came before.  Other keys are
+    numbered by a plain window; both share one shuffle.
     """
     slice_cols = [*keys, "_slice"]
-    sliced = df.withColumn("_slice", slice_key)
+    sliced = _mark_hot(df, keys, hot_rows).withColumn("_slice", F.when(F.col("_hot"), slice_key))
     slice_order = F.col("_slice").desc() if slice_descending else F.col("_slice").asc()
     before = F.sum("_rows").over(
         Window.partitionBy(*_columns(keys)).orderBy(slice_order).rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = (
-        sliced.groupBy(*slice_cols)
+        sliced.where("_hot")
+        .groupBy(*slice_cols)
         .agg(F.count(F.lit(1)).alias("_rows"))
         .select(*slice_cols, F.coalesce(before, F.lit(0)).alias("_before"))
     )
     local = F.row_number().over(Window.partitionBy(*_columns(slice_cols)).orderBy(*_columns(order)))
     numbered = sliced.withColumn("_local", local)
     return (
-        _null_safe_join(numbered, offsets, slice_cols)
-        .withColumn(name, (F.col("_local") + F.col("_before")).cast("bigint"))
-        .drop("_slice", "_local", "_before")
+        _null_safe_join(numbered, offsets, slice_cols, "left")
+        .withColumn(name, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("bigint"))
+        .drop("_hot", "_slice", "_local", "_before")
     )
 
 
 def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    probabilities: dict[str, float],
-    slice_width: float = 64.0,
+    df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float], hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Exact, linearly interpolated quantiles per key, one column per entry of ``probabilities``.
 
-    Equal values collapse to counts first, ranks come from running sums over value slices, so no
-    task ever holds all values of a hot key.  Nulls are ignored, as in an aggregate.
+    Equal values collapse to counts first.  The distinct values of a hot key are cut into slices at
+    approximate quantiles, so that no task sorts all of them; ranks come from exact counts, so the
+    slices decide only who does the work.  Nulls are ignored, as in an aggregate.
     """
+    keys = list(keys)
     counts = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
-        .withColumn("_slice", F.floor(F.col("_v") / F.lit(float(slice_width))))
     )
+    marked = _mark_hot(counts, keys, hot_rows)
+    cuts = F.percentile_approx("_v", [i / SALTS for i in range(1, SALTS)], 8 * SALTS)
+    bounds = marked.where("_hot").groupBy(*keys).agg(cuts.alias("_cuts"))
+    # As many rows as there are hot keys.
+    with_cuts = _null_safe_join(marked, F.broadcast(bounds), keys, "left")
+    sliced = with_cuts.withColumn(
+        "_slice", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_v"))), F.lit(0))
+    ).drop("_cuts", "_hot")
+    sliced = sliced.withColumn("_slice", F.greatest(F.col("_slice"), F.lit(0)))
     per_key = Window.partitionBy(*_columns(keys))
+    earlier = per_key.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     slices = (
-        counts.groupBy(*keys, "_slice")
+        sliced.groupBy(*keys, "_slice")
         .agg(F.sum("_c").alias("_sc"))
-        .withColumn("_n", F.sum("_sc").over(per_key))
-        .withColumn(
-            "_before",
-            F.coalesce(
-                F.sum("_sc").over(per_key.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)
-            ),
-        )
+        .withColumns({"_n": F.sum("_sc").over(per_key), "_before": F.coalesce(F.sum("_sc").over(earlier), F.lit(0))})
         .drop("_sc")
     )
     in_slice = Window.partitionBy(*_columns(keys), F.col("_slice")).orderBy("_v")
     running = F.sum("_c").over(in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = _null_safe_join(counts.withColumn("_run", running), slices, [*keys, "_slice"])
+    ranked = _null_safe_join(sliced.withColumn("_run", running), slices, [*keys, "_slice"])
     # Value "_v" covers the zero-based ranks [lo, hi).
     hi = F.col("_before") + F.col("_run")
     lo = hi - F.col("_c")

@@ -14,8 +14,8 @@ TIERS = {"public": (50, 60), "registered": (100, 60), "paid": (3000, 1440), "pri
 WINDOW_KEYS = ["client", "reset_ms", "window_minutes"]
 #: How long a closed window's state is kept.
 STATE_GRACE_MS = 5 * MINUTE_MS
-#: One client's window is split into this many time slices when its requests are numbered.
-SLICES_PER_WINDOW = 256
+#: A hot client's window is split into this many time slices when its requests are numbered.
+SLICES_PER_WINDOW = 4096
 
 
 def tier_table(spark: SparkSession, tiers: dict[str, tuple[int, int]] | None = None) -> DataFrame:

@@ -136,19 +136,21 @@ def _skewed(spark):
     )
 
 
-def test_sliced_numbers_are_row_numbers(spark):
+@pytest.mark.parametrize("hot", [100, 1_000_000])
+def test_sliced_numbers_are_row_numbers(spark, hot):
     df = _skewed(spark)
-    sliced = sliced_row_number(df, ["k"], F.floor(F.col("t") / 13), ["t", "id"], "n").select("id", "n")
+    sliced = sliced_row_number(df, ["k"], F.floor(F.col("t") / 13), ["t", "id"], "n", hot_rows=hot).select("id", "n")
     plain = df.select("id", F.row_number().over(Window.partitionBy("k").orderBy("t", "id")).cast("bigint").alias("n"))
     assert sliced.exceptAll(plain).count() == 0 and sliced.count() == 3000
-    down = sliced_row_number(df, ["k"], F.floor(F.col("t") / 13), [F.col("t").desc(), "id"], "n", slice_descending=True)
+    down = sliced_row_number(df, ["k"], F.floor(F.col("t") / 13), [F.col("t").desc(), "id"], "n", slice_descending=True, hot_rows=hot)
     plain = df.select("id", F.row_number().over(Window.partitionBy("k").orderBy(F.col("t").desc(), "id")).cast("bigint").alias("n"))
     assert down.select("id", "n").exceptAll(plain).count() == 0
 
 
-def test_exact_quantiles(spark):
+@pytest.mark.parametrize("hot", [10, 1_000_000])
+def test_exact_quantiles(spark, hot):
     df = _skewed(spark)
-    found = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", {"p50": 0.5, "p99": 0.99}, 5.0).collect()}
+    found = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", {"p50": 0.5, "p99": 0.99}, hot).collect()}
     values = df.toPandas().groupby("k", dropna=False)["v"]
     for key, group in values:
         key = None if key is None or key != key else key
