@@ -123,17 +123,24 @@ def round_half_up(value: Column) -> Column:
     return F.floor(value + F.lit(0.5)).cast("int")
 
 
-def relevance(keyword: Column, title: Column, excerpt_text: Column, in_keywords: Column, weight: Column) -> Column:
-    """Weighted score of one keyword for one entry; ``in_keywords`` is a boolean."""
-    word = F.lower(keyword)
+def weighted_score(in_title: Column, in_excerpt: Column, in_keywords: Column, weight: Column) -> Column:
+    """Score of a keyword, given where it occurs."""
     base = (
-        F.when(F.lower(title).contains(word), TITLE_SCORE).otherwise(0)
-        + F.when(F.lower(excerpt_text).contains(word), EXCERPT_SCORE).otherwise(0)
+        F.when(in_title, TITLE_SCORE).otherwise(0)
+        + F.when(in_excerpt, EXCERPT_SCORE).otherwise(0)
         + F.when(in_keywords, KEYWORD_SCORE).otherwise(0)
     )
     return round_half_up(base * weight)
 
 
+def relevance(keyword: Column, title: Column, excerpt_text: Column, in_keywords: Column, weight: Column) -> Column:
+    """Weighted score of one keyword for one entry, ignoring case; ``in_keywords`` is a boolean."""
+    word = F.lower(keyword)
+    return weighted_score(
+        F.lower(title).contains(word), F.lower(excerpt_text).contains(word), in_keywords, weight
+    )
+
+
 def csv_list(text: Column) -> Column:
     """``"a, b ,,c"`` -> ``[a, b, c]``."""
     parts = F.split(F.coalesce(text, F.lit("")), ",")

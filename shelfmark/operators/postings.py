@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import relevance, type_weight
+from shelfmark.functions.text import type_weight, weighted_score
 from shelfmark.operators.ranking import first_wins
 
 #: Source, repository, file and section order; the first entry of a path is the one that stays.
@@ -28,12 +28,16 @@ def postings(entries: DataFrame) -> DataFrame:
             type_weight(F.col("type")).alias("type_weight"),
             F.explode(words).alias("keyword"),
         )
-        # A posting's keyword is one of its entry's own keywords, so that part always counts.
+        # A posting's keyword is one of its entry's own keywords, so that part always counts; keyword,
+        # title and excerpt are in lower case already, once per entry and not once per posting.
         .select(
             "keyword",
             "hash",
-            relevance(
-                F.col("keyword"), F.col("title"), F.col("excerpt"), F.lit(True), F.col("type_weight")
+            weighted_score(
+                F.col("title").contains(F.col("keyword")),
+                F.col("excerpt").contains(F.col("keyword")),
+                F.lit(True),
+                F.col("type_weight"),
             ).alias("relevance_score"),
             "type_weight",
         )
