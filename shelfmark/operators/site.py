@@ -69,7 +69,10 @@ def changed_pages(applied: DataFrame) -> DataFrame:
 def replacement_totals(applied: DataFrame) -> DataFrame:
     """Replacements per token over all changed pages."""
     changed = applied.where(F.col("html") != F.col("new_html"))
-    return changed.select(F.explode("counts").alias("key", "count")).groupBy("key").agg(F.sum("count").alias("replacements"))
+    # Exploding an expression, not a column: for a column Spark would add a filter on its size and work
+    # the whole rewriting out again for it.
+    pairs = changed.select(F.inline(F.map_entries("counts")))
+    return pairs.groupBy("key").agg(F.sum("value").alias("replacements"))
 
 
 def page_navigation(pages: DataFrame) -> DataFrame:
