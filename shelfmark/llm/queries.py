@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from shelfmark.llm import feistel_shards, zstd_quality
+from shelfmark.llm import cross_parsing, feistel_shards, toxic_segments, zstd_quality
 from shelfmark.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,6 +27,11 @@ def query(name: str):
     return register
 
 
+@query("op1_language")
+def _(table):
+    return cross_parsing.identify(table("documents"))
+
+
 @query("op2_quality")
 def _(table):
     return zstd_quality.classify(table("documents"), table("labels"))
@@ -35,3 +41,9 @@ def _(table):
 def _(table):
     placed = feistel_shards.shard_rows(table("documents"), shards=8)
     return placed.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+
+
+@query("op5_toxicity")
+def _(table):
+    found = toxic_segments.classify(table("documents"), table("labels"))
+    return found.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
