@@ -64,19 +64,21 @@ def _difference(text: bytes, good: zstandard.ZstdCompressor, bad: zstandard.Zstd
 def calibration(x: np.ndarray, y: np.ndarray, share: float) -> tuple[tuple[float, ...], tuple[float, ...]]:
     """Points of a rising curve from a difference to the share of ones, where ``share`` of all rows are ones.
 
-    Isotonic regression by pooling neighbours; each pool gives one point.  Half an outcome of either class is added to
-    every pool, so that no point is 0 or 1.
+    Isotonic regression by pooling neighbours; each pool gives the points of its first and last row.  Half an outcome of
+    either class is added to every pool, so that no point is 0 or 1.
     """
     weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum()))
-    pools: list[list[float]] = []  # weighted sum of x, weight of ones, weight
+    pools: list[tuple[float, float, float, float]] = []  # first and last x, weight of ones, weight
     for i in np.argsort(x, kind="stable"):
-        pools.append([x[i] * weight[i], y[i] * weight[i], weight[i]])
-        while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
-            last = pools.pop()
-            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+        pool = (x[i], x[i], y[i] * weight[i], weight[i])
+        while pools and (pools[-1][1] == pool[0] or pools[-1][2] * pool[3] > pool[2] * pools[-1][3]):
+            first, _, ones, total = pools.pop()
+            pool = (first, pool[1], ones + pool[2], total + pool[3])
+        pools.append(pool)
     half = 0.5 / len(x)
-    at = tuple(float(p[0] / p[2]) for p in pools)
-    return at, tuple(float((p[1] + half * share) / (p[2] + half)) for p in pools)
+    points = [(at, (ones + half * share) / (total + half)) for low, high, ones, total in pools for at in (low, high)]
+    rising = np.maximum.accumulate([v for _, v in points])
+    return tuple(float(at) for at, _ in points), tuple(float(v) for v in rising)
 
 
 def fit(docs: DataFrame, labels: DataFrame, learnable=None) -> Model:
