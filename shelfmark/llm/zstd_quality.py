@@ -71,7 +71,7 @@ def calibration(x: np.ndarray, y: np.ndarray, share: float) -> tuple[tuple[float
     pools: list[tuple[float, float, float, float]] = []  # first and last x, weight of ones, weight
     for i in np.argsort(x, kind="stable"):
         pool = (x[i], x[i], y[i] * weight[i], weight[i])
-        while pools and (pools[-1][1] == pool[0] or pools[-1][2] * pool[3] > pool[2] * pools[-1][3]):
+        while pools and (pools[-1][1] == pool[0] or pools[-1][2] * pool[3] >= pool[2] * pools[-1][3]):
             first, _, ones, total = pools.pop()
             pool = (first, pool[1], ones + pool[2], total + pool[3])
         pools.append(pool)
