@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import cross_parsing, feistel_shards, toxic_segments, zstd_quality
+from shelfmark.llm import cross_parsing, feistel_shards, swap_packing, token_packing, toxic_segments, zstd_quality
 from shelfmark.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
+    """Path of a public tokenizer's vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def query(name: str):
     """Register ``fn(table)``, where ``table(name)`` reads one of the supplied tables."""
 
@@ -37,6 +44,11 @@ def _(table):
     return zstd_quality.classify(table("documents"), table("labels"))
 
 
+@query("op3_packed_matrices")
+def _(table):
+    return token_packing.packed_matrices(table("documents"), tokenizer())
+
+
 @query("op4_sharding")
 def _(table):
     placed = feistel_shards.shard_rows(table("documents"), shards=8)
@@ -47,3 +59,8 @@ def _(table):
 def _(table):
     found = toxic_segments.classify(table("documents"), table("labels"))
     return found.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
+
+
+@query("op9_packing")
+def _(table):
+    return swap_packing.pack_documents(table("documents"), tokenizer())
