@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import cross_parsing, feistel_shards, swap_packing, token_packing, toxic_segments, zstd_quality
+from shelfmark.llm import cross_parsing, feistel_shards, swap_packing, token_packing, toxic_segments, vantage_simhash, zstd_quality
 from shelfmark.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +61,11 @@ def _(table):
     return found.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
 
 
+@query("op8_simhash")
+def _(table):
+    return vantage_simhash.near_duplicates(table("documents"))
+
+
 @query("op9_packing")
 def _(table):
     return swap_packing.pack_documents(table("documents"), tokenizer())
