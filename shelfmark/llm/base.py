@@ -9,11 +9,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.session import stored
+from shelfmark.session import work_dir
 
 __all__ = ["fold", "labelled_sample", "slices", "stored", "text_bytes"]
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table below ``spark.checkpoint.dir`` and read it back: computed once, and lost with no executor."""
+    path = work_dir(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """Remainder of the CRC-32 of a document's id as text; a null id counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
