@@ -7,7 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfmark.llm import cross_parsing, feistel_shards, swap_packing, token_packing, toxic_segments, vantage_simhash, zstd_quality
+from shelfmark.llm import (
+    cross_parsing,
+    feistel_shards,
+    paragraph_minhash,
+    swap_packing,
+    token_packing,
+    toxic_segments,
+    vantage_simhash,
+    zstd_quality,
+)
 from shelfmark.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -61,6 +70,12 @@ def _(table):
     return found.select("doc_id", "held_out", "score", "predicted", F.size("passages").alias("n_passages"))
 
 
+@query("op6_paragraphs")
+def _(table):
+    found = paragraph_minhash.repeated_paragraphs(table("documents"))
+    return found.select("doc_id", "para", "start", "end", "words", "keeper_doc_id", "keeper_para", "kept")
+
+
 @query("op8_simhash")
 def _(table):
     return vantage_simhash.near_duplicates(table("documents"))
