@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from shelfmark.llm import (
     cross_parsing,
     feistel_shards,
+    grid_order_join,
     paragraph_minhash,
     swap_packing,
     token_packing,
@@ -76,6 +77,11 @@ def _(table):
     return found.select("doc_id", "para", "start", "end", "words", "keeper_doc_id", "keeper_para", "kept")
 
 
+@query("op7_embeddings")
+def _(table):
+    return grid_order_join.near_duplicates(table("embeddings"))
+
+
 @query("op8_simhash")
 def _(table):
     return vantage_simhash.near_duplicates(table("documents"))
