@@ -2,7 +2,8 @@
 
 A packing starts best-fit-decreasing.  Then documents move between underfull bins, one is exchanged for one, or two for
 one, wherever that raises the sum of squared fills, which drains the emptiest bins until they can be given up.  The
-search ends when the bins are as few as the total length allows, or when no such step is left.
+search ends when the bins are as few as the total length allows, when no such step is left, or when ``PATIENCE`` steps have not
+emptied a bin.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from shelfmark.llm.token_pieces import CAPACITY, pieces
 
 #: Pieces packed together by one task.
 GROUP = 10_000
+#: Steps without a bin less after which a search ends; documents of a bin up to which pairs of them are tried.
+PATIENCE, PAIRED = 150, 24
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -56,7 +59,7 @@ def _step(source: list[int], others: list[list[int]], lengths: np.ndarray, capac
     items = np.concatenate([np.array(b, int) for b in others])
     given = lengths[items]
     best, chosen = 0, None
-    pairs = [(int(a), int(b)) for a in range(len(sizes)) for b in range(a)] if len(sizes) <= 64 else []
+    pairs = [(int(a), int(b)) for a in range(len(sizes)) for b in range(a)] if len(sizes) <= PAIRED else []
     for group in [(k,) for k in range(len(sizes))] + pairs:
         size = int(sizes[list(group)].sum())
         if size <= best:
@@ -90,15 +93,18 @@ def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> l
     filled = [b for b in bins if lengths[b].sum() == capacity]
     under = sorted((b for b in bins if lengths[b].sum() < capacity), key=lambda b: lengths[b].sum())
     stuck: list[list[int]] = []
-    while under and len(filled) + len(under) + len(stuck) > least:
+    steps = 0
+    while steps < PATIENCE and under and len(filled) + len(under) + len(stuck) > least:
         source = under.pop(0)
         others = under + stuck
         if not others:
             stuck.append(source)
             break
         moved = False
-        while source and _step(source, others, lengths, capacity):
-            moved = True
+        while source and steps < PATIENCE and _step(source, others, lengths, capacity):
+            moved, steps = True, steps + 1
+        if not source:
+            steps = 0
         if moved:  # fills have changed, so that bins that were stuck may move again
             under, stuck = sorted(others + [source] * bool(source), key=lambda b: lengths[b].sum()), []
             filled += [b for b in under if lengths[b].sum() == capacity]
