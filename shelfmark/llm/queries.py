@@ -11,6 +11,7 @@ from shelfmark.llm import (
     cross_parsing,
     feistel_shards,
     grid_order_join,
+    latent_decontam,
     paragraph_minhash,
     swap_packing,
     token_packing,
@@ -90,3 +91,8 @@ def _(table):
 @query("op9_packing")
 def _(table):
     return swap_packing.pack_documents(table("documents"), tokenizer())
+
+
+@query("op10_decontamination")
+def _(table):
+    return latent_decontam.contaminated(table("documents"), table("benchmark"))

@@ -15,7 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.base import slices, stored
@@ -51,14 +51,15 @@ def fingerprint(text: str | None) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) of every row, where it is; a null text has no word."""
+    """row (its place in the input), doc_id and fp (the fingerprint as a signed long) of every row; a null text has no word."""
 
     def printed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1000):
-            found = np.array([fingerprint(t.as_py()) for t in batch.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
+            found = np.array([fingerprint(t.as_py()) for t in batch.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found)], names=["row", "doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(printed, "doc_id long, fp long")
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
+    return rows.mapInArrow(printed, "row long, doc_id long, fp long")
 
 
 @dataclass
@@ -212,6 +213,15 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     return dealt.groupBy("leaf", "one", "two").applyInPandas(search, "a long, b long")
 
 
+def _components(prints: DataFrame, first: Column, radius: int) -> DataFrame:
+    """Every distinct fingerprint with the smallest ``first`` of its component: fp, component, first."""
+    distinct = stored(prints.groupBy("fp").agg(F.min(first).alias("first")), "distinct_fingerprints")
+    groups = components(links(distinct, radius)).toDF("fp", "component")
+    named = distinct.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    firsts = named.groupBy("component").agg(F.min("first").alias("first"))
+    return named.drop("first").join(firsts, "component")
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hexadecimal digits), component_id (the smallest doc_id reachable by links) of every row.
 
@@ -219,11 +229,17 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     component, but name none unless all ids of a component are null.  Copies are one fingerprint before anything is compared.
     """
     prints = stored(fingerprints(docs), "fingerprints")
-    distinct = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct_fingerprints")
-    groups = components(links(distinct, radius)).toDF("fp", "component")
-    named = distinct.join(groups, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    firsts = named.groupBy("component").agg(F.min("first").alias("component_id"))
-    classes = named.join(firsts, "component").select("fp", "component_id")
-    return prints.join(classes, "fp").select(
-        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
-    )
+    classes = _components(prints, F.col("doc_id"), radius).select("fp", F.col("first").alias("component_id"))
+    fingerprint_digits = F.lpad(F.lower(F.hex("fp")), 16, "0")
+    return prints.join(classes, "fp").select("doc_id", fingerprint_digits.alias("fingerprint"), "component_id")
+
+
+def without_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """One row of each group of near duplicates: that of the smallest id (null first), then the first in the input.
+
+    ``docs`` must give its rows in the same order each time it is read, as files do.
+    """
+    prints = stored(fingerprints(docs), "fingerprints")
+    kept = _components(prints, F.struct("doc_id", "row"), radius).select(F.col("first.row").alias("kept_row")).distinct()
+    rows = docs.withColumn("row_of_input", F.monotonically_increasing_id())
+    return rows.join(kept, F.col("row_of_input") == F.col("kept_row"), "left_semi").drop("row_of_input")

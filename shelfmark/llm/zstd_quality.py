@@ -99,8 +99,8 @@ def fit(docs: DataFrame, labels: DataFrame, learnable=None) -> Model:
     return Model(words[1], words[0], *calibration(x, np.array([c for _, c in rest], float), sizes[1] / (sizes[0] + sizes[1])))
 
 
-def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
-    """The columns ``keep`` (else doc_id, held_out) and the score of every row; the text alone decides.
+def score(docs: DataFrame, model: Model, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns ``keep`` (else doc_id, held_out) and the score, as column ``name``, of every row; the text alone decides.
 
     ``score`` is between 0 and 1, higher for better texts.  A null text counts as empty; an empty text differs for
     neither dictionary and gets the curve's value there.  Rows are scored where they are, without a shuffle.
@@ -117,13 +117,13 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
             x = np.zeros(batch.num_rows)
             if known:
                 x = np.array([_difference(raw[s:e], good, bad) for s, e in zip(at[:-1], at[1:], strict=True)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.score(x))], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(model.score(x))], names=[*names, name])
 
     kept = [F.col(c) for c in keep] if keep else [F.col("doc_id"), (fold(F.col("doc_id"), 3) == 1).alias("held_out")]
     rows = docs.select(*kept)
     names = rows.columns
-    scored_schema = T.StructType([*rows.schema.fields, T.StructField("score", T.DoubleType())])
-    return docs.select(*kept, F.col("text").alias("text_to_score")).mapInArrow(scored, scored_schema)
+    scored_schema = T.StructType([*rows.schema.fields, T.StructField(name, T.DoubleType())])
+    return docs.select(*kept, F.col("text").alias(f"text_of_{name}")).mapInArrow(scored, scored_schema)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
