@@ -180,14 +180,15 @@ def union_sources(
 
 def changed_items(before: DataFrame, after: DataFrame, keys: Sequence[str], item: str, value: str) -> DataFrame:
     """Items added, removed or changed between two sides: ``keys, item, change, before, after``."""
-    left = before.select(*keys, item, F.col(value).alias("before"))
-    right = after.select(*keys, item, F.col(value).alias("after"))
+    left = before.select(*keys, item, F.col(value).alias("before"), F.lit(True).alias("_left"))
+    right = after.select(*keys, item, F.col(value).alias("after"), F.lit(True).alias("_right"))
     change = (
-        F.when(F.col("before").isNull(), "added")
-        .when(F.col("after").isNull(), "removed")
-        .when(F.col("before") != F.col("after"), "changed")
+        F.when(F.col("_left").isNull(), "added")
+        .when(F.col("_right").isNull(), "removed")
+        .when(~F.col("before").eqNullSafe(F.col("after")), "changed")
     )
-    return left.join(right, [*keys, item], "full").withColumn("change", change).where(F.col("change").isNotNull())
+    both = left.join(right, [*keys, item], "full").withColumn("change", change)
+    return both.where(F.col("change").isNotNull()).drop("_left", "_right")
 
 
 def compare_arrays(left: Column, right: Column) -> Column:

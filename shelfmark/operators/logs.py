@@ -61,19 +61,19 @@ def cache_lines(logs: DataFrame, last_n: int | None = None) -> DataFrame:
     return parsed.withColumn("exec_ms", F.col("exec_time").try_cast("bigint"))
 
 
-def problem_lines(logs: DataFrame, last_n: int | None = 500) -> DataFrame:
+def problem_lines(logs: DataFrame, last_n: int | None = None) -> DataFrame:
     """Error and warning lines, and timeouts, among the newest lines."""
     lines = parse_glob(recent(logs, last_n), ["logging_message"], ["log_id", "ts", "log_stream", "message"])
     timed_out = F.col("message").contains("Task timed out")
     return lines.where(F.coalesce(F.col("logging_type").isin("ERROR", "WARN"), F.lit(False)) | timed_out)
 
 
-def cold_start_lines(logs: DataFrame, last_n: int | None = 100) -> DataFrame:
+def cold_start_lines(logs: DataFrame, last_n: int | None = None) -> DataFrame:
     return _tagged_lines(logs, "COLDSTART", ["ms"], last_n, ["log_id", "ts", "log_stream"])
 
 
-def rate_limit_violations(logs: DataFrame, access: DataFrame, last_n: int = 100) -> DataFrame:
-    """Newest limit violations of both log groups."""
+def rate_limit_violations(logs: DataFrame, access: DataFrame, last_n: int | None = None) -> DataFrame:
+    """Limit violations of both log groups, or the newest of them."""
     from_logs = logs.where(like(F.col("message"), "rate limit", "too many requests")).select(
         F.col("log_id").alias("request_id"), "ts", "message", F.lit(None).cast("string").alias("ip"),
         F.lit(None).cast("int").alias("status"),
@@ -82,6 +82,8 @@ def rate_limit_violations(logs: DataFrame, access: DataFrame, last_n: int = 100)
         "request_id", "ts", F.lit(None).cast("string").alias("message"), "ip", "status"
     )
     both = from_logs.unionByName(from_access)
+    if last_n is None:
+        return both
     return both.orderBy(F.col("ts").desc(), F.col("request_id").desc(), F.col("status").asc_nulls_first()).limit(last_n)
 
 
@@ -310,20 +312,17 @@ def discovery_performance(logs: DataFrame) -> DataFrame:
     )
 
 
-def search_query_stats(logs: DataFrame, top: int = 20) -> DataFrame:
+def search_query_stats(logs: DataFrame, top: int | None = None) -> DataFrame:
+    """Searches, results and durations by query text; ``top`` keeps the most frequent ones."""
     m = F.col("message")
     lines = logs.where(like(m, "search_documentation"))
-    return (
-        lines.groupBy(parse_regex(m, r"query[:\s]+([^,]+)").alias("search_query"))
-        .agg(
-            count_rows("search_count"),
-            F.avg(number(m, r"results[:\s]+(\d+)")).alias("avg_results"),
-            F.avg(number(m, DURATION)).alias("avg_duration"),
-            F.max(number(m, DURATION)).alias("max_duration"),
-        )
-        .orderBy(F.col("search_count").desc(), "search_query")
-        .limit(top)
+    found = lines.groupBy(parse_regex(m, r"query[:\s]+([^,]+)").alias("search_query")).agg(
+        count_rows("search_count"),
+        F.avg(number(m, r"results[:\s]+(\d+)")).alias("avg_results"),
+        F.avg(number(m, DURATION)).alias("avg_duration"),
+        F.max(number(m, DURATION)).alias("max_duration"),
     )
+    return found if top is None else found.orderBy(F.col("search_count").desc(), "search_query").limit(top)
 
 
 def access_by_tool_status(access: DataFrame) -> DataFrame:

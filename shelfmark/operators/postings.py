@@ -13,29 +13,32 @@ ENTRY_ORDER = ["src_ord", "repository", "file_ord", "sec_ord"]
 
 
 def unique_entries(entries: DataFrame) -> DataFrame:
-    """First entry per content hash."""
+    """First entry per content path, of which the hash is the whole SHA-256."""
     return first_wins(entries, ["hash"], ENTRY_ORDER)
 
 
-def postings(entries: DataFrame) -> DataFrame:
-    """``keyword, hash, relevance_score, type_weight``: one row per entry and distinct keyword."""
+def postings(entries: DataFrame, scored_on: str = "content") -> DataFrame:
+    """``keyword, hash, relevance_score, type_weight``: one row per entry and distinct keyword.
+
+    A keyword scores where it occurs in the whole body; ``scored_on="excerpt"`` looks at the excerpt only.
+    """
     words = F.array_distinct(F.transform("keywords", F.lower))
     return (
         entries.select(
             "hash",
             F.lower("title").alias("title"),
-            F.lower("excerpt").alias("excerpt"),
+            F.lower(scored_on).alias("body"),
             type_weight(F.col("type")).alias("type_weight"),
             F.explode(words).alias("keyword"),
         )
         # A posting's keyword is one of its entry's own keywords, so that part always counts; keyword,
-        # title and excerpt are in lower case already, once per entry and not once per posting.
+        # title and body are in lower case already, once per entry and not once per posting.
         .select(
             "keyword",
             "hash",
             weighted_score(
                 F.col("title").contains(F.col("keyword")),
-                F.col("excerpt").contains(F.col("keyword")),
+                F.col("body").contains(F.col("keyword")),
                 F.lit(True),
                 F.col("type_weight"),
             ).alias("relevance_score"),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import js_trim, query_keywords
@@ -17,10 +17,6 @@ BE_SPECIFIC = "Try using more specific keywords"
 BE_GENERAL = "Try using fewer or more general keywords"
 FILTER_BY_TYPE = "Try filtering by type: documentation, template-pattern, or code-example"
 
-#: Candidates kept per query before metadata is fetched, as a multiple of the result limit.
-CANDIDATE_FACTOR = 3
-
-
 def query_terms(queries: DataFrame) -> DataFrame:
     """``query_id, term_pos, keyword``: the distinct terms of every query."""
     return queries.select("query_id", F.posexplode(query_keywords(F.col("text"))).alias("term_pos", "keyword"))
@@ -48,52 +44,51 @@ def ranked_search(
     postings: DataFrame,
     meta: DataFrame,
     limit: int = 10,
-    prefilter: bool = False,
     owners: Sequence[str] | None = None,
+    candidate_factor: int | None = None,
 ) -> DataFrame:
     """Ranked results of every query.
 
-    ``queries`` has ``query_id, text`` and optionally ``type, sub_type``.  By default the type
-    filters apply after the candidate cut, so a result may hold fewer rows than ``limit`` although
-    more entries match; ``prefilter=True`` filters first.  ``total_results`` counts inside the cut.
+    ``queries`` has ``query_id, text`` and optionally ``type, sub_type``.  Filters apply to all matches and
+    ``total_results`` counts all that pass.  ``candidate_factor`` cuts at that multiple of ``limit`` before the type
+    filters, as a saved search may want it: a result may then hold fewer rows than ``limit``, and counts inside the cut.
     """
+    typed = [name for name in ("type", "sub_type") if name in queries.columns]
     for name in ("type", "sub_type"):
         if name not in queries.columns:
             queries = queries.withColumn(name, F.lit(None).cast("string"))
-    if owners is not None:
-        meta = meta.where(F.col("owner").isin(list(owners)))
     filters = queries.select(
         "query_id", F.col("type").alias("want_type"), F.col("sub_type").alias("want_sub_type")
     )
-    details = meta.select(
-        "hash", "title", "excerpt", F.col("content_path").alias("file_path"), "type", "sub_type", "repository"
-    )
     matches = _wanted("type", "want_type") & _wanted("sub_type", "want_sub_type")
     scores = search_scores(queries, postings)
-    if prefilter:
-        # Only the two filter columns travel before the cut; titles and excerpts come after it.
-        kinds = meta.select("hash", "type", "sub_type")
+    # Only the filter columns travel before the cut; titles and excerpts come after it.
+    kinds = meta.select("hash", "type", "sub_type", "owner") if owners is not None else meta.select("hash", "type", "sub_type")
+    if owners is not None:
+        kinds = kinds.where(F.col("owner").isin(list(owners))).drop("owner")
+    if candidate_factor is not None:
+        if owners is not None:
+            scores = scores.join(kinds, "hash", "left_semi")
+        scores = top_k(scores, ["query_id"], _ranking(), candidate_factor * limit, "_candidate").drop("_candidate")
+    if typed or owners is not None:
         scores = scores.join(kinds, "hash").join(filters, "query_id").where(matches)
         scores = scores.select("query_id", "hash", "total_score", "first_pos")
-    candidates = top_k(scores, ["query_id"], _ranking(), CANDIDATE_FACTOR * limit, "_candidate")
-    found = candidates.join(details, "hash").join(filters, "query_id").where(matches)
-    per_query = Window.partitionBy("query_id")
-    return (
-        found.withColumn("total_results", F.count(F.lit(1)).over(per_query))
-        .withColumn("rank", F.row_number().over(per_query.orderBy("_candidate")))
-        .where(F.col("rank") <= limit)
-        .select(
-            "query_id",
-            "rank",
-            "title",
-            "excerpt",
-            "file_path",
-            "type",
-            "sub_type",
-            F.col("total_score").alias("relevance_score"),
-            "repository",
-            "total_results",
-        )
+    totals = scores.groupBy("query_id").agg(F.count(F.lit(1)).alias("total_results"))
+    top = top_k(scores, ["query_id"], _ranking(), limit, "rank")
+    details = meta.select(
+        "hash", "title", "excerpt", F.col("content_path").alias("file_path"), "type", "sub_type", "repository"
+    )
+    return top.join(details, "hash").join(totals, "query_id").select(
+        "query_id",
+        "rank",
+        "title",
+        "excerpt",
+        "file_path",
+        "type",
+        "sub_type",
+        F.col("total_score").alias("relevance_score"),
+        "repository",
+        "total_results",
     )
 
 

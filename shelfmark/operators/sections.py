@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from shelfmark.functions.text import (
     LINE_ENDS,
     WS_INLINE,
-    content_hash,
     excerpt,
     js_trim,
     keywords,
+    path_hash,
     slugify,
     with_fallback,
 )
@@ -81,7 +81,7 @@ def markdown_entries(files: DataFrame) -> DataFrame:
             "file_ord",
             "sec_ord",
             "content_path",
-            content_hash(F.col("content_path")).alias("hash"),
+            path_hash(F.col("content_path")).alias("hash"),
             F.col("heading").alias("title"),
             excerpt(F.col("body")).alias("excerpt"),
             F.col("body").alias("content"),

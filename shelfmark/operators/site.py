@@ -96,12 +96,12 @@ def sync_plan(build: DataFrame, deployed: DataFrame) -> DataFrame:
 
     Texts are compared by hash, so only paths and hashes are shuffled.
     """
-    new = build.select("path", F.sha2("html", 256).alias("_new"))
-    old = deployed.select("path", F.sha2("html", 256).alias("_old"))
+    new = build.select("path", F.sha2("html", 256).alias("_new"), F.lit(True).alias("_built"))
+    old = deployed.select("path", F.sha2("html", 256).alias("_old"), F.lit(True).alias("_deployed"))
     action = (
-        F.when(F.col("_old").isNull(), "add")
-        .when(F.col("_new").isNull(), "delete")
-        .when(F.col("_new") != F.col("_old"), "update")
+        F.when(F.col("_deployed").isNull(), "add")
+        .when(F.col("_built").isNull(), "delete")
+        .when(~F.col("_new").eqNullSafe(F.col("_old")), "update")
     )
     return new.join(old, "path", "full").select("path", action.alias("action")).where(F.col("action").isNotNull())
 

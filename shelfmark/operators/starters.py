@@ -23,11 +23,11 @@ SIDECAR_SCHEMA = ", ".join(
     + ["hasCacheData boolean", "has_cache_data boolean"]
     + [
         f"{c} string"
-        for c in (
-            "deploymentPlatform deployment_platform author license repository github_url githubUrl repositoryType "
-            "repository_type version lastUpdated last_updated"
-        ).split()
-    ]
+        for c in [
+            "deploymentPlatform", "deployment_platform", "author", "license", "repository", "github_url", "githubUrl",
+            "repositoryType", "repository_type", "version", "lastUpdated", "last_updated",
+        ]
+    ]
 )
 
 EMPTY_ARRAY = "array<string>"

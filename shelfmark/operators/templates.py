@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import exceeds
+from shelfmark.functions.text import byte_size, exceeds
 from shelfmark.functions.versions import human_version
 from shelfmark.operators.chunks import DEFAULT_CHUNK_BYTES, chunk_content
 from shelfmark.operators.yaml_documents import load_template, scalar_text
@@ -72,15 +72,15 @@ def template_details(files: DataFrame, key: str = "key") -> DataFrame:
 def template_summaries(
     files: DataFrame, key: str = "key", threshold: int = SUMMARY_BYTES, chunk_bytes: int = DEFAULT_CHUNK_BYTES
 ) -> DataFrame:
-    """Templates above the threshold: details without the text, and the number of chunks it has."""
-    large = files.where(exceeds(F.col("content"), threshold))
-    totals = chunk_content(large, key, "content", chunk_bytes).where("chunk_index = 0").select(key, "total_chunks")
+    """Details of every template without its text, its size, whether that exceeds the threshold, and its number of chunks."""
+    sizes = files.select(key, byte_size(F.col("content")).alias("content_bytes"), exceeds(F.col("content"), threshold).alias("content_truncated"))
+    totals = chunk_content(files, key, "content", chunk_bytes).where("chunk_index = 0").select(key, "total_chunks")
     resources = F.transform(
         F.map_entries("resources"), lambda e: F.struct(e["key"].alias("logical_id"), e["value"].alias("type"))
     )
     return (
-        template_details(large, key)
+        template_details(files, key)
         .join(totals, key)
+        .join(sizes, key)
         .withColumn("resources", resources)
-        .withColumn("content_truncated", F.lit(True))
     )

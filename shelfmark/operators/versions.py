@@ -134,8 +134,8 @@ def resolve_short(requests: DataFrame, versions: DataFrame, column: str = "curre
 
 
 def resolve_id(requests: DataFrame, versions: DataFrame, column: str = "current_version") -> DataFrame:
-    """Adds ``resolved_version`` and ``error``; an unknown id is an error."""
-    lookup = versions.select(
+    """Adds ``resolved_version`` and ``error``; an unknown id is an error, and of repeated ids the newest row counts."""
+    lookup = first_wins(versions, [*KEY, "version_id"], _newest_first()).select(
         *KEY, F.col("version_id").alias(column), F.col("version").alias("resolved_version"), F.lit(True).alias("_known")
     )
     return (

@@ -12,9 +12,10 @@ except ImportError:  # templates are then reported as unreadable
     yaml = None
 
 # The accepted tags.
-TAGS = (
-    "Ref Sub If GetAtt Join Select Split FindInMap ImportValue GetAZs Condition Equals And Or Not Base64 Cidr Transform"
-).split()
+TAGS = [
+    "Ref", "Sub", "If", "GetAtt", "Join", "Select", "Split", "FindInMap", "ImportValue", "GetAZs", "Condition", "Equals",
+    "And", "Or", "Not", "Base64", "Cidr", "Transform",
+]
 
 _CORE_TYPES = [
     ("bool", r"^(?:true|True|TRUE|false|False|FALSE)$", "tTfF"),

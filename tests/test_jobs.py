@@ -110,7 +110,7 @@ def test_first_wins_limits_before_the_shuffle(spark):
 
 @needs_data
 def test_no_cartesian_products(spark):
-    names = ["ranked_search_prefiltered", "check_updates", "point_lookup", "starters_with_sidecars", "rate_limit", "latency_by_tool"]
+    names = ["ranked_search_cut_first", "check_updates", "point_lookup", "starters_with_sidecars", "rate_limit", "latency_by_tool"]
     for name in names:
         text = plan(entry_module.queries()[name](spark, DATA))
         assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text, name

@@ -43,8 +43,9 @@ def test_filter_after_cut(spark):
         F.lit("o").alias("owner"),
     )
     queries = spark.createDataFrame([(1, "key", "rare")], "query_id int, text string, type string")
-    assert ranked_search(queries, postings, meta, limit=1).count() == 0
-    assert ranked_search(queries, postings, meta, limit=1, prefilter=True).count() == 1
+    assert ranked_search(queries, postings, meta, limit=1, candidate_factor=3).count() == 0
+    found = ranked_search(queries, postings, meta, limit=1).collect()
+    assert [(r["rank"], r["total_results"]) for r in found] == [(1, 5)]
 
 
 def _history(spark, *rows):

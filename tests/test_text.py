@@ -103,7 +103,7 @@ def test_entries(spark):
     rows = markdown_entries(_files(spark, "# Install\nRun npm install\n# !!!\nx\n# The\n")).collect()
     entry = next(r for r in rows if r["title"] == "Install")
     assert (entry["content_path"], entry["keywords"]) == ("o/r/f0.md/install", ["install", "run", "npm"])
-    assert len(entry["hash"]) == 16
+    assert len(entry["hash"]) == 64
     assert {r["title"]: r["keywords"] for r in rows}["The"] == ["the"]
     assert len(rows) == 2
 

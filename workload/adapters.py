@@ -9,19 +9,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from shelfmark.functions.text import PYTHON_STOP_WORDS as PYTHON_STOP
+from shelfmark.functions.text import QUERY_STOP_WORDS as QUERY_STOP
+from shelfmark.functions.text import STOP_WORDS as STOP
 from shelfmark.session import spread
 from workload.registry import Tables, cte
 
-STOP = (
-    "a an the and or but in on at to for of with by from is it as be was are this that not can will do if "
-    "you your we our has have had been would could should may might shall its also into than then each "
-    "which their them these those such when how what where who all any both no so up out about just more "
-    "some other over"
-).split()
-PYTHON_STOP = STOP + "self cls none true false return returns".split()
-QUERY_STOP = "the and for with from this that are was were been have has had".split()
-
-
 def sql_list(words) -> str:
     return "[" + ", ".join(f"'{w}'" for w in words) + "]"
 
@@ -111,7 +104,7 @@ cte(
     rf"""
     SELECT owner, repo AS repository, src_ord, file_ord, sec_ord,
            owner || '/' || repo || '/' || path || '/' || slug AS content_path,
-           substring(sha256(owner || '/' || repo || '/' || path || '/' || slug), 1, 16) AS hash,
+           sha256(owner || '/' || repo || '/' || path || '/' || slug) AS hash,
            heading AS title, substring(body, 1, 200) AS excerpt, body AS content,
            'documentation' AS type, 'guide' AS sub_type,
            CASE WHEN len(kw) > 0 THEN kw
@@ -124,7 +117,7 @@ cte(
     "md_unique",
     """
     SELECT * FROM md_entries
-    QUALIFY row_number() OVER (PARTITION BY hash ORDER BY src_ord, repository, file_ord, sec_ord) = 1
+    QUALIFY row_number() OVER (PARTITION BY content_path ORDER BY src_ord, repository, file_ord, sec_ord) = 1
     """,
 )
 cte(
@@ -132,23 +125,22 @@ cte(
     """
     SELECT keyword, hash,
            CAST(floor((CASE WHEN contains(lower(title), keyword) THEN 10 ELSE 0 END
-                     + CASE WHEN contains(lower(excerpt), keyword) THEN 5 ELSE 0 END + 3) * 1.0 + 0.5) AS INTEGER)
+                     + CASE WHEN contains(lower(content), keyword) THEN 5 ELSE 0 END + 3) * 1.0 + 0.5) AS INTEGER)
              AS relevance_score,
            CAST(1.0 AS DOUBLE) AS type_weight
-    FROM (SELECT hash, title, excerpt, unnest(keywords) AS keyword FROM md_unique)
+    FROM (SELECT hash, title, content, unnest(keywords) AS keyword FROM md_unique)
     """,
 )
 
 
 def search_queries(t: Tables) -> DataFrame:
-    """The first four words of every benchmark text as a query."""
-    words = F.slice(F.split("text", " "), 1, 4)
-    return t.benchmark.select(F.col("item_id").alias("query_id"), F.array_join(words, " ").alias("text"))
+    """Every benchmark text as a query."""
+    return t.benchmark.select(F.col("item_id").alias("query_id"), "text")
 
 
 cte(
     "search_queries",
-    "SELECT item_id AS query_id, array_to_string(string_split(text, ' ')[1:4], ' ') AS text FROM benchmark",
+    "SELECT item_id AS query_id, text FROM benchmark",
 )
 cte(
     "search_terms",

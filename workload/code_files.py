@@ -53,7 +53,7 @@ def _fill_sql(template: str) -> str:
 
 
 def _described(t):
-    line = F.regexp_replace(F.split("text", "\n")[0], "[^A-Za-z ]", "")
+    line = F.regexp_replace("text", "[^A-Za-z ]", "")
     line = F.trim(F.regexp_replace(line, " +", " "))
     return spread(t.documents).select(
         "doc_id",
@@ -70,7 +70,7 @@ cte(
     "described",
     """SELECT doc_id, doc_id % 10 AS m, 'org' || (doc_id % 3) AS owner, source AS repo, CAST(doc_id % 3 AS INTEGER) AS src_ord, doc_id AS file_ord,
               CASE WHEN line = '' THEN 'Nothing here' ELSE line END AS d
-       FROM (SELECT *, trim(regexp_replace(regexp_replace(string_split(text, chr(10))[1], '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g')) AS line FROM documents)""",
+       FROM (SELECT *, trim(regexp_replace(regexp_replace(text, '[^A-Za-z ]', '', 'g'), ' +', ' ', 'g')) AS line FROM documents)""",
 )
 
 
@@ -92,7 +92,7 @@ def _entry_sql(path: str, title: str, content: str, words: str, kind: tuple[str,
     fill = _fill_sql
     kw = A.sql_keywords(fill(words), stop=A.PYTHON_STOP, keep="a-z0-9_", sep="_") if python else A.sql_keywords(fill(words))
     full = f"owner || '/' || repo || '/' || {fill(path)}"
-    return f"""SELECT owner, repo AS repository, src_ord, file_ord, {full} AS content_path, substring(sha256({full}), 1, 16) AS hash,
+    return f"""SELECT owner, repo AS repository, src_ord, file_ord, {full} AS content_path, sha256({full}) AS hash,
                       {fill(title)} AS title, substring({fill(content)}, 1, 200) AS excerpt, {fill(content)} AS content,
                       '{kind[0]}' AS type, '{kind[1]}' AS sub_type, {kw} AS keywords FROM described {where}"""
 
@@ -233,15 +233,16 @@ def _(t):
 
 @query(
     "template_summaries",
-    """SELECT doc_id AS key, 'v1.' || m || '.0/2024-01-15' AS version, d AS description, 'Bucket' || doc_id || ':AWS::S3::Bucket' AS first_resource,
-              true AS content_truncated FROM described WHERE doc_id % 7 <> 0 AND strlen(""" + _fill_sql(_YAML) + ") > 400",
+    """SELECT doc_id AS key, CASE WHEN ok THEN 'v1.' || m || '.0/2024-01-15' END AS version, CASE WHEN ok THEN d ELSE '' END AS description,
+              CASE WHEN ok THEN 'Bucket' || doc_id || ':AWS::S3::Bucket' END AS first_resource, bytes > 400 AS content_truncated, bytes AS content_bytes
+       FROM (SELECT *, doc_id % 7 <> 0 AS ok, CAST(CASE WHEN ok THEN strlen(""" + _fill_sql(_YAML) + ") ELSE 13 END AS INTEGER) AS bytes FROM described)",
 )
 def _(t):
     found = template_summaries(_template_files(t), threshold=400, chunk_bytes=100)
     first = F.get("resources", F.lit(0))
     return found.select(
         "key", "version", "description", F.concat(first["logical_id"], F.lit(":"), first["type"]).alias("first_resource"),
-        "content_truncated",
+        "content_truncated", "content_bytes",
     )
 
 

@@ -134,12 +134,12 @@ def _(t):
 
 
 _RANKED = """
-    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cand) AS INTEGER) AS rank, title, excerpt,
-           content_path AS file_path, type, sub_type, total_score AS relevance_score, repository,
+    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY total_score DESC, first_pos, hash) AS INTEGER) AS rank,
+           title, excerpt, content_path AS file_path, type, sub_type, total_score AS relevance_score, repository,
            count(*) OVER (PARTITION BY query_id) AS total_results
-    FROM search_candidates JOIN md_unique USING (hash) {where} QUALIFY rank <= 10
+    FROM {hits} JOIN md_unique USING (hash) {where} QUALIFY rank <= 10
 """
-cte("search_ranked", _RANKED.format(where=""))
+cte("search_ranked", _RANKED.format(hits="search_scored", where=""))
 
 
 @query("ranked_search", "SELECT * FROM search_ranked")
@@ -158,7 +158,7 @@ def _typed(t):
 
 @query(
     "ranked_search_by_type",
-    _RANKED.format(where="WHERE query_id % 3 <> 0"),
+    _RANKED.format(hits="search_scored", where="WHERE query_id % 3 <> 0"),
 )
 def _(t):
     entries, rows = _index(t)
@@ -166,25 +166,21 @@ def _(t):
 
 
 @query(
-    "ranked_search_prefiltered",
-    """
-    SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY total_score DESC, first_pos, hash) AS INTEGER) AS rank,
-           title, file_path, total_score AS relevance_score, total_results
-    FROM (SELECT s.*, title, content_path AS file_path,
-                 least(30, count(*) OVER (PARTITION BY query_id)) AS total_results
-          FROM search_scored s JOIN md_unique u USING (hash) WHERE query_id % 3 <> 0)
-    QUALIFY rank <= 10
-    """,
+    "ranked_search_cut_first",
+    "SELECT query_id, rank, title, file_path, relevance_score, total_results FROM ("
+    + _RANKED.format(hits="search_candidates", where="WHERE query_id % 3 <> 0")
+    + ")",
 )
 def _(t):
+    """As ``ranked_search_by_type``, with the optional cut at three times the limit ahead of the filters."""
     entries, rows = _index(t)
-    found = ranked_search(_typed(t), rows, entries, prefilter=True)
+    found = ranked_search(_typed(t), rows, entries, candidate_factor=3)
     return found.select("query_id", "rank", "title", "file_path", "relevance_score", "total_results")
 
 
 @query(
     "ranked_search_by_owner",
-    """SELECT query_id, title, file_path, relevance_score FROM (""" + _RANKED.format(where="WHERE owner = 'org1'") + ")",
+    """SELECT query_id, title, file_path, relevance_score FROM (""" + _RANKED.format(hits="search_scored", where="WHERE owner = 'org1'") + ")",
 )
 def _(t):
     entries, rows = _index(t)
@@ -229,7 +225,7 @@ def _(t):
 @query(
     "index_consistency",
     """
-    SELECT 'bad_hash' AS check_name, count(*) AS violations FROM md_unique WHERE hash <> substring(sha256(content_path), 1, 16)
+    SELECT 'bad_hash' AS check_name, count(*) AS violations FROM md_unique WHERE hash <> sha256(content_path)
     UNION ALL SELECT 'duplicate_hash', count(*) FROM (SELECT hash FROM md_unique GROUP BY hash HAVING count(*) > 1)
     UNION ALL SELECT 'excerpt_not_prefix', count(*) FROM md_unique WHERE NOT starts_with(content, excerpt) OR length(excerpt) > 200
     UNION ALL SELECT 'no_keywords', count(*) FROM md_unique WHERE len(keywords) = 0

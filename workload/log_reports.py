@@ -77,8 +77,7 @@ def _(t):
     """SELECT request_id, message, ip, status FROM (
          SELECT log_id AS request_id, ts, message, NULL AS ip, CAST(NULL AS INTEGER) AS status FROM logs
          WHERE regexp_matches(message, '(?i)rate limit') OR regexp_matches(message, '(?i)too many requests')
-         UNION ALL SELECT request_id, ts, NULL, ip, status FROM access_log WHERE status = 429)
-       ORDER BY ts DESC, request_id DESC, status ASC NULLS FIRST LIMIT 100""",
+         UNION ALL SELECT request_id, ts, NULL, ip, status FROM access_log WHERE status = 429)""",
 )
 def _(t):
     return L.rate_limit_violations(A.logs(t), A.access_log(t)).drop("ts")
@@ -97,7 +96,7 @@ def _(t):
 
 @query(
     "recent_problems",
-    f"""SELECT log_id, log_stream, tag AS logging_type, rest AS logging_message FROM {_RECENT.format(n=500)}
+    f"""SELECT log_id, log_stream, tag AS logging_type, rest AS logging_message FROM tagged
         WHERE tag IN ('ERROR', 'WARN') OR contains(message, 'Task timed out')""",
 )
 def _(t):
@@ -106,7 +105,7 @@ def _(t):
 
 @query(
     "recent_cold_starts",
-    f"SELECT log_id, log_stream, rest AS ms FROM {_RECENT.format(n=100)} WHERE tag = 'COLDSTART'",
+    f"SELECT log_id, log_stream, rest AS ms FROM tagged WHERE tag = 'COLDSTART'",
 )
 def _(t):
     return L.cold_start_lines(A.logs(t)).drop("ts", "logging_type")
@@ -377,7 +376,7 @@ def _(t):
                round(avg(TRY_CAST(regexp_extract(message, 'results[:\s]+(\d+)', 1) AS BIGINT)), 6) AS avg_results,
                round(avg(TRY_CAST(regexp_extract(message, 'duration[:\s]+(\d+)', 1) AS BIGINT)), 6) AS avg_duration,
                max(TRY_CAST(regexp_extract(message, 'duration[:\s]+(\d+)', 1) AS BIGINT)) AS max_duration
-        FROM logs WHERE regexp_matches(message, '(?i)search_documentation') GROUP BY 1 ORDER BY search_count DESC, search_query LIMIT 20""",
+        FROM logs WHERE regexp_matches(message, '(?i)search_documentation') GROUP BY 1""",
 )
 def _(t):
     return _rounded(L.search_query_stats(A.logs(t)), "avg_results", "avg_duration")
