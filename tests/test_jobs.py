@@ -133,3 +133,69 @@ def test_registry():
 @needs_data
 def test_entry(spark):
     assert entry_module.entry(spark).count() > 0
+
+
+def _files(spark, *bodies):
+    rows = [("o", "r", 0, k, f"docs/{k}.md", f"# Title {k}\n{body}") for k, body in enumerate(bodies)]
+    return spark.createDataFrame(rows, "owner string, repo string, src_ord int, file_ord bigint, path string, content string")
+
+
+def test_a_failed_rebuild_leaves_the_version_as_it_was(spark, tmp_path, monkeypatch):
+    from datetime import datetime, timezone
+
+    from shelfmark.sources import index_store
+
+    now = datetime(2025, 1, 1, tzinfo=timezone.utc)
+    store = index_store.IndexStore(spark, str(tmp_path / "index"))
+    version = store.build(_files(spark, "alpha words"), now)
+
+    def broken(*_args, **_more):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(index_store, "postings", broken)
+        with pytest.raises(RuntimeError):
+            store.build(_files(spark, "beta words"), now)
+    assert [r["title"] for r in store.read("entry_meta", now).collect()] == ["Title 0"]
+    assert {r["keyword"] for r in store.read("postings", now).collect()} >= {"alpha"}
+    assert "beta" not in {k for r in store.read("entry_meta", now).collect() for k in r["keywords"]}
+    assert len(store.clean_up()) == 1 and store.clean_up() == []
+    # a second build of the same version replaces it as a whole
+    assert store.build(_files(spark, "beta words"), now) == version
+    assert "alpha" not in {r["keyword"] for r in store.read("postings", now).collect()}
+    assert store.versions() == [version]
+
+
+def test_one_of_two_moves_of_the_pointer_fails(spark, tmp_path):
+    from datetime import datetime, timezone
+
+    from shelfmark.sources.index_store import IndexStore
+
+    now = datetime(2025, 1, 1, tzinfo=timezone.utc)
+    store = IndexStore(spark, str(tmp_path / "index"))
+    store.build(_files(spark, "alpha"), now, version="a")
+    sequence, active, _ = store.pointer()
+    with pytest.raises(RuntimeError):
+        store._move(sequence, "b", active, now)
+    assert store.pointer()[:2] == (sequence, "a")
+
+
+def test_null_values_are_not_absent_rows(spark):
+    from shelfmark.operators.catalog import changed_items
+    from shelfmark.operators.site import sync_plan
+
+    pages = spark.createDataFrame([("same", None), ("new", None)], "path string, html string")
+    old = spark.createDataFrame([("same", None), ("gone", None)], "path string, html string")
+    assert {tuple(r) for r in sync_plan(pages, old).collect()} == {("new", "add"), ("gone", "delete")}
+    before = spark.createDataFrame([("k", "same", None), ("k", "set", None), ("k", "gone", None)], "key string, item string, value string")
+    after = spark.createDataFrame([("k", "same", None), ("k", "set", "1"), ("k", "new", None)], "key string, item string, value string")
+    found = {(r["item"], r["change"]) for r in changed_items(before, after, ["key"], "item", "value").collect()}
+    assert found == {("set", "changed"), ("gone", "removed"), ("new", "added")}
+
+
+def test_the_package_is_shipped_to_workers(spark):
+    from shelfmark.session import ship
+
+    ship(spark)
+    files = spark.sparkContext._jsc.sc().listFiles().mkString(",")
+    assert "shelfmark.zip" in files
