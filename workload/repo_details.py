@@ -243,13 +243,14 @@ cte(
 
 @query(
     "select_archives",
-    """SELECT a.k, a.owner, a.name, r.tag_name, coalesce('zip/' || r.id, 'https://api.github.com/repos/' || a.owner || '/' || a.name || '/zipball/' || a.default_branch) AS archive_url
-       FROM api_repos a LEFT JOIN latest_releases r ON r.repo = a.name WHERE a.k % 6 <> 0""",
+    r"""SELECT TRY_CAST(regexp_extract(a.name, '(\d+)', 1) AS BIGINT) AS k, a.owner, a.name, r.tag_name, coalesce('zip/' || r.id, 'https://api.github.com/repos/' || a.owner || '/' || a.name || '/zipball/' || a.default_branch) AS archive_url
+       FROM api_repos a LEFT JOIN latest_releases r ON r.repo = a.name""",
 )
 def _(t):
-    repos = api_repos(t).where("k % 6 <> 0")
+    repos = api_repos(t)
     found = RS.select_archives(repos, releases(t))
-    return found.select(F.regexp_extract("name", r"(\d+)", 1).cast("bigint").alias("k"), "owner", "name", "tag_name", "archive_url")
+    key = F.regexp_extract("name", r"(\d+)", 1).try_cast("bigint")
+    return found.select(key.alias("k"), "owner", "name", "tag_name", "archive_url")
 
 
 def _properties(t):
@@ -277,9 +278,9 @@ def _(t):
 
 @query(
     "repo_details",
-    """SELECT a.k, a.name, a.stars, CASE WHEN a.k % 4 = 1 THEN 'Read me ' || a.k END AS readme, r.tag_name, 'u' || (r.id % 9) AS author
+    r"""SELECT TRY_CAST(regexp_extract(a.name, '(\d+)', 1) AS BIGINT) AS k, a.name, a.stars, CASE WHEN a.k % 4 = 1 THEN 'Read me ' || a.k END AS readme, r.tag_name, 'u' || (r.id % 9) AS author
        FROM api_repos a LEFT JOIN (SELECT 'repo' || o_custkey AS repo, o_orderkey AS id, 'v' || o_orderkey AS tag_name FROM orders
-         QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) r ON r.repo = a.name WHERE a.k % 6 <> 0""",
+         QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1) r ON r.repo = a.name""",
 )
 def _(t):
     k = F.col(_K)
@@ -287,9 +288,9 @@ def _(t):
     readmes = t.customer.where(k % 4 == 1).select(
         _say("org", k % 4).alias("owner"), _say("repo", k).alias("repo"), F.lit("README.md").alias("path"), encoded.alias("content")
     )
-    details = RS.repo_details(api_repos(t).where("k % 6 <> 0"), readmes, releases(t))
+    details = RS.repo_details(api_repos(t), readmes, releases(t))
     return details.select(
-        F.regexp_extract("name", r"(\d+)", 1).cast("bigint").alias("k"), "name", "stars", "readme",
+        F.regexp_extract("name", r"(\d+)", 1).try_cast("bigint").alias("k"), "name", "stars", "readme",
         F.col("release.tag_name").alias("tag_name"), F.col("release.author").alias("author"),
     )
 
