@@ -64,8 +64,8 @@ def _case(field: str) -> str:
 
 cte(
     "name_words",
-    f"""SELECT p_partkey AS id, CAST(p_partkey % {len(_SHAPES)} AS INTEGER) AS shape, split_part(p_name, ' ', 1) AS w,
-               upper(split_part(p_name, ' ', 1)) AS u, p_partkey % 10 AS d FROM part""",
+    f"""SELECT p_partkey AS id, CAST(p_partkey % {len(_SHAPES)} AS INTEGER) AS shape, replace(p_name, ' ', '') AS w,
+               upper(replace(p_name, ' ', '')) AS u, p_partkey % 10 AS d FROM part""",
 )
 cte("expected_names", f"SELECT id, shape, {', '.join(f'{_case(f)} AS {f}' for f in _FIELDS)} FROM name_words")
 
@@ -76,8 +76,8 @@ def names(t):
     words = t.part.select(
         key.alias("id"),
         (key % len(_SHAPES)).alias("shape"),
-        F.split("p_name", " ")[0].alias("w"),
-        F.upper(F.split("p_name", " ")[0]).alias("u"),
+        F.replace("p_name", F.lit(" "), F.lit("")).alias("w"),
+        F.upper(F.replace("p_name", F.lit(" "), F.lit(""))).alias("u"),
         (key % 10).alias("d"),
     )
 
@@ -157,10 +157,10 @@ def _(t):
 @query(
     "valid_stages",
     r"""SELECT p_partkey AS id, w, regexp_matches(w, '^[tbsp][a-z0-9]*$') AS valid
-        FROM (SELECT p_partkey, split_part(p_name, ' ', 1) AS w FROM part)""",
+        FROM (SELECT p_partkey, replace(p_name, ' ', '') AS w FROM part)""",
 )
 def _(t):
-    word = F.split("p_name", " ")[0]
+    word = F.replace("p_name", F.lit(" "), F.lit(""))
     return t.part.select(F.col("p_partkey").alias("id"), word.alias("w"), N.is_valid_stage(word).alias("valid"))
 
 
@@ -212,7 +212,7 @@ _REQUESTS = [
 def tool_requests(t):
     """One request per part, in fourteen shapes."""
     shape = (F.col("p_partkey") % len(_REQUESTS) + 1).cast("int")
-    quoted = F.concat(F.lit('"'), F.split("p_name", " ")[0], F.lit('"'))
+    quoted = F.concat(F.lit('"'), F.replace("p_name", F.lit(" "), F.lit("")), F.lit('"'))
     tool = F.element_at(F.array(*[F.lit(r[0]) for r in _REQUESTS]), shape)
     document = F.element_at(F.array(*[F.lit(r[1]) for r in _REQUESTS]), shape)
     return t.part.select(
@@ -229,7 +229,7 @@ def _request_sql() -> str:
     )
     return f"""SELECT id, tool, errors = '' AS valid, errors FROM (
         SELECT p_partkey AS id, CASE s {tools} END AS tool, CASE s {errors} END AS errors
-        FROM (SELECT p_partkey, p_partkey % {len(_REQUESTS)} AS s, split_part(p_name, ' ', 1) AS w FROM part))"""
+        FROM (SELECT p_partkey, p_partkey % {len(_REQUESTS)} AS s, replace(p_name, ' ', '') AS w FROM part))"""
 
 
 @query("validate_requests", _request_sql())
