@@ -92,3 +92,12 @@ def test_chunks(text, limit):
     assert "".join(chunks).replace("\n", "") == text.replace("\n", "")
     if all(len(line.encode()) <= limit for line in text.split("\n")):
         assert "\n".join(chunks) == text
+
+
+def test_a_large_file_without_a_brace_takes_seconds():
+    import time
+
+    text = "/** c */\nlet y;\n" * 60_000
+    started = time.perf_counter()
+    assert list(jsdoc_items(text)) == []
+    assert time.perf_counter() - started < 20
