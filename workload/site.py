@@ -50,14 +50,23 @@ def _(t):
     return S.replacement_totals(_applied(t))
 
 
-def _links_sql(html: str) -> str:
-    for pattern, replacement in FS.LINK_RULES:
-        pattern, replacement = pattern.replace("'", "''"), replacement.replace("'", "''").replace("$1", r"\1")
-        html = f"regexp_replace({html}, '{pattern}', '{replacement}', 'g')"
-    return html
-
-
-cte("linked_pages", f"SELECT page_id, path, {_links_sql('html')} AS html FROM site_pages")
+cte(
+    "linked_pages",
+    r"""
+    SELECT page_id, path, array_to_string(list_concat([parts[1]], list_transform(links, lambda s: 'href=' ||
+      CASE WHEN s.link IS NULL THEN s.part
+      ELSE s.part[1] || regexp_replace(
+             CASE WHEN s.part[length(s.link) + 2] = s.part[1] AND ends_with(s.named, '.md')
+                  THEN substring(s.named, 1, length(s.named) - 3) || '.html' ELSE s.named END,
+             '^(.*)\.md#', '\1.html#') || substring(s.part, length(s.link) + 2) END)), '') AS html
+    FROM (SELECT *, list_transform(found, lambda f: {'part': f.part, 'link': f.link,
+                   'named': regexp_replace(f.link, '^(.*)README\.md', '\1index.html')}) AS links
+          FROM (SELECT *, list_transform(parts[2:], lambda p: {'part': p, 'link':
+                   CASE WHEN p[1] = chr(34) THEN regexp_extract(substring(p, 2), '^[^"\n]*')
+                        WHEN p[1] = chr(39) THEN regexp_extract(substring(p, 2), '^[^''\n]*') END}) AS found
+                FROM (SELECT page_id, path, string_split(html, 'href=') AS parts FROM site_pages)))
+    """,
+)
 
 
 @query("rewrite_links", "SELECT page_id, html FROM linked_pages")
