@@ -21,6 +21,8 @@ RUNTIME_SETTINGS = {
     # A rebuild of one version replaces only that version's partition.
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Rows may be whole documents; batches of ten thousand of them fill a Python worker.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
 }
 
 
