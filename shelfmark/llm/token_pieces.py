@@ -17,7 +17,7 @@ from shelfmark.llm.base import slices
 CAPACITY = 4096
 END = 1
 #: Words whose ids a task remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 
 
 #: A character that is a token of its own between spaces and does not occur in ordinary words.
