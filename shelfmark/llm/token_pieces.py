@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -17,13 +18,11 @@ from shelfmark.llm.base import slices
 CAPACITY = 4096
 END = 1
 #: Words whose ids a task remembers before it starts anew.
-REMEMBERED = 120_000
+REMEMBERED = 300_000
 
 
 #: A character that is a token of its own between spaces and does not occur in ordinary words.
 MARK = "\x01"
-#: Signs that may follow a word and are tokens apart from its letters.
-SIGNS = ".,;:!?*%&$#|()-"
 
 
 class WordTokenizer:
@@ -33,53 +32,33 @@ class WordTokenizer:
     """
 
     def __init__(self, path: str):
+        # Spark has a task for every core already
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.mark = self._ids(MARK)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def _parts(self, word: str) -> tuple[str, ...]:
-        """The lower-case letters and the signs after them, if a word of Latin letters is that; else the word itself.
-
-        Tokens never span a letter and such a sign, so forms of one word need one encoding.
-        """
-        if max(word) < "\u0100":
-            low = word.lower()
-            letters = low.rstrip(SIGNS)
-            if letters.isalpha():
-                return (letters, low[len(letters) :]) if len(letters) < len(low) else (letters,)
-        return (word,)
-
-    def _encode_parts(self, parts: list[str]) -> None:
-        odd = [p for p in parts if len(self.mark) != 1 or MARK in p]
-        self.parts.update((p, self._ids(p).tobytes()) for p in odd)
-        plain = [p for p in parts if p not in self.parts]
+    def _learn(self, words: list[bytes]) -> None:
+        known, mark = self.known, MARK.encode()
+        plain = [w for w in words if mark not in w] if len(self.mark) == 1 else []
         groups = [plain[at : at + 200] for at in range(0, len(plain), 200)]
-        texts = [f" {MARK} ".join(group) for group in groups]
+        texts = [f" {MARK} ".join(b"\n".join(group).decode().split("\n")) for group in groups]
         for group, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
             ids = np.array(found.ids, dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark[0]), len(ids)) * 4
-            if len(ends) != len(group):  # the mark's id has other sources: one by one
-                self.parts.update((p, self._ids(p).tobytes()) for p in group)
+            ends = (np.flatnonzero(ids == self.mark[0]) * 4).tolist()
+            if len(ends) + 1 != len(group):  # the mark's id has other sources: one by one
                 continue
-            raw, at = ids.tobytes(), 0
-            for part, stop in zip(group, ends.tolist(), strict=True):
-                self.parts[part] = raw[at:stop]
-                at = stop + 4
-
-    def _learn(self, words: list[bytes]) -> None:
-        if len(self.parts) > REMEMBERED:
-            self.parts = {}
-        split = [self._parts(w.decode()) for w in words]
-        self._encode_parts([p for p in dict.fromkeys(p for ps in split for p in ps) if p not in self.parts])
-        for word, ps in zip(words, split, strict=True):
-            self.known[word] = self.parts[ps[0]] if len(ps) == 1 else self.parts[ps[0]] + self.parts[ps[1]]
+            raw = ids.tobytes()
+            known.update(zip(group, [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends]], [*ends, len(raw)], strict=True)], strict=True))
+        for word in words:
+            if word not in known:
+                known[word] = self._ids(word.decode()).tobytes()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
