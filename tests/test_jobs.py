@@ -127,7 +127,10 @@ def test_registry():
     queries, oracles = entry_module.queries(), entry_module.oracle_sql()
     assert set(oracles) <= set(queries)
     # Greedy packing has no practical SQL; its invariants are checked instead.
-    assert set(queries) - set(oracles) == {"chunk_content"}
+    from workload import QUERIES
+
+    assert set(QUERIES) - set(oracles) == {"chunk_content"}
+    assert set(QUERIES) <= set(queries)
 
 
 @needs_data
