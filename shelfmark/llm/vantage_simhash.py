@@ -23,11 +23,12 @@ from shelfmark.llm.components import Forest, components
 
 RADIUS = 4
 SHINGLE = 4
-#: Fingerprints on which the shared tree is fitted, at most; fingerprints wanted in a leaf; and in a block of a leaf.
-SAMPLE, LEAF, BLOCK = 20_000, 20_000, 40_000
+#: Fingerprints on which the shared tree is fitted, at most; fingerprints up to which a leaf is not split further, as every
+#: split sends the rows near a border twice and comparing so many takes a task or two a minute; and those of a block of a leaf.
+SAMPLE, LEAF, BLOCK = 20_000, 200_000, 65_536
 SEED = 42
 #: Points that a task compares in squares rather than by a tree of its own.
-SQUARES = 4096
+SQUARES = 16_384
 
 
 def fingerprint(text: str | None) -> int:
@@ -134,27 +135,31 @@ def routed(tree: Node, points: np.ndarray, radius: int = RADIUS) -> tuple[np.nda
     return np.concatenate(leaf), np.concatenate(index)
 
 
-def _dense(points: np.ndarray, at: np.ndarray, radius: int, forest: Forest) -> None:
-    """All links among the points at ``at``, in squares of bounded size; only a forest of them is kept."""
+def _dense(points: np.ndarray, left: np.ndarray, right: np.ndarray | None, radius: int, forest: Forest) -> None:
+    """All links between the points at ``left`` and at ``right`` (None: among those at ``left``), in squares of bounded size.
+
+    Only a forest of the links is kept.
+    """
     side = 1024
-    for i in range(0, len(at), side):
-        rows = at[i : i + side]
-        for j in range(i, len(at), side):
-            columns = at[j : j + side]
+    for i in range(0, len(left), side):
+        rows = left[i : i + side]
+        for j in range(i if right is None else 0, len(left if right is None else right), side):
+            columns = (left if right is None else right)[j : j + side]
             near = np.bitwise_count(points[rows][:, None] ^ points[columns][None, :]) <= radius
-            if i == j:
+            same = right is None and i == j
+            if same:
                 near = np.triu(near, 1)
-            if near.sum() <= 4 * side:
+            if np.count_nonzero(near) <= 4 * side:
                 for a, b in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
                     forest.join(int(rows[a]), int(columns[b]))
                 continue
             # many links: repeated least labels give the square's components
             own = np.arange(len(rows))
-            other = own if i == j else len(rows) + np.arange(len(columns))
+            other = own if same else len(rows) + np.arange(len(columns))
             while True:
                 a = np.minimum(own, np.where(near, other[None, :], len(rows) + side).min(1))
                 b = np.minimum(other, np.where(near, a[:, None], len(rows) + side).min(0))
-                if i == j:
+                if same:
                     a = b = np.minimum(a, b)
                 if (a == own).all() and (b == other).all():
                     break
@@ -173,7 +178,7 @@ def linked(points: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
         at = todo.pop()
         made = split(points[at], radius, rng) if len(at) > SQUARES else None
         if made is None:
-            _dense(points, at, radius, forest)
+            _dense(points, at, None, radius, forest)
         else:
             todo += [at[part] for part in shells(points[at], *made, radius) if len(part) > 1]
     return forest.stars()
@@ -199,8 +204,15 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(points[index].view(np.int64))], names=["leaf", "fp"])
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        points = np.unique(group["fp"].to_numpy()).view(np.uint64)
-        found = np.array(linked(points, radius), np.int64).reshape(-1, 2)
+        group = group.drop_duplicates("fp")
+        points, first = group["fp"].to_numpy().view(np.uint64), (group["block"] == group["one"]).to_numpy()
+        if first.all():
+            found = linked(points, radius)
+        else:
+            forest = Forest()
+            _dense(points, np.flatnonzero(first), np.flatnonzero(~first), radius, forest)
+            found = forest.stars()
+        found = np.array(found, np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": points[found[:, 0]].view(np.int64), "b": points[found[:, 1]].view(np.int64)})
 
     leaves = stored(prints.select("fp").mapInArrow(route, "leaf long, fp long"), "leaves")
@@ -209,7 +221,7 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     dealt = leaves.join(F.broadcast(sizes), "leaf")
     block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     dealt = dealt.select("leaf", "fp", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("leaf", "fp", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    dealt = dealt.select("leaf", "fp", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
     return dealt.groupBy("leaf", "one", "two").applyInPandas(search, "a long, b long")
 
 
