@@ -53,6 +53,47 @@ def test_exact_passages_and_paraphrases(tables, spark):
     assert len({d for d, _ in found if d < 10_000} - {d for d, _ in exact}) <= 1
 
 
+def leaks_by_force(words, item):
+    """Length of the best leak of an item, comparing the stretch at every word."""
+    size, found = len(item.words), 0
+    masks, answer = latent_decontam.masks_of(list(item.words)), latent_decontam.masks_of(list(item.answer))
+    for at in range(len(words)):
+        part = words[at : at + size + size // 2 + 2]
+        length = latent_decontam.subsequence(masks, size, part)
+        answered = latent_decontam.subsequence(answer, len(item.answer), part) >= 0.8 * len(item.answer)
+        if length / size >= 0.75 or length / size >= 0.6 and answered:
+            found = max(found, length)
+    return found
+
+
+def test_every_leak_is_found_whatever_surrounds_it(spark, monkeypatch):
+    monkeypatch.setattr(latent_decontam, "PAIRS", 500)
+    rnd, texts = random.Random(3), {}
+    common, rare = [f"w{k}" for k in range(60)], [f"rare{k}" for k in range(3000)]
+    items = {i: [rnd.choice(common if rnd.random() < 0.6 else rare) for _ in range(n)] for i, n in enumerate([1, 2, 15, 40, 59, 500])}
+    for k in range(150):  # surroundings of common words, and of words that no item and no other document has
+        around = [rnd.choice(common) if k % 2 else f"only{k}x{j}" for j in range(rnd.randint(0, 300))]
+        kept = []
+        for word in items[k % len(items)]:
+            if rnd.random() < (0.6, 0.7, 0.8, 0.9, 1.0)[k % 5]:
+                kept.append(word)
+            if rnd.random() < 0.4 * (k % 3):
+                kept.append(f"only{k}y{len(kept)}")
+        at = rnd.randint(0, len(around))
+        texts[k] = [*around[:at], *kept, *around[at:]]
+    docs = spark.createDataFrame([(k, " ".join(w)) for k, w in texts.items()], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(w)) for i, w in items.items()], "item_id long, text string")
+    force = {}
+    for i, w in items.items():
+        item = latent_decontam.item_of(i, " ".join(w))
+        for k, words in texts.items():
+            if length := leaks_by_force([x.encode() for x in words], item):
+                force[k, i] = length / len(w)
+    found = {(r["doc_id"], r["item_id"]): r["overlap"] for r in latent_decontam.contaminated(docs, benchmark).collect()}
+    assert sum(i == 5 for _, i in force) >= 5
+    assert found == force
+
+
 def test_odd_rows_and_items(odd_docs, no_docs, spark, monkeypatch):
     monkeypatch.setattr(latent_decontam, "ITEMS", 2)
     line = " ".join(f"term{k}" for k in range(40))
