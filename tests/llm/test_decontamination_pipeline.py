@@ -94,6 +94,23 @@ def test_every_leak_is_found_whatever_surrounds_it(spark, monkeypatch):
     assert found == force
 
 
+def test_leaks_and_cosines_are_the_same_in_blocks_of_items(spark, monkeypatch):
+    rnd = random.Random(4)
+    items = [(i, " ".join(f"w{int(rnd.expovariate(0.02))}" for _ in range(30))) for i in range(12)]
+    docs = [(k, f"{'unheard of ' * 9}{k} x{k} {t} y{k} z{k}") for k, t in items]
+    docs, items = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+
+    def found():
+        return {(r["doc_id"], r["item_id"]): (r["overlap"], r["cosine"]) for r in latent_decontam.contaminated(docs, items).collect()}
+
+    whole = found()
+    monkeypatch.setattr(latent_decontam, "ITEMS", 5)
+    parts = found()
+    assert whole.keys() == parts.keys() and all((k, k) in whole for k in range(12))
+    assert all(whole[k] == pytest.approx(parts[k], abs=1e-4) for k in whole)
+    assert all(whole[k, k][1] > 0.99 for k in range(12))  # words of no item take nothing from it
+
+
 def test_odd_rows_and_items(odd_docs, no_docs, spark, monkeypatch):
     monkeypatch.setattr(latent_decontam, "ITEMS", 2)
     line = " ".join(f"term{k}" for k in range(40))
