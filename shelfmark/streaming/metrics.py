@@ -6,33 +6,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from shelfmark.operators.logs import metric_aggregates
-from shelfmark.operators.ranking import last_wins
+from shelfmark.operators.logs import metric_aggregates, period_start
 
 
 class MetricStream:
-    """Writes every changed period per micro-batch; the last batch that wrote a period is its value."""
+    """Writes the partial aggregates of each micro-batch, which are merged when read: a sample counts however late it is.
 
-    def __init__(self, root: str, seconds: int = 300, lateness: str = "10 minutes"):
+    A batch that is run again overwrites its own partial aggregates; no state is kept between batches.
+    """
+
+    def __init__(self, root: str, seconds: int = 300):
         self.root = root
         self.seconds = seconds
-        self.lateness = lateness
 
     def _write(self, batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{self.root}/periods/batch_id={batch_id}")
+        keyed = batch.withColumn("period", period_start(F.col("ts"), self.seconds))
+        partial = keyed.groupBy("metric", "period").agg(*metric_aggregates(), F.count("value").alias("values"))
+        partial.write.mode("overwrite").parquet(f"{self.root}/periods/batch_id={batch_id}")
 
     def start(self, metrics: DataFrame, checkpoint: str) -> StreamingQuery:
-        period = F.window("ts", f"{self.seconds} seconds")
-        series = (
-            metrics.withWatermark("ts", self.lateness)
-            .groupBy("metric", period.alias("w"))
-            .agg(*metric_aggregates())
-            .withColumn("period", F.col("w.start"))
-            .drop("w")
-        )
         return (
-            series.writeStream.outputMode("update")
-            .foreachBatch(self._write)
+            metrics.writeStream.foreachBatch(self._write)
             .option("checkpointLocation", checkpoint)
             .trigger(availableNow=True)
             .start()
@@ -40,4 +34,8 @@ class MetricStream:
 
     def series(self, spark: SparkSession) -> DataFrame:
         written = spark.read.parquet(f"{self.root}/periods")
-        return last_wins(written, ["metric", "period"], ["batch_id"]).drop("batch_id")
+        total = F.sum("sum_value")
+        return written.groupBy("metric", "period").agg(
+            F.sum("samples").alias("samples"), total.alias("sum_value"), F.try_divide(total, F.sum("values")).alias("avg_value"),
+            F.max("max_value").alias("max_value"), F.min("min_value").alias("min_value"),
+        )

@@ -1,9 +1,11 @@
 """Rate limiting of a request stream.
 
 Every micro-batch is numbered with the same native, skew-safe operator as a batch table; the only
-state is how many requests each open (client, window) has had.  Counts and verdicts of a batch go to
-folders named after the batch, and a batch reads only the counts of the one before it, so a batch that
-is run again after a failure overwrites its own output and nothing else.
+state is how many requests each (client, window) has had.  Counts of open windows are carried from batch
+to batch; those of a window that closes are set aside once, and a late request is judged by them: it comes
+after all requests of its window that arrived before.  Counts and verdicts of a batch go to folders named
+after the batch, and a batch reads only what earlier ones wrote, so a batch that is run again after a failure
+overwrites its own output and nothing else.
 """
 
 from __future__ import annotations
@@ -19,7 +21,10 @@ COUNTS_SCHEMA = "client string, reset_ms bigint, window_minutes int, seen bigint
 
 
 class RateLimitStream:
-    """Writes verdicts below ``{root}/verdicts`` and open-window counts below ``{root}/counts``."""
+    """Writes verdicts below ``{root}/verdicts`` and counts below ``{root}/counts`` (open windows) and ``{root}/closed``.
+
+    A count is in one of the two.  Closed counts are kept; a batch reads those of the windows from its oldest request on.
+    """
 
     def __init__(self, root: str, limit: int | None = None, window_minutes: int | None = None):
         self.root = root
@@ -37,25 +42,36 @@ class RateLimitStream:
                 raise RuntimeError(f"counts of batch {batch_id - 1} are missing") from error
         return spark.createDataFrame([], COUNTS_SCHEMA)
 
+    def _closed_counts(self, spark: SparkSession, batch_id: int, oldest: int | None) -> DataFrame:
+        """What earlier batches set aside of the windows that end at ``oldest`` or later."""
+        if batch_id == 0 or oldest is None:
+            return spark.createDataFrame([], COUNTS_SCHEMA)
+        try:
+            closed = spark.read.schema(f"{COUNTS_SCHEMA}, batch_id bigint").parquet(f"{self.root}/closed")
+        except AnalysisException as error:
+            raise RuntimeError(f"closed counts before batch {batch_id} are missing") from error
+        return closed.where((F.col("batch_id") < batch_id) & (F.col("reset_ms") >= oldest)).drop("batch_id")
+
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        seen = self._previous_counts(spark, batch_id)
+        still_open = self._previous_counts(spark, batch_id)
         windowed = with_windows(batch, self.limit, self.window_minutes)
+        bounds = windowed.agg(F.min("reset_ms").alias("oldest"), F.max(F.unix_millis("ts")).alias("newest")).first()
+        closed = self._closed_counts(spark, batch_id, bounds["oldest"])
+        arrived = windowed.groupBy(*WINDOW_KEYS).agg(F.count(F.lit(1)).alias("seen"))
+        seen = still_open.unionByName(closed).join(arrived.select(*WINDOW_KEYS), WINDOW_KEYS, "left_semi")
+        seen = seen.groupBy(*WINDOW_KEYS).agg(F.sum("seen").alias("seen"))
         numbered = numbered_in_window(windowed).join(seen, WINDOW_KEYS, "left")
         carried = numbered.withColumn("nth", F.col("nth") + F.coalesce("seen", F.lit(0))).drop("seen")
         path = f"{self.root}/verdicts/batch_id={batch_id}"
         verdicts(carried).write.mode("overwrite").parquet(path)
 
-        arrived = windowed.groupBy(*WINDOW_KEYS).agg(F.count(F.lit(1)).alias("seen"))
-        newest = windowed.agg(F.max(F.unix_millis("ts")).alias("newest"))
-        counts = seen.unionByName(arrived).groupBy(*WINDOW_KEYS).agg(F.sum("seen").alias("seen"))
-        # One row beside every count: the newest event time of the batch closes old windows.
-        open_counts = (
-            counts.withColumn("_one", F.lit(1))
-            .join(newest.withColumn("_one", F.lit(1)), "_one")
-            .where(F.col("newest").isNull() | (F.col("reset_ms") + STATE_GRACE_MS > F.col("newest")))
-        )
-        open_counts.select(*WINDOW_KEYS, "seen").write.mode("overwrite").parquet(self._counts_path(batch_id))
+        counts = still_open.unionByName(arrived).groupBy(*WINDOW_KEYS).agg(F.sum("seen").alias("seen"))
+        # The newest event time of the batch closes old windows.
+        newest = F.lit(bounds["newest"]).cast("bigint")
+        is_open = newest.isNull() | F.coalesce(F.col("reset_ms") + STATE_GRACE_MS > newest, F.lit(False))
+        counts.where(~is_open).write.mode("overwrite").parquet(f"{self.root}/closed/batch_id={batch_id}")
+        counts.where(is_open).write.mode("overwrite").parquet(self._counts_path(batch_id))
 
     def start(self, requests: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
         writer = requests.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry_module
 from shelfmark.operators import catalog as C
 from shelfmark.operators import versions as V
+from shelfmark.operators.logs import metric_series
 from shelfmark.operators.rate_limit import rate_limited
 from shelfmark.operators.sections import markdown_entries
 from shelfmark.sources.archives import read_archives, read_tree
 from shelfmark.sources.index_store import IndexStore
+from shelfmark.streaming.metrics import MetricStream
 from shelfmark.streaming.rate_limit import RateLimitStream
 
 DATA = "/root/testdata/sf0.001"
@@ -95,6 +97,50 @@ def test_stream_of_batches_equals_batch(spark, tmp_path):
     assert stream.verdicts(spark).select(*columns).exceptAll(batch).count() == 0
 
 
+def test_late_requests_get_no_new_allowance(spark, tmp_path):
+    batches = [[("a", 10)], [("b", 180)], [("a", 20), ("b", 181)], [("c", 400)], [("a", 30), ("c", 401)], [], [("a", 31), ("b", 150)]]
+    stream, number = RateLimitStream(str(tmp_path / "out"), 1, 60), 0
+    for batch_id, batch in enumerate(batches):
+        rows = [(client, minute, number + k) for k, (client, minute) in enumerate(batch)]
+        number += len(rows)
+        df = spark.createDataFrame(rows, "client string, minute int, request_id bigint")
+        stream.process(df.withColumn("ts", F.timestamp_seconds(F.lit(1_699_999_200) + F.col("minute") * 60)), batch_id)
+    found = {r["request_id"]: (r["client"], r["nth"], r["allowed"]) for r in stream.verdicts(spark).collect()}
+    assert [found[k] for k in range(number)] == [
+        ("a", 1, True), ("b", 1, True), ("a", 2, False), ("b", 1, True), ("c", 1, True), ("a", 3, False), ("c", 2, False),
+        ("a", 4, False), ("b", 2, False),
+    ]
+
+
+def test_late_samples_count(spark, tmp_path):
+    samples = spark.range(300).select(
+        F.concat(F.lit("m"), F.col("id") % 2).alias("metric"),
+        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("id") * 97).alias("ts"),
+        F.when(F.col("id") % 7 > 0, F.col("id").cast("double")).alias("value"),
+        (F.col("id") * 7 % 5).alias("part"),
+    )
+    stream, source = MetricStream(str(tmp_path / "out"), 3600), str(tmp_path / "in")
+    for part in (4, 1, 0, 3, 2):
+        samples.where(F.col("part") == part).drop("part").write.mode("append").parquet(source)
+        arriving = spark.readStream.schema("metric string, ts timestamp, value double").parquet(source)
+        stream.start(arriving, str(tmp_path / "checkpoint")).awaitTermination()
+    columns = ["metric", "period", "samples", "sum_value", "avg_value", "max_value", "min_value"]
+    batch = metric_series(samples, 3600, p99=False).select(*columns)
+    streamed = stream.series(spark).select(*columns)
+    assert streamed.exceptAll(batch).count() == 0 and streamed.count() == batch.count()
+
+
+def test_samples_behind_all_others_count(spark, tmp_path):
+    stream, source = MetricStream(str(tmp_path / "out"), 3600), str(tmp_path / "in")
+    for second in (1_700_000_000, 1_700_086_400, 1_700_000_060, 1_700_172_800, 1_700_000_120):
+        row = spark.createDataFrame([("m", second)], "metric string, second bigint")
+        row = row.select("metric", F.timestamp_seconds("second").alias("ts"), F.lit(1.0).alias("value"))
+        row.write.mode("append").parquet(source)
+        arriving = spark.readStream.schema("metric string, ts timestamp, value double").parquet(source)
+        stream.start(arriving, str(tmp_path / "checkpoint")).awaitTermination()
+    assert sorted(r["samples"] for r in stream.series(spark).collect()) == [1, 1, 3]
+
+
 @needs_data
 def test_first_wins_limits_before_the_shuffle(spark):
     from workload import adapters as A
