@@ -11,9 +11,11 @@ from shelfmark.llm import (
     cross_parsing,
     feistel_shards,
     grid_order_join,
+    importance_resampling,
     latent_decontam,
     paragraph_minhash,
     swap_packing,
+    token_counts,
     token_packing,
     toxic_segments,
     vantage_simhash,
@@ -96,3 +98,13 @@ def _(table):
 @query("op10_decontamination")
 def _(table):
     return latent_decontam.contaminated(table("documents"), table("benchmark"))
+
+
+@query("op12_importance_resampling")
+def _(table):
+    return importance_resampling.resample(table("documents"), table("benchmark"))
+
+
+@query("op13_token_counts")
+def _(table):
+    return token_counts.token_counts(table("documents"), tokenizer())
