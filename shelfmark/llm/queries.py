@@ -14,6 +14,7 @@ from shelfmark.llm import (
     importance_resampling,
     latent_decontam,
     paragraph_minhash,
+    spelling_variants,
     swap_packing,
     token_counts,
     token_packing,
@@ -100,6 +101,11 @@ def _(table):
     return latent_decontam.contaminated(table("documents"), table("benchmark"))
 
 
+@query("op11_spelling_variants")
+def _(table):
+    return spelling_variants.spelling_variants(table("documents"))
+
+
 @query("op12_importance_resampling")
 def _(table):
     return importance_resampling.resample(table("documents"), table("benchmark"))
