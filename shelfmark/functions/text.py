@@ -147,6 +147,39 @@ def weighted_score(in_title: Column, in_excerpt: Column, in_keywords: Column, we
     return round_half_up(base * weight)
 
 
+#: Words up to which each is looked up in a text by itself.
+_FEW = 24
+
+
+def words_within(words: Column, text: Column) -> Column:
+    """Those of the distinct lower-case ``words`` that occur in the lower-case ``text``, also inside longer words.
+
+    Words that are tokens of the text are found by one set intersection.  Only the others are looked for inside tokens:
+    one by one while they are few, else among all pieces of the distinct tokens that have the length of such a word, so that
+    the work follows the text's length and not its product with the number of words.  Words with characters that
+    separate tokens are searched in the text itself.
+    """
+    tokens = F.array_distinct(F.split(text, "[^a-z0-9-]+"))
+    whole = F.array_intersect(words, tokens)
+    rest = F.array_except(words, tokens)
+
+    def one_by_one(some: Column) -> Column:
+        return F.filter(some, lambda w: F.contains(text, w))
+
+    def pieces(length: Column) -> Column:
+        longer = F.filter(tokens, lambda t: F.length(t) > length)
+        starts = lambda t: F.sequence(F.lit(1), F.length(t) - length + 1)
+        return F.flatten(F.transform(longer, lambda t: F.transform(starts(t), lambda at: F.substring(t, at, length))))
+
+    of_letters = F.filter(rest, lambda w: w.rlike("^[a-z0-9-]+$"))
+    lengths = F.array_distinct(F.transform(of_letters, F.length))
+    inside = F.flatten(F.transform(lengths, lambda n: F.array_intersect(of_letters, pieces(n))))
+    within = F.when(F.size(rest) <= _FEW, one_by_one(rest)).otherwise(
+        F.concat(inside, one_by_one(F.filter(rest, lambda w: ~w.rlike("^[a-z0-9-]+$"))))
+    )
+    return F.concat(whole, F.when(F.size(rest) > 0, within).otherwise(F.array().cast("array<string>")))
+
+
 def relevance(keyword: Column, title: Column, excerpt_text: Column, in_keywords: Column, weight: Column) -> Column:
     """Weighted score of one keyword for one entry, ignoring case; ``in_keywords`` is a boolean."""
     word = F.lower(keyword)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.functions.text import type_weight, weighted_score
+from shelfmark.functions.text import type_weight, weighted_score, words_within
 from shelfmark.operators.ranking import first_wins
 
 #: Source, repository, file and section order; the first entry of a path is the one that stays.
@@ -20,31 +20,40 @@ def unique_entries(entries: DataFrame) -> DataFrame:
 def postings(entries: DataFrame, scored_on: str = "content") -> DataFrame:
     """``keyword, hash, relevance_score, type_weight``: one row per entry and distinct keyword.
 
-    A keyword scores where it occurs in the whole body; ``scored_on="excerpt"`` looks at the excerpt only.
+    A keyword scores where it occurs in the whole body; ``scored_on="excerpt"`` looks at the excerpt only.  An entry's words are
+    sorted by where they occur in its own row, in time that follows its length, and only words and scores leave it.
     """
-    words = F.array_distinct(F.transform("keywords", F.lower))
-    return (
-        entries.select(
-            "hash",
-            F.lower("title").alias("title"),
-            F.lower(scored_on).alias("body"),
-            type_weight(F.col("type")).alias("type_weight"),
-            F.explode(words).alias("keyword"),
-        )
-        # A posting's keyword is one of its entry's own keywords, so that part always counts; keyword,
-        # title and body are in lower case already, once per entry and not once per posting.
-        .select(
-            "keyword",
-            "hash",
-            weighted_score(
-                F.col("title").contains(F.col("keyword")),
-                F.col("body").contains(F.col("keyword")),
-                F.lit(True),
-                F.col("type_weight"),
-            ).alias("relevance_score"),
-            "type_weight",
-        )
+    # A posting's keyword is one of its entry's own keywords, so that part always counts; keywords, title and body
+    # are brought to lower case once per entry.
+    texts = entries.select(
+        "hash",
+        type_weight(F.col("type")).alias("type_weight"),
+        F.array_distinct(F.transform("keywords", F.lower)).alias("words"),
+        F.coalesce(F.lower("title"), F.lit("")).alias("title"),
+        F.coalesce(F.lower(scored_on), F.lit("")).alias("body"),
     )
+    placed = texts.select(
+        "hash",
+        "type_weight",
+        "words",
+        words_within(F.col("words"), F.col("title")).alias("titled"),
+        words_within(F.col("words"), F.col("body")).alias("told"),
+    )
+    groups = [
+        (F.array_intersect("titled", "told"), True, True),
+        (F.array_except("titled", "told"), True, False),
+        (F.array_except("told", "titled"), False, True),
+        (F.array_except("words", F.concat("titled", "told")), False, False),
+    ]
+
+    def scored(words: Column, in_title: bool, in_body: bool) -> Column:
+        score = weighted_score(F.lit(in_title), F.lit(in_body), F.lit(True), F.col("type_weight"))
+        return F.transform(words, lambda w: F.struct(w.alias("keyword"), score.alias("relevance_score")))
+
+    rows = placed.select("hash", "type_weight", F.concat(*[scored(*group) for group in groups]).alias("scored"))
+    # the outer form, as Spark would test the plain one's array for emptiness by making it once more
+    found = rows.select("hash", "type_weight", F.explode_outer("scored").alias("found")).where(F.col("found").isNotNull())
+    return found.select("found.keyword", "hash", "found.relevance_score", "type_weight")
 
 
 def build_stats(entries: DataFrame) -> DataFrame:

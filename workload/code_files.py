@@ -182,7 +182,7 @@ def _(t):
     "build_index_postings",
     """SELECT keyword, hash, type_weight,
               CAST(floor((CASE WHEN contains(lower(title), keyword) THEN 10 ELSE 0 END
-                + CASE WHEN contains(lower(excerpt), keyword) THEN 5 ELSE 0 END + 3) * type_weight + 0.5) AS INTEGER) AS relevance_score
+                + CASE WHEN contains(lower(content), keyword) THEN 5 ELSE 0 END + 3) * type_weight + 0.5) AS INTEGER) AS relevance_score
        FROM (SELECT *, CASE type WHEN 'documentation' THEN 1.0::DOUBLE WHEN 'template-pattern' THEN 0.9::DOUBLE ELSE 0.8::DOUBLE END AS type_weight,
                     unnest(keywords) AS keyword FROM all_entries)""",
 )
