@@ -77,8 +77,8 @@ def _(table):
 
 @query("op6_paragraphs")
 def _(table):
-    found = paragraph_minhash.repeated_paragraphs(table("documents"))
-    return found.select("doc_id", "para", "start", "end", "words", "keeper_doc_id", "keeper_para", "kept")
+    found = paragraph_minhash.repeated_passages(table("documents"))
+    return found.select("doc_id", "para", "place", "start", "end", "words", "keeper_doc_id", "keeper_place", "kept")
 
 
 @query("op7_embeddings")

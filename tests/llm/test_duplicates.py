@@ -1,10 +1,13 @@
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from shelfmark.llm import grid_order_join, paragraph_minhash, vantage_simhash
+from shelfmark.llm.base import text_bytes
 from shelfmark.llm.components import Forest, components
 
 
@@ -106,13 +109,39 @@ def test_simhash_of_odd_rows(odd_docs, no_docs):
     assert vantage_simhash.near_duplicates(no_docs).collect() == []
 
 
+def slow_units(text):
+    """Units of a text as (place, start, end, words): around the first least shingle of every window."""
+    pm = paragraph_minhash
+    spans = [m.span() for m in re.finditer(r"[^ \t\n\r\x0b\x0c]+", text or "")]
+    small = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" or "À" <= c <= "Þ" and c != "×" else c for c in text or "")
+    words = [small[a:b] for a, b in spans]
+    # the hashes are the operator's own, all else is done again
+    batch = pm._Cut(*text_bytes(pa.array([" ".join(words)])))
+    fit = range(pm.BEFORE, len(words) - (pm.UNIT - pm.BEFORE) + 1)
+    if not fit:
+        return []
+    with np.errstate(over="ignore"):
+        key = dict(zip(fit, (batch._sums(np.array(fit), pm.SHINGLE) >> np.uint64(20)).tolist(), strict=True))
+    windows = [fit[k : k + pm.WINDOW] for k in range(max(1, len(fit) - pm.WINDOW + 1))]
+    anchors = sorted({min(w, key=lambda at: (key[at], at)) for w in windows})
+    at = [a - pm.BEFORE for a in anchors]
+    return [(a, spans[a][0], spans[a + pm.UNIT - 1][1], words[a : a + pm.UNIT], words[a + pm.BEFORE :][:5]) for a in at]
+
+
 def slow_groups(docs):
-    found = [(d, k, line) for d, text in docs for k, line in enumerate((text or "").split("\n")) if len(line.split()) >= 20]
-    sets = [paragraph_minhash.shingles(paragraph_minhash.words_of(line)) for _, _, line in found]
-    near = lambda i: [j for j in range(i) if paragraph_minhash.jaccard(sets[i], sets[j]) >= 0.8]
+    """Groups of units with one anchor and a similarity of 0.8."""
+    found = [(d, u) for d, text in docs for u in slow_units(text)]
+    sets = [paragraph_minhash.shingles(u[3]) for _, u in found]
+
+    def near(i):
+        return [j for j in range(i) if found[i][1][4] == found[j][1][4] and paragraph_minhash.jaccard(sets[i], sets[j]) >= 0.8]
+
+    # equal units are one class whatever their anchors
+    same = {}
+    whole = lambda i: [same.setdefault(tuple(found[i][1][3]), i)]
     groups = {}
-    for (d, k, _), root in zip(found, roots(len(found), near), strict=True):
-        groups.setdefault(root, []).append((d, k))
+    for (d, u), root in zip(found, roots(len(found), lambda i: near(i) + whole(i)), strict=True):
+        groups.setdefault(root, []).append((d, u[0]))
     return sorted(sorted(g, key=str) for g in groups.values() if len(g) > 1)
 
 
@@ -120,51 +149,104 @@ def found_groups(docs):
     groups = {}
     rows = paragraph_minhash.repeated_paragraphs(docs).collect()
     for r in rows:
-        groups.setdefault((r["keeper_doc_id"], r["keeper_para"]), []).append((r["doc_id"], r["para"]))
+        groups.setdefault((r["keeper_row"], r["keeper_place"]), []).append((r["doc_id"], r["place"]))
     assert sum(r["kept"] for r in rows) == len(groups)
     return sorted(sorted(g, key=str) for g in groups.values())
 
 
-def test_enough_bands():
-    for similarity in (0.8, 0.9):
-        bands = paragraph_minhash.bands_for(similarity)
-        assert 1 - (1 - similarity**paragraph_minhash.ROWS) ** bands >= paragraph_minhash.RECALL
+def sentence(rnd, n, ends=" "):
+    words = [f"w{k}" for k in range(400)] + ["É", "Über", "ÀÇ×", "x" * 80, "漢字"]
+    return "".join(rnd.choice(words) + rnd.choice(ends) for _ in range(n))
+
+
+@pytest.mark.parametrize("size", [1, 50, 300, 5000, 1 << 22])
+def test_units_of_texts_cut_anywhere(monkeypatch, size):
+    monkeypatch.setattr(paragraph_minhash, "BATCH", size)
+    rnd = random.Random(1)
+    ends = [" ", "\n", " \t ", "\r\n"]
+    texts = ["", None, "a b", "q " * 400, *[sentence(rnd, n, ends) for n in (19, 20, 21, 50, 51, 52, 60, 3000)], "  " + sentence(rnd, 51)]
+    found = [x for c in paragraph_minhash._units(*text_bytes(pa.array(texts)), True) for x in zip(*(list(y) for y in c), strict=True)]
+    want = [(k, a, s, e, " ".join(w)) for k, text in enumerate(texts) for a, s, e, w, _ in slow_units(text)]
+    assert sorted((int(x[0]), int(x[1]), int(x[2]), int(x[3]), x[6].decode()) for x in found) == sorted(want)
 
 
-def test_paragraphs_near_a_common_one(spark, monkeypatch):
-    """One paragraph and variants of it, many of which are near the common one only, or only near each other."""
+def test_every_copy_of_51_words_shares_a_unit():
+    """Inside long lines, in wrapped lines and at the ends of texts, whatever stands around."""
+    rnd = random.Random(2)
+    for _ in range(200):
+        words = sentence(rnd, 51).split()
+        texts = []
+        for ends in (" ", "\n"):
+            passage = "".join(w + (ends if k % 12 == 11 else " ") for k, w in enumerate(words))
+            texts.append(sentence(rnd, rnd.randint(0, 90)) + passage + sentence(rnd, rnd.randint(0, 90)))
+        one, two = ({tuple(u[3]) for u in slow_units(t)} for t in texts)
+        assert one & two
+
+
+def test_units_near_a_common_one(spark, monkeypatch):
+    """One passage and variants of it, many of which are near the common one only, or only near each other."""
     monkeypatch.setattr(paragraph_minhash, "BLOCK", 6)
     rnd, docs = random.Random(3), []
     words = [f"w{k}" for k in range(300)]
-    for _ in range(2):
-        base = [rnd.choice(words) for _ in range(80)]
-        for changes in [0, *[rnd.choice([1, 1, 2, 3]) for _ in range(15)]]:
+    for _ in range(3):
+        base = [rnd.choice(words) for _ in range(24)]
+        for changes in [0, 0, *[rnd.choice([1, 1, 2, 3]) for _ in range(20)]]:
             own = list(base)
             for _ in range(changes):
-                own[rnd.randrange(80)] = rnd.choice(words)
+                own[rnd.choice([0, 1, 2, 3, 4, 18, 19, 20, 21, 22, 23])] = rnd.choice(words[:3])
             docs.append((len(docs), "short\n" + " ".join(own)))
     df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(2)
-    assert found_groups(df) == slow_groups(docs)
+    want = slow_groups(docs)
+    assert found_groups(df) == want and any(len(g) > 6 for g in want)
+
+
+def test_changed_passages_are_found(spark):
+    """Passages of 100 words of which one copy has a word changed, inside long lines."""
+    rnd, docs = random.Random(6), []
+    for k in range(200):
+        passage = sentence(rnd, 100).split()
+        changed = list(passage)
+        changed[rnd.randrange(100)] = "changed"
+        for n, words in enumerate((passage, changed)):
+            docs.append((2 * k + n, sentence(rnd, rnd.randint(5, 60)) + " ".join(words) + " " + sentence(rnd, rnd.randint(5, 60))))
+    docs += [(1000 + k, sentence(rnd, 200)) for k in range(100)]
+    rows = paragraph_minhash.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string").coalesce(3)).collect()
+    assert {r["doc_id"] for r in rows if not r["kept"]} <= set(range(1, 400, 2))
+    assert len({r["doc_id"] for r in rows if not r["kept"]}) >= 195
+    cut = {d: 0 for d in range(400)}
+    for r in rows:
+        cut[r["doc_id"]] += 0 if r["kept"] else r["words"]
+    assert np.mean([cut[d] for d in range(1, 400, 2)]) > 60
 
 
-def test_paragraphs_of_odd_rows(odd_docs, no_docs):
+def test_units_of_odd_rows(odd_docs, no_docs, spark):
     rows = [(r["doc_id"], r["text"]) for r in odd_docs.select("doc_id", "text").collect()]
     assert sum(map(len, found_groups(odd_docs))) == sum(map(len, slow_groups(rows)))
     left = paragraph_minhash.without_repeats(odd_docs)
     assert left.columns == odd_docs.columns and left.count() == odd_docs.count()
     line = " ".join(f"term{k}" for k in range(40))
     texts = [r["text"] for r in left.collect()]
-    assert sum(line in (t or "") for t in texts) == 1 and "x" in texts and texts.count(None) == 2
-    assert paragraph_minhash.repeated_paragraphs(no_docs).collect() == []
-    assert paragraph_minhash.without_repeats(no_docs).collect() == []
-
-
-def test_cut_paragraphs_leave_the_rest(spark, tmp_path):
-    line = " ".join(f"term{k}" for k in range(30))
-    rows = [(1, f"{line}\nown one", 0), (2, f"a\n{line}\nb\n", 0), (3, line, 0), (4, "kept as it is\n", 14)]
+    assert sum(line in (t or "") for t in texts) == 1 and "a" in texts and texts.count(None) == 2
+    for empty in (no_docs, spark.createDataFrame([(None, None), (None, "")], "doc_id long, text string").coalesce(1)):
+        assert paragraph_minhash.repeated_passages(empty).collect() == []
+        assert paragraph_minhash.without_repeats(empty).count() == empty.count()
+    alone = spark.createDataFrame([(None, line, 1), (None, line, 2)], "doc_id long, text string, place int").coalesce(1)
+    assert [r["kept"] for r in paragraph_minhash.repeated_passages(alone).orderBy("row").collect()] == [True, False]
+
+
+def test_cut_passages_leave_the_rest(spark, tmp_path):
+    rnd = random.Random(8)
+    passage = sentence(rnd, 120).strip()
+    rows = [(1, f"{passage}\nown one", 0), (2, f"é a\n{passage}\nb\n", 0), (3, passage, 0), (4, "kept as it is\n", 14), (5, None, None)]
     spark.createDataFrame(rows, "doc_id long, text string, n_chars long").coalesce(1).write.parquet(str(tmp_path / "d"))
-    left = {r["doc_id"]: (r["text"], r["n_chars"]) for r in paragraph_minhash.without_repeats(spark.read.parquet(str(tmp_path / "d"))).collect()}
-    assert left == {1: (rows[0][1], 0), 2: ("a\nb\n", 4), 3: ("", 0), 4: ("kept as it is\n", 14)}
+    docs = spark.read.parquet(str(tmp_path / "d"))
+    left = {r["doc_id"]: (r["text"], r["n_chars"]) for r in paragraph_minhash.without_repeats(docs).collect()}
+    cuts = {r["doc_id"]: r for r in paragraph_minhash.repeated_passages(docs).where("not kept").collect()}
+    assert set(cuts) == {2, 3} and left[1] == rows[0][1:] and left[4] == rows[3][1:] and left[5] == (None, None)
+    for doc_id in (2, 3):
+        text, cut = rows[doc_id - 1][1], cuts[doc_id]
+        want = text[: cut["start"]] + text[cut["end"] :]
+        assert left[doc_id] == (want, len(want)) and cut["words"] >= 70
 
 
 def test_grid_order_join(tables, spark, monkeypatch):
