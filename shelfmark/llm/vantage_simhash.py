@@ -1,9 +1,11 @@
 """Near-duplicate documents by SimHash fingerprints and vantage-point trees.
 
-Fingerprints are routed down a tree: each node has a vantage fingerprint and radii, and a fingerprint goes to the shell that
-its Hamming distance from the vantage falls into.  By the triangle inequality a link of ``radius`` bits can cross to
-the next inner shell only from within ``radius`` bits of the border, so such fingerprints are sent there too, and all
-links are found inside leaves.  Leaves are searched in tasks with trees of their own.  The search is exact.
+A shared tree has one leaf, the home, for every fingerprint: each node has a vantage fingerprint and radii, and a fingerprint goes
+to the shell that its Hamming distance from the vantage falls into.  By the triangle inequality a link of ``radius``
+bits can cross to the next inner shell only from within ``radius`` bits of the border.  Such fingerprints visit that shell
+too, and below it every shell that may hold a link of theirs; homes of a leaf are compared with each other and with its
+visitors, so every pair meets in one leaf.  Tasks search leaves by two vantages of their own, and compare only cells of points
+whose distances from both are near.  The search is exact.
 """
 
 from __future__ import annotations
@@ -23,12 +25,12 @@ from shelfmark.llm.components import Forest, components
 
 RADIUS = 4
 SHINGLE = 4
-#: Fingerprints on which the shared tree is fitted, at most; fingerprints up to which a leaf is not split further, as every
-#: split sends the rows near a border twice and comparing so many takes a task or two a minute; and those of a block of a leaf.
-SAMPLE, LEAF, BLOCK = 20_000, 200_000, 65_536
+#: Fingerprints on which the shared tree is fitted, at most; homes up to which a leaf is not split further; fingerprints of a leaf,
+#: too dense to be split, beyond which it is dealt out in blocks.
+SAMPLE, LEAF, BLOCK = 20_000, 65_536, 262_144
 SEED = 42
-#: Points that a task compares in squares rather than by a tree of its own.
-SQUARES = 16_384
+#: Points of a leaf that are compared without cells, and side of the squares in which points are compared.
+FEW, SIDE = 1024, 1024
 
 
 def fingerprint(text: str | None) -> int:
@@ -73,66 +75,76 @@ class Node:
     leaf: int = -1
 
 
-def shells(points: np.ndarray, vantage: np.uint64, radii: np.ndarray, radius: int) -> list[np.ndarray]:
-    """Indices by shell, each with those of the next shell that lie within ``radius`` of its border."""
+def shells(points: np.ndarray, home: np.ndarray, vantage: np.uint64, radii: np.ndarray, radius: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(indices, which of them are at home) by shell.
+
+    A home also visits the next inner shell from within ``radius`` of its border; a visitor goes to every shell that it may link to.
+    """
     distance = np.bitwise_count(points ^ vantage).astype(int)
-    own = np.searchsorted(radii, distance, side="left")  # number of radii below the distance
-    out = []
-    for k in range(len(radii) + 1):
-        inside = own == k
-        if k < len(radii):
-            inside |= (own == k + 1) & (distance <= radii[k] + radius)
-        out.append(np.flatnonzero(inside))
+    out, inner = [], -1
+    for outer in [*radii.tolist(), 64]:
+        own = (distance > inner) & (distance <= outer)
+        near = (distance <= outer + radius) & (home & (distance > outer) | ~home & (distance > inner - radius))
+        at = np.flatnonzero(own & home | near)
+        out.append((at, (own & home)[at]))
+        inner = outer
     return out
 
 
-def split(points: np.ndarray, radius: int, rng: np.random.Generator) -> tuple[np.uint64, np.ndarray] | None:
-    """A vantage among some tried and radii around its median distance, more than ``radius`` apart; None if no split is worth it."""
-    best, found = 0.75 * len(points), None
-    for vantage in points[rng.choice(len(points), min(6, len(points)), replace=False)]:
-        middle = int(np.median(np.bitwise_count(points ^ vantage)))
-        step = radius + 1
-        radii = np.array([r for r in (middle - 2 * step + 2, middle - step + 2, middle + 2, middle + step + 2) if r >= 0])
-        most = max(map(len, shells(points, vantage, radii, radius)))
-        if most < best:
-            best, found = most, (vantage, radii)
+def comparisons(parts: list[tuple[np.ndarray, np.ndarray]]) -> float:
+    """Pairs of homes, and of homes and visitors, in all parts."""
+    return sum((n := int(home.sum())) * (n / 2 + len(home) - n) for _, home in parts)
+
+
+def split(points: np.ndarray, home: np.ndarray, radius: int, rng: np.random.Generator) -> tuple[np.uint64, np.ndarray] | None:
+    """Of some vantages and radii, ``radius`` + 1 apart or more, those with the fewest comparisons; None if none is worth it."""
+    best, found = 0.85 * comparisons([(points, home)]), None
+    at_home = points[home]
+    for vantage in at_home[rng.choice(len(at_home), min(6, len(at_home)), replace=False)]:
+        middle = int(np.median(np.bitwise_count(at_home ^ vantage)))
+        for shift in (0, 2):
+            steps = (radius + 1) * np.arange(-6, 7) + middle + shift
+            radii = steps[(steps >= 0) & (steps < 64)]
+            cost = comparisons(shells(points, home, vantage, radii, radius))
+            if cost < best:
+                best, found = cost, (vantage, radii)
     return found
 
 
 def build(sample: np.ndarray, total: int, radius: int = RADIUS, leaf: int = LEAF) -> tuple[Node, int]:
-    """A tree whose leaves would get about ``leaf`` of ``total`` fingerprints, and the number of leaves."""
+    """A tree whose leaves are home to about ``leaf`` of ``total`` fingerprints at most, and the number of leaves."""
     rng = np.random.default_rng(0)
     scale = total / max(1, len(sample))
     leaves = 0
 
-    def grown(points: np.ndarray) -> Node:
+    def grown(points: np.ndarray, home: np.ndarray) -> Node:
         nonlocal leaves
-        made = split(points, radius, rng) if len(points) * scale > leaf and len(points) >= 32 else None
+        n = int(home.sum())
+        made = split(points, home, radius, rng) if n * scale > leaf and n >= 32 else None
         if made is None:
             leaves += 1
             return Node(leaf=leaves - 1)
-        return Node(*made, [grown(points[at]) for at in shells(points, *made, radius)])
+        return Node(*made, [grown(points[at], own) for at, own in shells(points, home, *made, radius)])
 
-    return grown(sample), leaves
+    return grown(sample, np.ones(len(sample), bool)), leaves
 
 
-def routed(tree: Node, points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Leaf numbers and indices of the points sent there."""
-    leaf, index = [], []
-    todo = [(tree, np.arange(len(points)))]
+def routed(tree: Node, points: np.ndarray, radius: int = RADIUS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Leaf numbers, indices of the points sent there, and whether they are at home there."""
+    found = []
+    todo = [(tree, np.arange(len(points)), np.ones(len(points), bool))]
     while todo:
-        node, at = todo.pop()
+        node, at, home = todo.pop()
         if not len(at):
             continue
         if node.vantage is None:
-            leaf.append(np.full(len(at), node.leaf))
-            index.append(at)
+            found.append((np.full(len(at), node.leaf), at, home))
             continue
-        parts = shells(points[at], node.vantage, node.radii, radius)
-        todo += [(child, at[part]) for child, part in zip(node.children, parts, strict=True)]
-    if not leaf:
-        return np.zeros(0, int), np.zeros(0, int)
-    return np.concatenate(leaf), np.concatenate(index)
+        parts = shells(points[at], home, node.vantage, node.radii, radius)
+        todo += [(child, at[part], own) for child, (part, own) in zip(node.children, parts, strict=True)]
+    if not found:
+        return np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _dense(points: np.ndarray, left: np.ndarray, right: np.ndarray | None, radius: int, forest: Forest) -> None:
@@ -140,7 +152,7 @@ def _dense(points: np.ndarray, left: np.ndarray, right: np.ndarray | None, radiu
 
     Only a forest of the links is kept.
     """
-    side = 1024
+    side = SIDE
     for i in range(0, len(left), side):
         rows = left[i : i + side]
         for j in range(i if right is None else 0, len(left if right is None else right), side):
@@ -149,9 +161,10 @@ def _dense(points: np.ndarray, left: np.ndarray, right: np.ndarray | None, radiu
             same = right is None and i == j
             if same:
                 near = np.triu(near, 1)
-            if np.count_nonzero(near) <= 4 * side:
-                for a, b in zip(*(x.tolist() for x in np.nonzero(near)), strict=True):
-                    forest.join(int(rows[a]), int(columns[b]))
+            count = np.count_nonzero(near)
+            if count <= 4 * side:
+                for at in np.flatnonzero(near).tolist() if count else []:
+                    forest.join(int(rows[at // len(columns)]), int(columns[at % len(columns)]))
                 continue
             # many links: repeated least labels give the square's components
             own = np.arange(len(rows))
@@ -170,25 +183,51 @@ def _dense(points: np.ndarray, left: np.ndarray, right: np.ndarray | None, radiu
                     forest.join(int(both[k]), int(both[label]))
 
 
-def linked(points: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Links (index, smaller index) whose components are those of all pairs within ``radius`` bits."""
-    forest, rng = Forest(), np.random.default_rng(0)
-    todo = [np.arange(len(points))]
-    while todo:
-        at = todo.pop()
-        made = split(points[at], radius, rng) if len(at) > SQUARES else None
-        if made is None:
-            _dense(points, at, None, radius, forest)
-        else:
-            todo += [at[part] for part in shells(points[at], *made, radius) if len(part) > 1]
+def linked(points: np.ndarray, home: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Links (index, smaller index) whose components are those of all pairs, with a home, within ``radius`` bits.
+
+    Points lie in cells by their distances from two vantages, 32 bits from each other or nearly so; pairs whose distances from
+    either differ by more than ``radius`` cannot link.  In the order of the cells, those that can are a few ranges.
+    """
+    forest = Forest()
+    homes, visitors = np.flatnonzero(home), np.flatnonzero(~home)
+    if len(points) <= FEW:
+        _dense(points, homes, None, radius, forest)
+        _dense(points, homes, visitors, radius, forest)
+        return forest.stars()
+    one = points[homes[0]]
+    apart = np.abs(np.bitwise_count(points[homes] ^ one).astype(int) - 32)
+    two = points[homes[int(apart.argmin())]]
+
+    def in_cells(at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        first, second = (np.bitwise_count(points[at] ^ v).astype(int) for v in (one, two))
+        cell = first * 128 + second
+        order = np.argsort(cell, kind="stable")
+        return at[order], cell[order]
+
+    homes, cell = in_cells(homes)
+    visitors, visited = in_cells(visitors)
+    cells, starts = np.unique(cell, return_index=True)
+    ends = np.append(starts[1:], len(cell))
+    for own, start, end in zip(cells.tolist(), starts.tolist(), ends.tolist(), strict=True):
+        left = homes[start:end]
+        _dense(points, left, None, radius, forest)
+        for step in range(-radius, radius + 1):
+            middle = own + 128 * step
+            lowest, highest = middle - radius, middle + radius
+            if step >= 0:
+                a = np.searchsorted(cell, own + 1 if step == 0 else lowest)
+                _dense(points, left, homes[a : np.searchsorted(cell, highest + 1)], radius, forest)
+            a = np.searchsorted(visited, lowest)
+            _dense(points, left, visitors[a : np.searchsorted(visited, highest + 1)], radius, forest)
     return forest.stars()
 
 
 def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Links a, b between distinct fingerprints (column fp) that give the components of all pairs within ``radius`` bits.
 
-    The shared tree is fitted on a bounded sample; every fingerprint is routed.  A leaf of more than ``BLOCK`` fingerprints
-    is dealt out as pairs of blocks, so a dense group is no single task.
+    The shared tree is fitted on a bounded sample; every fingerprint is routed.  Leaves are tasks, one for each.  What no vantage
+    splits is a dense group: one of more than ``BLOCK`` fingerprints is dealt out as pairs of blocks, so it is no single task.
     """
     total = prints.count()
     share = min(1.0, SAMPLE / max(1, total))
@@ -200,28 +239,38 @@ def links(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             points = batch.column(0).to_numpy().view(np.uint64)
-            leaf, index = routed(shared.value, points, radius)
-            yield pa.RecordBatch.from_arrays([pa.array(leaf, pa.int64()), pa.array(points[index].view(np.int64))], names=["leaf", "fp"])
+            leaf, index, home = routed(shared.value, points, radius)
+            columns = [pa.array(leaf, pa.int64()), pa.array(points[index].view(np.int64)), pa.array(home)]
+            yield pa.RecordBatch.from_arrays(columns, names=["leaf", "fp", "home"])
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.drop_duplicates("fp")
-        points, first = group["fp"].to_numpy().view(np.uint64), (group["block"] == group["one"]).to_numpy()
-        if first.all():
-            found = linked(points, radius)
+        points, home = group["fp"].to_numpy().view(np.uint64), group["home"].to_numpy(bool)
+        block = group["block"].to_numpy()
+        if (block == block[0]).all() and group["one"].iloc[0] == group["two"].iloc[0]:
+            found = linked(points, home, radius) if home.any() else []
         else:
             forest = Forest()
-            _dense(points, np.flatnonzero(first), np.flatnonzero(~first), radius, forest)
+            first = block == group["one"].iloc[0]
+            _dense(points, np.flatnonzero(first & home), np.flatnonzero(~first), radius, forest)
+            _dense(points, np.flatnonzero(~first & home), np.flatnonzero(first & ~home), radius, forest)
             found = forest.stars()
         found = np.array(found, np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": points[found[:, 0]].view(np.int64), "b": points[found[:, 1]].view(np.int64)})
 
-    leaves = stored(prints.select("fp").mapInArrow(route, "leaf long, fp long"), "leaves")
-    sizes = leaves.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks"))
+    leaves = stored(prints.select("fp").mapInArrow(route, "leaf long, fp long, home boolean"), "leaves")
     # a row for each leaf of the tree, which the sample bounds
-    dealt = leaves.join(F.broadcast(sizes), "leaf")
-    block = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
-    dealt = dealt.select("leaf", "fp", block.alias("block"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("leaf", "fp", "block", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"))
+    sizes = leaves.groupBy("leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK)).cast("int").alias("blocks")).collect()
+    dense = {r["leaf"]: r["blocks"] for r in sizes if r["blocks"] > 1}
+    columns = ["leaf", "fp", "home", F.lit(0).alias("block"), F.lit(0).alias("one"), F.lit(0).alias("two")]
+    dealt = leaves.where(~F.col("leaf").isin(list(dense))).select(*columns) if dense else leaves.select(*columns)
+    for leaf, blocks in dense.items():
+        own = leaves.where(F.col("leaf") == leaf).withColumn("block", F.pmod(F.xxhash64("fp"), F.lit(blocks)).cast("int"))
+        own = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        ends = [F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two")]
+        dealt = dealt.unionByName(own.select("leaf", "fp", "home", "block", *ends))
+    # every leaf a task, whatever its bytes: comparing is the work
+    tasks = max(1, len(sizes) - len(dense) + sum(n * (n + 1) // 2 for n in dense.values()))
+    dealt = dealt.repartition(tasks, "leaf", "one", "two")
     return dealt.groupBy("leaf", "one", "two").applyInPandas(search, "a long, b long")
 
 

@@ -61,30 +61,55 @@ def flipped(rng, value, bits):
 
 
 @pytest.mark.parametrize("dense", [False, True])
-def test_trees_find_all_links(monkeypatch, dense):
-    monkeypatch.setattr(vantage_simhash, "SQUARES", 64)
+@pytest.mark.parametrize("few", [16, 1024])
+def test_trees_find_all_links(monkeypatch, dense, few):
+    monkeypatch.setattr(vantage_simhash, "FEW", few)
+    monkeypatch.setattr(vantage_simhash, "SIDE", 64)
     rng = np.random.default_rng(5)
-    points = rng.integers(0, 2**63, 700, dtype=np.uint64)
-    for k in range(200, 700 if dense else 400):
-        points[k] = flipped(rng, points[0 if dense else k - 200], int(rng.integers(1, 7)))
+    points = rng.integers(0, 2**63, 2000, dtype=np.uint64)
+    for k in range(500, 2000 if dense else 1000):
+        points[k] = flipped(rng, points[0 if dense else k - 500], int(rng.integers(1, 7)))
     points = np.unique(points)
     near = lambda i: np.flatnonzero(np.bitwise_count(points ^ points[i]) <= 4).tolist()
     want = roots(len(points), near)
     forest = Forest()
-    for a, b in vantage_simhash.linked(points):
+    for a, b in vantage_simhash.linked(points, np.ones(len(points), bool)):
         forest.join(a, b)
     assert [forest.root(i) for i in range(len(points))] == want
     tree, leaves = vantage_simhash.build(points, len(points), 4, 100)
-    leaf, index = vantage_simhash.routed(tree, points)
+    leaf, index, home = vantage_simhash.routed(tree, points)
+    assert leaves > 5 and sorted(index[home].tolist()) == list(range(len(points)))  # one home each
     forest = Forest()
     for k in range(leaves):
-        at = index[leaf == k]
-        for a, b in vantage_simhash.linked(points[at]):
+        at, own = index[leaf == k], home[leaf == k]
+        for a, b in vantage_simhash.linked(points[at], own) if own.any() else []:
             forest.join(int(at[a]), int(at[b]))
     assert [forest.root(i) for i in range(len(points))] == want
 
 
-@pytest.mark.parametrize("sizes", [(20_000, 20_000, 40_000), (100, 20, 10)])
+def test_links_at_the_sizes_in_use():
+    """Enough fingerprints that the shared tree splits them, with the constants as they are."""
+    rng = np.random.default_rng(9)
+    points = rng.integers(0, 2**63, 140_000, dtype=np.uint64)
+    planted = [(k, 70_000 + k) for k in range(3000)]
+    for a, b in planted:
+        points[b] = flipped(rng, points[a], int(rng.integers(1, 5)))
+    sample = np.sort(points[:: len(points) // vantage_simhash.SAMPLE])
+    tree, leaves = vantage_simhash.build(sample, len(points))
+    leaf, index, home = vantage_simhash.routed(tree, points)
+    assert leaves > 1 and len(index) < 4 * len(points)
+    forest = Forest()
+    for k in range(leaves):
+        at, own = index[leaf == k], home[leaf == k]
+        for a, b in vantage_simhash.linked(points[at], own) if own.any() else []:
+            forest.join(int(at[a]), int(at[b]))
+    assert all(forest.root(a) == forest.root(b) for a, b in planted)
+    for a, b in forest.stars()[:500]:  # and nothing but chains of links
+        near = np.bitwise_count(points ^ points[a]) <= 4
+        assert near.sum() > 1
+
+
+@pytest.mark.parametrize("sizes", [(20_000, 65_536, 262_144), (100, 20, 1000), (100, 20, 10)])
 def test_simhash_groups(tables, monkeypatch, sizes):
     for name, value in zip(("SAMPLE", "LEAF", "BLOCK"), sizes, strict=True):
         monkeypatch.setattr(vantage_simhash, name, value)
