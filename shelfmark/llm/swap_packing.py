@@ -19,7 +19,7 @@ from shelfmark.llm.token_pieces import CAPACITY, pieces
 #: Pieces packed together by one task.
 GROUP = 10_000
 #: Steps without a bin less after which a search ends; documents of a bin up to which pairs of them are tried.
-PATIENCE, PAIRED = 150, 24
+PATIENCE, PAIRED = 150, 48
 
 
 def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
@@ -46,72 +46,91 @@ def best_fit(lengths: np.ndarray, capacity: int) -> list[list[int]]:
     return bins
 
 
-def _step(source: list[int], others: list[list[int]], lengths: np.ndarray, capacity: int) -> bool:
-    """The best step that takes length from ``source`` and fills another bin; False if there is none.
-
-    All steps take from a bin that is no fuller than the other will be, so each raises the sum of squared fills.
-    """
-    fills = np.array([lengths[b].sum() for b in others])
-    fill = int(lengths[source].sum())
-    rooms = capacity - fills
-    sizes = lengths[source]
-    owner = np.repeat(np.arange(len(others)), [len(b) for b in others])
-    items = np.concatenate([np.array(b, int) for b in others])
-    given = lengths[items]
-    best, chosen = 0, None
-    pairs = [(int(a), int(b)) for a in range(len(sizes)) for b in range(a)] if len(sizes) <= PAIRED else []
-    for group in [(k,) for k in range(len(sizes))] + pairs:
-        size = int(sizes[list(group)].sum())
-        if size <= best:
-            continue
-        if len(group) == 1 and (rooms >= size).any():
-            at = int(np.where(rooms >= size, rooms, capacity + 1).argmin())
-            if fills[at] + size > fill:
-                best, chosen = size, (group, at, None)
-                continue
-        net = size - given  # exchange of the group for one item
-        fit = (net > best) & (net <= rooms[owner]) & (fills[owner] + net > fill)
-        if fit.any():
-            k = int(np.where(fit, net, -1).argmax())
-            best, chosen = int(net[k]), (group, int(owner[k]), int(items[k]))
-    if chosen is None:
-        return False
-    group, at, item = chosen
-    moved = [source[k] for k in group]
-    for i in moved:
-        source.remove(i)
-        others[at].append(i)
-    if item is not None:
-        others[at].remove(item)
-        source.append(item)
-    return True
+class _Search:
+    """Bins under search: the fill of each, its documents, and the bin of each document, kept up to date step by step."""
+
+    def __init__(self, bins: list[list[int]], lengths: np.ndarray, capacity: int):
+        self.lengths, self.capacity, self.bins = lengths, capacity, bins
+        self.fills = np.array([lengths[b].sum() for b in bins])
+        self.items = np.concatenate([np.array(b, int) for b in bins])
+        self.sizes = lengths[self.items]
+        self.owner = np.repeat(np.arange(len(bins)), [len(b) for b in bins])
+        self.at = {int(i): k for k, i in enumerate(self.items.tolist())}
+
+    def _best(self, sums: np.ndarray, given: np.ndarray, owner: np.ndarray, source: int) -> tuple[int, int, int]:
+        """The largest gain of another bin that gets one of the ascending ``sums`` for ``given``: (gain, which sum, which given)."""
+        room = self.capacity - self.fills[owner]
+        which = np.searchsorted(sums, given + room, side="right") - 1
+        gain = sums[which] - given
+        # taking from a bin no fuller than the other will be raises the sum of squared fills
+        gain[(which < 0) | (owner == source) | (self.fills[owner] + gain <= self.fills[source])] = 0
+        if not len(gain):
+            return 0, 0, 0
+        # of equal gains the one that leaves least room
+        at = np.flatnonzero(gain == gain.max())
+        k = int(at[(room[at] - gain[at]).argmin()])
+        return int(gain[k]), int(which[k]), k
+
+    def step(self, source: int, alive: np.ndarray) -> bool:
+        """The best step that takes length from ``source`` and fills another bin; False if there is none."""
+        own = sorted(self.bins[source], key=lambda i: self.lengths[i])
+        sizes = self.lengths[own]
+        nothing = np.zeros(len(alive), int)
+        moves = self._best(sizes, nothing, alive, source)
+        best, kind, found = moves[0], "move", moves
+        single = self._best(sizes, self.sizes, self.owner, source)
+        if single[0] > best:
+            best, kind, found = single[0], "single", single
+        if 2 <= len(own) <= PAIRED:
+            first, second = np.triu_indices(len(own), 1)
+            sums = sizes[first] + sizes[second]
+            order = np.argsort(sums, kind="stable")
+            pair = self._best(sums[order], self.sizes, self.owner, source)
+            if pair[0] > best:
+                best, kind, found = pair[0], "pair", pair
+        if best <= 0:
+            return False
+        _, which, k = found
+        group = [own[which]] if kind != "pair" else [own[first[order[which]]], own[second[order[which]]]]
+        to = int(alive[k]) if kind == "move" else int(self.owner[k])
+        back = [] if kind == "move" else [int(self.items[k])]
+        for moved, old, new in ((group, source, to), (back, to, source)):
+            for i in moved:
+                self.bins[old].remove(i)
+                self.bins[new].append(i)
+                self.owner[self.at[i]] = new
+        self.fills[source] -= best
+        self.fills[to] += best
+        return True
 
 
 def local_search(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> list[list[int]]:
     """Drain the emptiest bins into the others by moves and exchanges until that is impossible or pointless."""
     least = -(-int(lengths.sum()) // capacity)
     filled = [b for b in bins if lengths[b].sum() == capacity]
-    under = sorted((b for b in bins if lengths[b].sum() < capacity), key=lambda b: lengths[b].sum())
-    stuck: list[list[int]] = []
+    under = [b for b in bins if lengths[b].sum() < capacity]
+    if len(bins) <= least or len(under) < 2:
+        return bins
+    search = _Search(under, lengths, capacity)
+    alive = np.arange(len(under))
+    stuck = np.zeros(len(under), bool)
     steps = 0
-    while steps < PATIENCE and under and len(filled) + len(under) + len(stuck) > least:
-        source = under.pop(0)
-        others = under + stuck
-        if not others:
-            stuck.append(source)
+    while steps < PATIENCE and len(filled) + len(alive) > least:
+        able = alive[~stuck[alive] & (search.fills[alive] < capacity)]
+        if len(able) < 1 or len(alive) < 2:
             break
+        source = int(able[search.fills[able].argmin()])
         moved = False
-        while source and steps < PATIENCE and _step(source, others, lengths, capacity):
+        while search.bins[source] and steps < PATIENCE and search.step(source, alive):
             moved, steps = True, steps + 1
-        if not source:
+        if not search.bins[source]:
             steps = 0
-        if moved:  # fills have changed, so that bins that were stuck may move again
-            under, stuck = sorted(others + [source] * bool(source), key=lambda b: lengths[b].sum()), []
-            filled += [b for b in under if lengths[b].sum() == capacity]
-            under = [b for b in under if lengths[b].sum() < capacity]
+            alive = alive[alive != source]
+        if moved:
+            stuck[:] = False  # fills have changed, so that bins that were stuck may move again
         else:
-            stuck.append(source)
-    return filled + under + stuck
+            stuck[source] = True
+    return filled + [b for b in search.bins if b]
 
 
 def pack(lengths: np.ndarray, capacity: int = CAPACITY) -> list[list[int]]:
@@ -140,6 +159,8 @@ def _packed(rows: DataFrame, count: int, capacity: int, turn: int) -> DataFrame:
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "fill"]
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, fill long"
     dealt = rows.withColumn("batch", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("long"))
+    # few bytes and much work: groups stay tasks, whatever adaptive execution would make of their size
+    dealt = dealt.repartition(groups, "batch")
     return dealt.groupBy("batch").applyInPandas(packed, schema)
 
 

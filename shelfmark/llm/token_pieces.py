@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -14,71 +13,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.base import slices
+from shelfmark.llm.word_parts import Memory, cuts_at_white_space, library_tokenizer, word_parts
 
 CAPACITY = 4096
 END = 1
-#: Words whose ids a task remembers before it starts anew.
-REMEMBERED = 300_000
 
 
-#: A character that is a token of its own between spaces and does not occur in ordinary words.
-MARK = "\x01"
-
-
-class WordTokenizer:
-    """Ids of whole texts by a tokenizer whose tokens never span ASCII white space, each distinct word encoded once.
-
-    The tokenizer itself encodes the words, many in one text with marks between them, so the ids are its ids of the text.
-    """
+class TextTokenizer:
+    """Ids of whole texts: word by word, each distinct word encoded once, where the tokenizer's file proves that to be the same."""
 
     def __init__(self, path: str):
-        # Spark has a task for every core already
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.mark = self._ids(MARK)
-        self.known: dict[bytes, bytes] = {}
-        self.older: dict[bytes, bytes] = {}
-
-    def _ids(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
-
-    def _learn(self, words: list[bytes]) -> None:
-        known, mark = self.known, MARK.encode()
-        plain = [w for w in words if mark not in w] if len(self.mark) == 1 else []
-        groups = [plain[at : at + 200] for at in range(0, len(plain), 200)]
-        texts = [f" {MARK} ".join(b"\n".join(group).decode().split("\n")) for group in groups]
-        for group, found in zip(groups, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, dtype="<u4")
-            ends = (np.flatnonzero(ids == self.mark[0]) * 4).tolist()
-            if len(ends) + 1 != len(group):  # the mark's id has other sources: one by one
-                continue
-            raw = ids.tobytes()
-            known.update(zip(group, [raw[a:b] for a, b in zip([0, *[e + 4 for e in ends]], [*ends, len(raw)], strict=True)], strict=True))
-        for word in words:
-            if word not in known:
-                known[word] = self._ids(word.decode()).tobytes()
+        self.parts = word_parts(path) if cuts_at_white_space(path) else None
+        self.whole = library_tokenizer(path) if self.parts is None else None
+        self.known = Memory()
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
-        split = [t.encode().split() for t in texts]
-        new = set().union(*split).difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, self.older = {}, self.known
-            new = set().union(*split)
-        seen = new & self.older.keys()
-        self.known.update((w, self.older[w]) for w in seen)
-        self._learn(list(new - seen))
+        if self.parts is None:
+            for made in self.whole.encode_batch_fast(texts, add_special_tokens=False):
+                yield np.array(made.ids, dtype="<u4").tobytes()
+            return
+        self.known.trim()
         known = self.known
+        split = [t.encode().split() for t in texts]
+        new = list(set().union(*split).difference(known))
+        known.update(zip(new, self.parts.ids(new), strict=True))
         for words in split:
             yield b"".join([known[w] for w in words])
 
 
 @cache
-def word_tokenizer(path: str) -> WordTokenizer:
+def text_tokenizer(path: str) -> TextTokenizer:
     """One for each Python worker, which serves many tasks."""
-    return WordTokenizer(path)
+    return TextTokenizer(path)
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
@@ -91,7 +58,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
     last = array("I", [end]).tobytes()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_tokenizer(tokenizer)
+        words = text_tokenizer(tokenizer)
         for batch in slices(batches, 256):
             rows = []
             texts = [t or "" for t in batch.column(1).to_pylist()]

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm import feistel_shards, swap_packing, token_packing
 from shelfmark.llm.queries import tokenizer
-from shelfmark.llm.token_pieces import WordTokenizer, pieces
+from shelfmark.llm.token_pieces import TextTokenizer, pieces
 
 
 @pytest.fixture(scope="module")
@@ -103,7 +103,7 @@ def test_words_encode_like_texts(path):
         "", "   ", "\x01 a\x01b \x01", "don't I'll it's 'tis", "x<|endoftext|>y <|startoftext|>", "e ́x Ǆ İstanbul ß",
         "a\xa0b\x85c\x1cd \x1f e", "12 3.4%$ ​ z\n\tok", "THE!! the!! The, the", "漢字 かな", "µ ª º É éÉ",
     ]
-    words = WordTokenizer(path)
+    words = TextTokenizer(path)
     for _ in range(2):
         assert [np.frombuffer(b, "<u4").tolist() for b in words.encode(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
 
