@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.functions.text import js_trim, query_keywords
@@ -17,14 +17,33 @@ BE_SPECIFIC = "Try using more specific keywords"
 BE_GENERAL = "Try using fewer or more general keywords"
 FILTER_BY_TYPE = "Try filtering by type: documentation, template-pattern, or code-example"
 
+#: Characters of the shortest term that :func:`query_keywords` lets through.
+SHORTEST_TERM = 3
+
+
+
+def bucket_of(key: Column, buckets: int) -> Column:
+    """The partition of a stored index table in which a keyword or a hash stands."""
+    return F.pmod(F.crc32(key.cast("binary")), F.lit(buckets)).cast("int")
+
+
 def query_terms(queries: DataFrame) -> DataFrame:
     """``query_id, term_pos, keyword``: the distinct terms of every query."""
     return queries.select("query_id", F.posexplode(query_keywords(F.col("text"))).alias("term_pos", "keyword"))
 
 
-def search_scores(queries: DataFrame, postings: DataFrame) -> DataFrame:
-    """``query_id, hash, total_score, first_pos``: summed relevance of the matched terms."""
-    matched = query_terms(queries).join(postings.select("keyword", "hash", "relevance_score"), "keyword")
+def search_scores(queries: DataFrame, postings: DataFrame, buckets: int | None = None) -> DataFrame:
+    """``query_id, hash, total_score, first_pos``: summed relevance of the matched terms.
+
+    With ``buckets`` the postings have a partition column ``bucket``, and the terms' buckets decide at run time which
+    partitions are read at all.
+    """
+    terms, on, columns = query_terms(queries), ["keyword"], ["keyword", "hash", "relevance_score"]
+    if buckets is not None:
+        # Partitions are pruned by the terms where the plan says that these are a selection.
+        terms = terms.where(F.length("keyword") >= SHORTEST_TERM).withColumn("bucket", bucket_of(F.col("keyword"), buckets))
+        on, columns = ["bucket", *on], ["bucket", *columns]
+    matched = terms.join(postings.select(*columns), on)
     return matched.groupBy("query_id", "hash").agg(
         F.sum("relevance_score").alias("total_score"), F.min("term_pos").alias("first_pos")
     )
@@ -39,15 +58,16 @@ def _wanted(meta_type: str, query_type: str):
     return wanted.isNull() | (wanted == "") | (F.col(meta_type) == wanted)
 
 
-def ranked_search(
+def ranked_hits(
     queries: DataFrame,
     postings: DataFrame,
     meta: DataFrame,
     limit: int = 10,
     owners: Sequence[str] | None = None,
     candidate_factor: int | None = None,
+    buckets: int | None = None,
 ) -> DataFrame:
-    """Ranked results of every query.
+    """``query_id, hash, total_score, first_pos, rank, total_results`` of the best entries of every query.
 
     ``queries`` has ``query_id, text`` and optionally ``type, sub_type``.  Filters apply to all matches and
     ``total_results`` counts all that pass.  ``candidate_factor`` cuts at that multiple of ``limit`` before the type
@@ -61,7 +81,7 @@ def ranked_search(
         "query_id", F.col("type").alias("want_type"), F.col("sub_type").alias("want_sub_type")
     )
     matches = _wanted("type", "want_type") & _wanted("sub_type", "want_sub_type")
-    scores = search_scores(queries, postings)
+    scores = search_scores(queries, postings, buckets)
     # Only the filter columns travel before the cut; titles and excerpts come after it.
     kinds = meta.select("hash", "type", "sub_type", "owner") if owners is not None else meta.select("hash", "type", "sub_type")
     if owners is not None:
@@ -74,11 +94,13 @@ def ranked_search(
         scores = scores.join(kinds, "hash").join(filters, "query_id").where(matches)
         scores = scores.select("query_id", "hash", "total_score", "first_pos")
     totals = scores.groupBy("query_id").agg(F.count(F.lit(1)).alias("total_results"))
-    top = top_k(scores, ["query_id"], _ranking(), limit, "rank")
-    details = meta.select(
-        "hash", "title", "excerpt", F.col("content_path").alias("file_path"), "type", "sub_type", "repository"
-    )
-    return top.join(details, "hash").join(totals, "query_id").select(
+    return top_k(scores, ["query_id"], _ranking(), limit, "rank").join(totals, "query_id")
+
+
+def hit_details(hits: DataFrame, meta: DataFrame, on: Sequence[str] = ("hash",)) -> DataFrame:
+    """The hits with what a result shows of their entries."""
+    details = meta.select(*on, "title", "excerpt", F.col("content_path").alias("file_path"), "type", "sub_type", "repository")
+    return hits.join(details, list(on)).select(
         "query_id",
         "rank",
         "title",
@@ -92,6 +114,18 @@ def ranked_search(
     )
 
 
+def ranked_search(
+    queries: DataFrame,
+    postings: DataFrame,
+    meta: DataFrame,
+    limit: int = 10,
+    owners: Sequence[str] | None = None,
+    candidate_factor: int | None = None,
+) -> DataFrame:
+    """Ranked results of every query; see :func:`ranked_hits`.  ``IndexStore.search`` asks a stored index, and reads less."""
+    return hit_details(ranked_hits(queries, postings, meta, limit, owners, candidate_factor), meta)
+
+
 def suggestions(queries: DataFrame, results: DataFrame, has_active_index: bool = True) -> DataFrame:
     """``query_id, suggestions``: advice for queries without results, an empty array for the rest."""
     with_results = results.select("query_id").distinct().withColumn("_found", F.lit(True))

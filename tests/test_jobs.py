@@ -248,3 +248,47 @@ def test_the_package_is_shipped_to_workers(spark):
     ship(spark)
     files = spark.sparkContext._jsc.sc().listFiles().mkString(",")
     assert "shelfmark.zip" in files
+
+
+def test_a_search_reads_the_buckets_of_its_terms_and_hits(spark, tmp_path):
+    from shelfmark.operators.search import ranked_search, search_scores
+    from shelfmark.sources.index_store import IndexStore
+
+    now = datetime(2025, 1, 1, tzinfo=timezone.utc)
+    store = IndexStore(spark, str(tmp_path / "index"), buckets=32)
+    store.build(_files(spark, *[f"alpha word{k} term{k * 7}" for k in range(200)]), now)
+    queries = spark.createDataFrame([(1, "word17 the"), (2, "term21 nothing"), (3, "")], "query_id int, text string")
+    found = store.search(queries, now)
+    tables = [store.read(name, now) for name in ("postings", "entry_meta")]
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, ranked_search(queries, *tables).collect()))
+    assert found.count() == 2
+
+    def partitions(df):
+        """Partitions of the stored index that a job has read: those of its last table."""
+        df.collect()
+        leaves = df._jdf.queryExecution().executedPlan().finalPhysicalPlan().collectLeaves()
+        counts = []
+        for k in range(leaves.size()):
+            leaf = leaves.apply(k)
+            while "QueryStage" in leaf.nodeName():
+                leaf = leaf.plan()
+            if leaf.metrics().contains("numPartitions"):
+                counts.append(leaf.metrics().apply("numPartitions").value())
+        return counts
+
+    assert "dynamicpruning" in found._jdf.queryExecution().toString()
+    assert all(n <= 2 for n in partitions(found)) and partitions(found)
+    scores = search_scores(queries, store._live("postings", store._attempt(store.pointer()[1])[0], now), 32)
+    assert "dynamicpruning" in scores._jdf.queryExecution().toString()
+
+
+def test_a_move_that_was_never_finished_is_none(spark, tmp_path):
+    from shelfmark.sources.index_store import IndexStore
+
+    now = datetime(2025, 1, 1, tzinfo=timezone.utc)
+    store = IndexStore(spark, str(tmp_path / "index"))
+    store.build(_files(spark, "alpha"), now, version="a")
+    (tmp_path / "index" / "pointer" / "move-000000000002.json").write_text('{"seq": 2, "ver')
+    assert store.pointer()[:2] == (1, "a")
+    store.build(_files(spark, "beta"), now, version="b")
+    assert store.pointer() == (3, "b", "a")
