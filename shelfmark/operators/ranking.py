@@ -2,7 +2,8 @@
 
 ``first_wins``/``top_k`` filter a ``row_number`` by a constant, for which Spark adds a group
 limit *before* the shuffle: each task forwards at most ``k`` rows of a key, however hot it is.
-``sliced_row_number`` numbers *every* row of a group without sorting the group in one task.
+``numbered`` numbers *every* row of a group, and ``exact_quantiles`` ranks every value, over the ranges of one
+distributed sort: a key may span any number of ranges, and small sums over the ranges give what came before.
 """
 
 from __future__ import annotations
@@ -14,11 +15,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from shelfmark.session import stored
+
 #: Default of spark.sql.optimizer.windowGroupLimitThreshold.
 GROUP_LIMIT = 1000
 SALTS = 64
-#: Keys with more rows than this are split.
-HOT_ROWS = 1_000_000
 
 
 def _columns(names: Sequence[str | Column]) -> list[Column]:
@@ -60,60 +61,42 @@ def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def _mark_hot(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
-    """Adds ``_hot``: true for rows of keys with more than ``hot_rows`` rows, else null.
+def _ranges(df: DataFrame, order: Sequence[str | Column]) -> DataFrame:
+    """The rows, stored, with ``_range``: the number of their range of a sort.  A key's rows lie in ranges that follow each other."""
+    return stored(df.repartitionByRange(*_columns(order)).withColumn("_range", F.spark_partition_id()), "ranges")
+
+
+def _before(ranged: DataFrame, keys: Sequence[str], weight: Column) -> DataFrame:
+    """``keys, _range, _before``: what earlier ranges hold of a key that goes on.
 
-    There are at most (rows / hot_rows) such keys, which bounds what is broadcast.
+    A range has at most one key that began before it, so there are fewer rows than ranges.
     """
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    return _null_safe_join(df, F.broadcast(hot.select(*keys, F.lit(True).alias("_hot"))), keys, "left")
-
-
-def sliced_row_number(
-    df: DataFrame,
-    keys: Sequence[str],
-    slice_key: Column,
-    order: Sequence[str | Column],
-    name: str,
-    slice_descending: bool = False,
-    hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """Number the rows of every key from 1, sorting only one slice of a hot key in one task.
+    sums = ranged.groupBy(*keys, "_range").agg(weight.alias("_sum"))
+    earlier = Window.partitionBy(*_columns(keys)).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    return sums.select(*keys, "_range", F.sum("_sum").over(earlier).alias("_before")).where(F.col("_before").isNotNull())
+
 
-    ``slice_key`` must never decrease along ``order`` (never increase if ``slice_descending``).  Rows
-    of hot keys are counted per slice with partial aggregation, the small counts are summed up over
-    the slices, and each row gets its number inside the slice plus what came before.  Other keys are
-    numbered by a plain window; both share one shuffle.
+def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], name: str) -> DataFrame:
+    """Number the rows of every key from 1 in an order that is total within a key.
+
+    Rows are sorted into ranges of key and order, so a key with most of the rows, or a burst of them at one moment, is split
+    wherever the order splits it.  Each range is numbered by itself, and a key that goes on adds what earlier ranges hold.
     """
-    slice_cols = [*keys, "_slice"]
-    sliced = _mark_hot(df, keys, hot_rows).withColumn("_slice", F.when(F.col("_hot"), slice_key))
-    slice_order = F.col("_slice").desc() if slice_descending else F.col("_slice").asc()
-    before = F.sum("_rows").over(
-        Window.partitionBy(*_columns(keys)).orderBy(slice_order).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    offsets = (
-        sliced.where("_hot")
-        .groupBy(*slice_cols)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*slice_cols, F.coalesce(before, F.lit(0)).alias("_before"))
-    )
-    local = F.row_number().over(Window.partitionBy(*_columns(slice_cols)).orderBy(*_columns(order)))
-    numbered = sliced.withColumn("_local", local)
-    return (
-        _null_safe_join(numbered, offsets, slice_cols, "left")
-        .withColumn(name, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("bigint"))
-        .drop("_hot", "_slice", "_local", "_before")
+    ranged = _ranges(df, [*keys, *order])
+    local = F.row_number().over(Window.partitionBy(*_columns([*keys, "_range"])).orderBy(*_columns(order)))
+    before = _before(ranged, keys, F.count(F.lit(1)))
+    joined = _null_safe_join(ranged.withColumn("_local", local), before, [*keys, "_range"], "left")
+    return joined.withColumn(name, (F.col("_local") + F.coalesce("_before", F.lit(0))).cast("bigint")).drop(
+        "_range", "_local", "_before"
     )
 
 
-def exact_quantiles(
-    df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float], hot_rows: int = HOT_ROWS
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float]) -> DataFrame:
     """Exact, linearly interpolated quantiles per key, one column per entry of ``probabilities``.
 
-    Equal values collapse to counts first.  The distinct values of a hot key are cut into slices at
-    approximate quantiles, so that no task sorts all of them; ranks come from exact counts, so the
-    slices decide only who does the work.  Nulls are ignored, as in an aggregate.
+    Equal values collapse to counts first, in partial sums.  The counts are sorted into ranges of key and value, so that no
+    task sorts all values of a key; running sums inside a range and sums of earlier ranges give each value its
+    ranks.  The rows are read once.  Nulls are ignored, as in an aggregate.
     """
     keys = list(keys)
     counts = (
@@ -121,28 +104,15 @@ def exact_quantiles(
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    marked = _mark_hot(counts, keys, hot_rows)
-    cuts = F.percentile_approx("_v", [i / SALTS for i in range(1, SALTS)], 8 * SALTS)
-    bounds = marked.where("_hot").groupBy(*keys).agg(cuts.alias("_cuts"))
-    # As many rows as there are hot keys.
-    with_cuts = _null_safe_join(marked, F.broadcast(bounds), keys, "left")
-    sliced = with_cuts.withColumn(
-        "_slice", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col("_v"))), F.lit(0))
-    ).drop("_cuts", "_hot")
-    sliced = sliced.withColumn("_slice", F.greatest(F.col("_slice"), F.lit(0)))
-    per_key = Window.partitionBy(*_columns(keys))
-    earlier = per_key.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    slices = (
-        sliced.groupBy(*keys, "_slice")
-        .agg(F.sum("_c").alias("_sc"))
-        .withColumns({"_n": F.sum("_sc").over(per_key), "_before": F.coalesce(F.sum("_sc").over(earlier), F.lit(0))})
-        .drop("_sc")
-    )
-    in_slice = Window.partitionBy(*_columns(keys), F.col("_slice")).orderBy("_v")
-    running = F.sum("_c").over(in_slice.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = _null_safe_join(sliced.withColumn("_run", running), slices, [*keys, "_slice"])
+    ranged = _ranges(counts, [*keys, "_v"])
+    before = _before(ranged, keys, F.sum("_c"))
+    totals = ranged.groupBy(*keys).agg(F.sum("_c").alias("_n"))
+    in_range = Window.partitionBy(*_columns([*keys, "_range"])).orderBy("_v")
+    running = F.sum("_c").over(in_range.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = _null_safe_join(ranged.withColumn("_run", running), before, [*keys, "_range"], "left")
+    ranked = _null_safe_join(ranked, totals, keys)
     # Value "_v" covers the zero-based ranks [lo, hi).
-    hi = F.col("_before") + F.col("_run")
+    hi = F.coalesce("_before", F.lit(0)) + F.col("_run")
     lo = hi - F.col("_c")
     picks = []
     for name, p in probabilities.items():

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfmark.functions.requests import MINUTE_MS, client_id, client_key, window_reset_ms
-from shelfmark.operators.ranking import sliced_row_number
+from shelfmark.operators.ranking import numbered
 
 # Requests per window and window length in minutes.
 TIERS = {"public": (50, 60), "registered": (100, 60), "paid": (3000, 1440), "private": (6000, 1440)}
@@ -14,8 +14,6 @@ TIERS = {"public": (50, 60), "registered": (100, 60), "paid": (3000, 1440), "pri
 WINDOW_KEYS = ["client", "reset_ms", "window_minutes"]
 #: How long a closed window's state is kept.
 STATE_GRACE_MS = 5 * MINUTE_MS
-#: A hot client's window is split into this many time slices when its requests are numbered.
-SLICES_PER_WINDOW = 4096
 
 
 def tier_table(spark: SparkSession, tiers: dict[str, tuple[int, int]] | None = None) -> DataFrame:
@@ -46,9 +44,7 @@ def numbered_in_window(windowed: DataFrame) -> DataFrame:
 
     Windows of different length are different windows, also when they end together.
     """
-    slice_ms = F.greatest(F.col("window_minutes") * F.lit(MINUTE_MS) / SLICES_PER_WINDOW, F.lit(1.0))
-    time_slice = F.floor(F.unix_millis(F.col("ts")) / slice_ms)
-    return sliced_row_number(windowed, WINDOW_KEYS, time_slice, ["ts", "request_id"], "nth")
+    return numbered(windowed, WINDOW_KEYS, ["ts", "request_id"], "nth")
 
 
 def verdicts(numbered: DataFrame) -> DataFrame:

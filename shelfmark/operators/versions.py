@@ -18,7 +18,7 @@ from shelfmark.functions.versions import (
     version_format,
     version_parts,
 )
-from shelfmark.operators.ranking import first_wins, sliced_row_number
+from shelfmark.operators.ranking import first_wins, numbered
 
 KEY = ["category", "name"]
 NO_CHANGELOG = "No changelog available"
@@ -35,14 +35,7 @@ def version_history(versions: DataFrame, wanted: DataFrame | None = None) -> Dat
     """All versions with ``position`` 1 for the newest, and ``is_latest``."""
     if wanted is not None:
         versions = versions.join(wanted.select(*KEY).distinct(), KEY, "left_semi")
-    ranked = sliced_row_number(
-        versions,
-        KEY,
-        slice_key=F.date_trunc("day", "last_modified"),
-        order=_newest_first(),
-        name="position",
-        slice_descending=True,
-    )
+    ranked = numbered(versions, KEY, _newest_first(), "position")
     if "is_latest" not in versions.columns:
         ranked = ranked.withColumn("is_latest", F.col("position") == 1)
     return ranked

@@ -9,7 +9,7 @@ from shelfmark.operators import catalog as C
 from shelfmark.operators import names as N
 from shelfmark.operators import starters as S
 from shelfmark.operators import versions as V
-from shelfmark.operators.ranking import GROUP_LIMIT, exact_quantiles, first_wins, sliced_row_number, top_k
+from shelfmark.operators.ranking import GROUP_LIMIT, exact_quantiles, first_wins, numbered, top_k
 from shelfmark.operators.rate_limit import rate_limited
 from shelfmark.operators.requests import validate_requests
 from shelfmark.operators.search import ranked_search, suggestions
@@ -137,21 +137,35 @@ def _skewed(spark):
     )
 
 
-@pytest.mark.parametrize("hot", [100, 1_000_000])
-def test_sliced_numbers_are_row_numbers(spark, hot):
+@pytest.fixture(params=["false", "true"])
+def many_ranges(spark, request):
+    """With and without the ranges of a sort merged into one."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", request.param)
+    yield
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+
+
+def test_numbers_over_ranges_are_row_numbers(spark, many_ranges):
     df = _skewed(spark)
-    sliced = sliced_row_number(df, ["k"], F.floor(F.col("t") / 13), ["t", "id"], "n", hot_rows=hot).select("id", "n")
-    plain = df.select("id", F.row_number().over(Window.partitionBy("k").orderBy("t", "id")).cast("bigint").alias("n"))
-    assert sliced.exceptAll(plain).count() == 0 and sliced.count() == 3000
-    down = sliced_row_number(df, ["k"], F.floor(F.col("t") / 13), [F.col("t").desc(), "id"], "n", slice_descending=True, hot_rows=hot)
-    plain = df.select("id", F.row_number().over(Window.partitionBy("k").orderBy(F.col("t").desc(), "id")).cast("bigint").alias("n"))
-    assert down.select("id", "n").exceptAll(plain).count() == 0
+    for order in (["t", "id"], [F.col("t").desc(), "id"]):
+        found = numbered(df, ["k"], order, "n").select("id", "n")
+        plain = df.select("id", F.row_number().over(Window.partitionBy("k").orderBy(*order)).cast("bigint").alias("n"))
+        assert found.exceptAll(plain).count() == 0 and found.count() == 3000
+
+
+def test_a_burst_of_one_moment_is_split(spark, many_ranges):
+    df = spark.range(4000).select(F.lit("one").alias("k"), F.lit(5).alias("t"), "id")
+    found = numbered(df, ["k"], ["t", "id"], "n")
+    assert found.where("n <> id + 1").count() == 0 and found.count() == 4000
+    if spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled") == "false":
+        from shelfmark.operators.ranking import _ranges
 
+        assert _ranges(df, ["k", "t", "id"]).select("_range").distinct().count() == 4
 
-@pytest.mark.parametrize("hot", [10, 1_000_000])
-def test_exact_quantiles(spark, hot):
+
+def test_exact_quantiles(spark, many_ranges):
     df = _skewed(spark)
-    found = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", {"p50": 0.5, "p99": 0.99}, hot).collect()}
+    found = {r["k"]: r for r in exact_quantiles(df, ["k"], "v", {"p50": 0.5, "p99": 0.99}).collect()}
     values = df.toPandas().groupby("k", dropna=False)["v"]
     for key, group in values:
         key = None if key is None or key != key else key
@@ -159,6 +173,14 @@ def test_exact_quantiles(spark, hot):
         assert found[key]["p99"] == pytest.approx(np.quantile(group, 0.99))
 
 
+def test_numbering_and_quantiles_read_their_rows_once(spark, tmp_path):
+    _skewed(spark).write.parquet(str(tmp_path / "rows"))
+    df = spark.read.parquet(str(tmp_path / "rows"))
+    for made in (numbered(df, ["k"], ["t", "id"], "n"), exact_quantiles(df, ["k"], "v", {"p50": 0.5})):
+        plan = made._jdf.queryExecution().toString()
+        assert str(tmp_path) not in plan and "ResolvedHint" not in plan
+
+
 def test_window_edges(spark):
     base = datetime(2024, 1, 1, 1, 0, tzinfo=timezone.utc)
     moments = [base, base + timedelta(milliseconds=1), base + timedelta(minutes=59, seconds=1)]

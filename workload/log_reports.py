@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from shelfmark.functions import logs as LF
+from shelfmark.functions.logs import parse_regex
 from shelfmark.operators import logs as L
 from workload import adapters as A
 from workload.registry import cte, query
@@ -277,11 +278,28 @@ def _(t):
 
 @query(
     "latency_by_tool_approximate",
-    r"""SELECT tool, count(*) AS request_count FROM (SELECT nullif(regexp_extract(message, 'tool[:\s]+([^\s,]+)', 1), '') AS tool
+    r"""SELECT tool, count(*) AS request_count, true AS p95_within, true AS p99_within
+        FROM (SELECT nullif(regexp_extract(message, 'tool[:\s]+([^\s,]+)', 1), '') AS tool
         FROM logs WHERE regexp_matches(message, 'tool[:\s]+')) GROUP BY tool""",
 )
 def _(t):
-    return L.latency_by_tool(A.logs(t), approximate=True).select("tool", "request_count")
+    """Sketched percentiles against the ranks that they stand for: the exact shares of smaller and of not larger values."""
+    logs = A.logs(t)
+    sketched = L.latency_by_tool(logs, approximate=True).select(F.col("tool").alias("of"), "request_count", "p95_duration", "p99_duration")
+    durations = logs.where(F.col("message").rlike(r"tool[:\s]+")).select(parse_regex(F.col("message"), L.TOOL).alias("tool"), "duration")
+    counts = durations.where("duration IS NOT NULL").groupBy("tool", "duration").agg(F.count(F.lit(1)).alias("n"))
+    met = sketched.join(counts, F.col("of").eqNullSafe(F.col("tool")), "left")
+
+    def within(name, share):
+        value = F.col(name)
+        below = F.sum(F.when(F.col("duration") < value, F.col("n")).otherwise(0))
+        upto = F.sum(F.when(F.col("duration") <= value, F.col("n")).otherwise(0))
+        # the sketch may be off by one row in ten thousand, and by the one that the rank falls into
+        slack = F.sum("n") / 10_000 + 1
+        return ((below <= share * F.sum("n") + slack) & (upto >= share * F.sum("n") - slack)) | F.sum("n").isNull()
+
+    grouped = met.groupBy("of", "request_count").agg(within("p95_duration", 0.95).alias("p95_within"), within("p99_duration", 0.99).alias("p99_within"))
+    return grouped.select(F.col("of").alias("tool"), "request_count", "p95_within", "p99_within")
 
 
 @query(
