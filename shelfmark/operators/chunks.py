@@ -1,66 +1,76 @@
-"""Long texts in pieces of bounded size."""
+"""Long texts in pieces of bounded size, cut by native expressions inside the text's row."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_CHUNK_BYTES = 40_000
 
 
-def _split_line(line: str, limit: int) -> list[str]:
-    """Pieces of a line, each the longest prefix of the rest that fits."""
-    data, pieces, start = line.encode("utf-8", "surrogatepass"), [], 0
-    while len(data) - start > limit:
-        end = start + limit
-        while data[end] & 0xC0 == 0x80:  # not inside a character
-            end -= 1
-        pieces.append(data[start:end].decode("utf-8", "surrogatepass"))
-        start = end
-    return [*pieces, data[start:].decode("utf-8", "surrogatepass")]
-
-
-def pack_lines(text: str, limit: int) -> list[str]:
-    """Lines packed greedily into chunks of at most ``limit`` bytes; the tail of an oversized line goes on filling."""
-    chunks: list[str] = []
-    current: list[str] = []
-    size = 0
-    for line in text.split("\n"):
-        length = len(line.encode("utf-8", "surrogatepass"))
-        if current and size + 1 + length <= limit:
-            current.append(line)
-            size += 1 + length
-            continue
-        if current:
-            chunks.append("\n".join(current))
-        *full, tail = _split_line(line, limit) if length > limit else [line]
-        chunks += full
-        current, size = [tail], len(tail.encode("utf-8", "surrogatepass"))
-    return [*chunks, "\n".join(current)]
+#: A range is one number: its start times this, plus its end.
+_UNIT = 1 << 31
+
+
+def _inside_character(data: Column, at: Column) -> Column:
+    """Whether the byte at a place goes on with a character of UTF-8."""
+    return F.hex(F.substring(data, at + 1, 1)).between("80", "BF")
+
+
+def chunk_spans(data: Column, limit: int) -> Column:
+    """Ranges of the chunks of a text's UTF-8 bytes, one number each.
+
+    From its start a chunk goes to the last line end within the limit, and the next one begins behind that line end; if there is none,
+    it is cut after the last character within the limit.  A step looks at one chunk's bytes.  Two chunks that follow each other hold
+    about ``limit`` bytes or more, which bounds the steps.
+    """
+    total = F.length(data)
+    steps = F.sequence(F.lit(1), F.ceil(total * 2 / F.lit(limit - 3)).cast("int") + 2)
+
+    def state(so_far: Column, end: Column, following: Column) -> Column:
+        span = so_far["next"].cast("bigint") * F.lit(_UNIT) + end
+        return F.struct(F.concat(so_far["spans"], F.array(span)).alias("spans"), following.cast("int").alias("next"))
+
+    def step(so_far: Column, _: Column) -> Column:
+        start = so_far["next"]
+        # one byte a character, so that places are places of bytes
+        ahead = F.decode(F.substring(data, start + 1, F.lit(limit + 1)), "ISO-8859-1")
+        line_end = start + F.lit(limit) - F.length(F.substring_index(ahead, "\n", -1))
+        last = start + F.lit(limit)
+        cut = (
+            F.when(~_inside_character(data, last), last)
+            .when(~_inside_character(data, last - 1), last - 1)
+            .when(~_inside_character(data, last - 2), last - 2)
+            .otherwise(last - 3)
+        )
+        return (
+            F.when(start > total, so_far)
+            .when(total - start <= limit, state(so_far, total, total + 1))
+            .when(line_end >= start, state(so_far, line_end, line_end + 1))
+            .otherwise(state(so_far, cut, cut))
+        )
+
+    none = F.array().cast("array<bigint>")
+    return F.aggregate(steps, F.struct(none.alias("spans"), F.lit(0).alias("next")), step, lambda end: end["spans"])
 
 
 def chunk_content(
     documents: DataFrame, key: str, text: str, max_bytes: int = DEFAULT_CHUNK_BYTES
 ) -> DataFrame:
-    """``key, chunk_index, total_chunks, chunk``, documents in parallel and each one in order."""
+    """``key, chunk_index, total_chunks, chunk``; a null text is empty and one chunk.  No text leaves its row before it is cut."""
     if max_bytes < 4:
         raise ValueError("max_bytes must hold at least one character (4 bytes)")
-    typed = documents.select(key, F.coalesce(F.col(text), F.lit("")).alias("chunk"))
-    schema = f"{key} {dict(typed.dtypes)[key]}, chunks array<string>"
-    small = F.octet_length("chunk") <= max_bytes
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            chunks = [pack_lines(t, max_bytes) for t in batch["chunk"]]
-            yield pd.DataFrame({key: batch[key], "chunks": chunks})
-
-    # Texts that fit need no Python.
-    whole = typed.where(small).select(key, F.array("chunk").alias("chunks"))
-    packed = typed.where(~small).mapInPandas(pack, schema)
-    return whole.unionByName(packed).select(
+    whole = F.coalesce(F.col(text), F.lit(""))
+    data = documents.select(F.col(key), F.encode(whole, "UTF-8").alias("data"))
+    spans = F.when(F.length("data") <= max_bytes, F.array(F.length("data").cast("bigint"))).otherwise(chunk_spans(F.col("data"), max_bytes))
+    cut = data.select(key, "data", spans.alias("spans"))
+
+    def piece(span: Column) -> Column:
+        start = F.floor(span / F.lit(_UNIT)).cast("int")
+        return F.decode(F.substring(F.col("data"), start + 1, F.pmod(span, F.lit(_UNIT)).cast("int") - start), "UTF-8")
+
+    chunks = cut.select(key, F.transform("spans", piece).alias("chunks"))
+    return chunks.select(
         key, F.size("chunks").alias("total_chunks"), F.posexplode("chunks").alias("chunk_index", "chunk")
     ).select(key, "chunk_index", "total_chunks", "chunk")
 

@@ -1,7 +1,10 @@
-from hypothesis import given, settings
-from hypothesis import strategies as st
+import random
+import time
 
-from shelfmark.operators.chunks import pack_lines
+import pytest
+from pyspark.sql import functions as F
+
+from shelfmark.operators.chunks import chunk_content
 from shelfmark.operators.code import code_entries, code_items, extract_errors, jsdoc_items, python_items, template_items
 from shelfmark.operators.yaml_documents import load_template
 
@@ -83,20 +86,35 @@ def _slow_pack(text, limit):
     return [*chunks, current]
 
 
-@settings(max_examples=150, deadline=None)
-@given(st.text(alphabet="ab\né" + chr(0x20AC) + chr(0x1F600), max_size=60), st.integers(4, 12))
-def test_chunks(text, limit):
-    chunks = pack_lines(text, limit)
-    assert chunks == _slow_pack(text, limit)
-    assert all(len(c.encode()) <= limit for c in chunks)
-    assert "".join(chunks).replace("\n", "") == text.replace("\n", "")
-    if all(len(line.encode()) <= limit for line in text.split("\n")):
-        assert "\n".join(chunks) == text
+@pytest.mark.parametrize("limit", [4, 5, 7, 12])
+def test_chunks(spark, limit):
+    rng = random.Random(limit)
+    letters = "aab\n\né" + chr(0x20AC) + chr(0x1F600)
+    texts = ["", "\n", "\n\n\n", "\n" + "a" * 40, "a" * 40 + "\n", None]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(0, 60))) for _ in range(400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string")
+    chunked = chunk_content(rows, "id", "text", limit)
+    plan = chunked._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Pandas" not in plan and "Exchange" not in plan
+    found = {}
+    for r in sorted(chunked.collect(), key=lambda r: (r["id"], r["chunk_index"])):
+        found.setdefault(r["id"], []).append(r["chunk"])
+        assert r["chunk_index"] == len(found[r["id"]]) - 1
+    for k, text in enumerate(texts):
+        assert found[k] == _slow_pack(text or "", limit), text
+
+
+def test_a_long_text_takes_seconds(spark):
+    lines = [("é" * (k % 90), "x" * 5000)[k % 50 == 0] for k in range(40_000)]
+    rows = spark.createDataFrame([(1, "\n".join(lines))], "id int, text string")
+    started = time.perf_counter()
+    chunks = chunk_content(rows, "id", "text", 1000)
+    assert chunks.where(F.octet_length("chunk") > 1000).count() == 0
+    flat = "".join(r["chunk"] for r in chunks.orderBy("chunk_index").collect()).replace("\n", "")
+    assert flat == "".join(lines) and time.perf_counter() - started < 60
 
 
 def test_a_large_file_without_a_brace_takes_seconds():
-    import time
-
     text = "/** c */\nlet y;\n" * 60_000
     started = time.perf_counter()
     assert list(jsdoc_items(text)) == []

@@ -9,7 +9,7 @@ from shelfmark.operators.code import code_entries, code_items, extract_errors
 from shelfmark.operators.files import routed_files
 from shelfmark.operators.templates import template_details, template_summaries
 from shelfmark.plans.index import build_index
-from shelfmark.session import spread
+from shelfmark.session import spread, stored
 from workload import adapters as A
 from workload.registry import cte, query
 
@@ -280,23 +280,56 @@ def _(t):
     )
 
 
-@query("chunk_content")
+cte(
+    "chunks",
+    f"""
+    WITH RECURSIVE marks AS (
+      SELECT doc_id, list(b ORDER BY i) AS ends, max(i) AS n,
+             list_concat(CASE WHEN first(c ORDER BY i) = chr(10) THEN [{{'i': CAST(0 AS BIGINT), 'b': CAST(0 AS HUGEINT)}}] ELSE [] END,
+                         list({{'i': i, 'b': b}} ORDER BY i) FILTER (WHERE line_end)) AS lines
+      FROM (SELECT doc_id, i, c, sum(strlen(c)) OVER w AS b, coalesce(lead(c) OVER w, chr(10)) = chr(10) AS line_end
+            FROM (SELECT doc_id, unnest(string_split(text, '')) AS c, generate_subscripts(string_split(text, ''), 1) AS i FROM documents WHERE text <> '')
+            WINDOW w AS (PARTITION BY doc_id ORDER BY i))
+      GROUP BY doc_id),
+    -- a chunk ends at the last line end within the limit, else at the last character within it
+    walk AS (
+      SELECT doc_id, 0 AS chunk_index, CAST(0 AS BIGINT) AS started, CAST(-1 AS BIGINT) AS ended, CAST(-1 AS BIGINT) AS goes_on FROM marks
+      UNION ALL
+      SELECT doc_id, chunk_index + 1, goes_on, ended, CASE WHEN by_line IS NOT NULL THEN ended + 1 ELSE ended END
+      FROM (SELECT *, coalesce(by_line, len(list_filter(ends, lambda x: x <= base + {_LIMIT}))) AS ended
+            FROM (SELECT doc_id, chunk_index, goes_on, ends, base,
+                         list_last(list_filter(lines, lambda x: x.i >= goes_on AND x.b <= base + {_LIMIT})).i AS by_line
+                  FROM (SELECT w.doc_id, w.chunk_index, greatest(w.goes_on, 0) AS goes_on, m.ends, m.lines, m.n,
+                               CASE WHEN w.goes_on <= 0 THEN 0 ELSE m.ends[w.goes_on] END AS base
+                        FROM walk w JOIN marks m USING (doc_id) WHERE w.goes_on <= m.n)))
+    )
+    SELECT w.doc_id, w.chunk_index - 1 AS chunk_index, substring(d.text, w.started + 1, w.ended - w.started) AS chunk
+    FROM walk w JOIN documents d USING (doc_id) WHERE w.chunk_index > 0
+    UNION ALL SELECT doc_id, 0, '' FROM documents WHERE text = ''
+    """,
+)
+
+
+@query(
+    "chunk_content",
+    "SELECT doc_id, chunk_index, CAST(count(*) OVER (PARTITION BY doc_id) AS INTEGER) AS total_chunks, chunk FROM chunks",
+)
 def _(t):
     return chunk_content(t.documents, "doc_id", "text", _LIMIT)
 
 
 @query(
     "get_chunk",
-    f"""SELECT doc_id AS want_id, CAST(CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 99999 END AS INTEGER) AS chunk_index,
-               CASE WHEN doc_id % 3 = 0 AND longest_first <= {_LIMIT} AND strlen(text) <= {_LIMIT} THEN text END AS small_text,
-               CASE WHEN doc_id % 3 <> 0 THEN 'INVALID_CHUNK_INDEX' END AS code
-        FROM (SELECT *, strlen(string_split(text, chr(10))[1]) AS longest_first FROM documents)""",
+    """SELECT doc_id AS want_id, chunk_index, chunk, NULL AS code, NULL AS message FROM chunks
+       UNION ALL SELECT doc_id, CAST(n AS INTEGER), NULL, 'INVALID_CHUNK_INDEX', 'chunkIndex ' || n || ' is out of range. Valid range: 0-' || (n - 1)
+       FROM (SELECT doc_id, count(*) AS n FROM chunks GROUP BY doc_id)
+       UNION ALL SELECT -1 - doc_id, 0, NULL, 'TEMPLATE_NOT_FOUND', NULL FROM documents""",
 )
 def _(t):
-    chunks = chunk_content(t.documents, "doc_id", "text", _LIMIT)
-    index = F.when(F.col("doc_id") % 3 == 0, 0).otherwise(99999)
-    wanted = t.documents.select(F.col("doc_id").alias("want_id"), "doc_id", index.alias("chunk_index"))
-    found = get_chunks(wanted, chunks, "doc_id")
-    return found.select(
-        "want_id", "chunk_index", F.when(F.col("total_chunks") == 1, F.col("chunk")).alias("small_text"), "code"
-    )
+    """Every chunk of every document, the index behind the last, and a document that is not there."""
+    chunks = stored(chunk_content(t.documents, "doc_id", "text", _LIMIT), "chunks")
+    indexes = F.explode(F.sequence(F.lit(0), F.col("total_chunks"))).alias("chunk_index")
+    wanted = chunks.where("chunk_index = 0").select(F.col("doc_id").alias("want_id"), "doc_id", indexes)
+    absent = (-1 - F.col("doc_id")).alias("want_id")
+    wanted = wanted.unionByName(t.documents.select(absent, absent.alias("doc_id"), F.lit(0).alias("chunk_index")))
+    return get_chunks(wanted, chunks, "doc_id").select("want_id", "chunk_index", "chunk", "code", "message")
