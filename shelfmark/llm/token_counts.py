@@ -10,15 +10,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.base import slices
-from shelfmark.llm.word_parts import Memory, cuts_at_white_space, library_tokenizer, word_parts
+from shelfmark.llm.word_parts import Memory, cuts_at_white_space, distinct_words, library_tokenizer, word_parts
 
 #: Bytes of text that are encoded together, and rows they may come from.
-BATCH, ROWS = 1 << 20, 4096
+BATCH, ROWS = 4 << 20, 4096
 LIMIT = 2048
 SPACES = [b" ", b"\t", b"\n", b"\r", b"\x0b", b"\x0c"]
 
@@ -58,12 +59,17 @@ class WordCounter:
         self.known = Memory()
 
     def __call__(self, pieces: list[bytes]) -> list[int]:
-        split = [p.split() for p in pieces]
         self.known.trim()
         known = self.known
-        new = list(set().union(*split).difference(known))
+        sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        words, number, per_piece = distinct_words(np.frombuffer(b"".join(pieces), np.uint8), starts)
+        new = [w for w in words if w not in known]
         known.update((word, len(ids) >> 2) for word, ids in zip(new, self.parts.ids(new), strict=True))
-        return [sum(map(known.__getitem__, words)) for words in split]
+        lengths = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        running = np.concatenate([[0], np.cumsum(lengths[number])])
+        ends = np.cumsum(per_piece)
+        return (running[ends] - running[ends - per_piece]).tolist()
 
 
 class TextCounter:

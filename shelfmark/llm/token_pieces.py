@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.base import slices
-from shelfmark.llm.word_parts import Memory, cuts_at_white_space, library_tokenizer, word_parts
+from shelfmark.llm.word_parts import Memory, cuts_at_white_space, distinct_words, library_tokenizer, word_parts
 
 CAPACITY = 4096
 END = 1
@@ -27,19 +27,32 @@ class TextTokenizer:
         self.whole = library_tokenizer(path) if self.parts is None else None
         self.known = Memory()
 
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
         if self.parts is None:
-            for made in self.whole.encode_batch_fast(texts, add_special_tokens=False):
+            for made in self.whole.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False):
                 yield np.array(made.ids, dtype="<u4").tobytes()
             return
         self.known.trim()
         known = self.known
-        split = [t.encode().split() for t in texts]
-        new = list(set().union(*split).difference(known))
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        starts = np.concatenate([[0], np.cumsum(sizes)])
+        words, number, per_text = distinct_words(np.frombuffer(b"".join(texts), np.uint8), starts)
+        new = [w for w in words if w not in known]
         known.update(zip(new, self.parts.ids(new), strict=True))
-        for words in split:
-            yield b"".join([known[w] for w in words])
+        ids = [known[w] for w in words]
+        table = np.frombuffer(b"".join(ids), dtype="<u4")
+        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        begins = np.cumsum(lengths) - lengths
+        # ids of all words one after the other: places in the table, word by word
+        own = lengths[number]
+        ends = np.cumsum(own)
+        places = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(begins[number] - (ends - own), own)
+        every = table[places]
+        running = np.concatenate([[0], ends])
+        last = np.cumsum(per_text)
+        for a, b in zip(running[last - per_text].tolist(), running[last].tolist(), strict=True):
+            yield every[a:b].tobytes()
 
 
 @cache
@@ -59,9 +72,9 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int =
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = text_tokenizer(tokenizer)
-        for batch in slices(batches, 256):
+        for batch in slices(batches, 1000):
             rows = []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
+            texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode(texts), strict=True):
                 ids += last
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):

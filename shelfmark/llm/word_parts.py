@@ -5,12 +5,14 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 
 #: Words and parts that a Python worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 600_000
 
 # What the file of a tokenizer must say for the cuts below to be safe.
 NORMALIZERS = [
@@ -72,6 +74,43 @@ class Memory(dict):
             self.update(newest)
 
 
+#: What separates words; and the first byte of characters beyond Latin-1.
+_INSIDE = np.ones(256, bool)
+_INSIDE[[9, 10, 11, 12, 13, 32]] = False
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_BEYOND = 0xC4
+
+
+def distinct_words(raw: np.ndarray, starts: np.ndarray) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct words of texts that lie end to end, the number of every word among them, and how many words each text has.
+
+    ``starts`` also has the end of the last text.  A to Z become small letters, as normalisation would have it, but in words with
+    characters beyond Latin-1, which it may compose, and in words with the beginning of a special string.
+    """
+    inside = _INSIDE[raw]
+    opens = inside.copy()
+    opens[1:] &= ~inside[:-1]
+    borders = starts[:-1][starts[:-1] < len(raw)]
+    opens[borders] = inside[borders]
+    first = np.flatnonzero(opens)
+    per_text = np.bincount(np.searchsorted(starts, first, side="right") - 1, minlength=len(starts) - 1)
+    if not len(first):
+        return [], first, per_text
+    letters = raw[inside]
+    opened = np.flatnonzero(opens[inside])
+    low = _LOWER[letters]
+    odd = letters >= _BEYOND
+    odd[:-1] |= (letters[:-1] == 0x3C) & (letters[1:] == 0x7C)
+    for word in np.unique(np.searchsorted(opened, np.flatnonzero(odd), side="right") - 1).tolist():
+        end = opened[word + 1] if word + 1 < len(opened) else len(letters)
+        low[opened[word] : end] = letters[opened[word] : end]
+    ends = np.append(opened, len(letters)).astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(opened), [None, pa.py_buffer(ends), pa.py_buffer(low)])
+    numbered = words.dictionary_encode()
+    return numbered.dictionary.to_pylist(), numbered.indices.to_numpy(), per_text
+
+
 class WordParts:
     """Ids of words, by the tokenizer's own model.
 
@@ -92,16 +131,18 @@ class WordParts:
         self.letters = {b: chr(256 + k) for k, b in enumerate(others)}
         self.known = Memory()
 
-    def _part(self, part: str) -> np.ndarray:
+    def _part(self, part: str) -> bytes:
         read = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-        return np.array([t.id for t in self.model.tokenize(read)], dtype="<u4").tobytes()
+        return array("I", [t.id for t in self.model.tokenize(read)]).tobytes()
 
     def ids(self, words: list[bytes]) -> list[bytes]:
         """Little-endian 32-bit ids of every word."""
         known, found, other = self.known, [], []
         for at, word in enumerate(words):
             text = word.decode()
-            if self.PLAIN(text) and SPECIAL not in text:
+            if (ids := known.get(text)) is not None:  # a word of one part
+                found.append(ids)
+            elif self.PLAIN(text) and SPECIAL not in text:
                 ids = b""
                 for part in self.CUT(text.lower()):
                     if (own := known.get(part)) is None:

@@ -105,7 +105,7 @@ def test_words_encode_like_texts(path):
     ]
     words = TextTokenizer(path)
     for _ in range(2):
-        assert [np.frombuffer(b, "<u4").tolist() for b in words.encode(texts)] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+        assert [np.frombuffer(b, "<u4").tolist() for b in words.encode([t.encode() for t in texts])] == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
 
 
 def ids_of(path, docs):
