@@ -16,28 +16,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from shelfmark.operators.rate_limit import STATE_GRACE_MS, WINDOW_KEYS, numbered_in_window, verdicts, with_windows
+from shelfmark.streaming.folders import BatchFolders
 
 COUNTS_SCHEMA = "client string, reset_ms bigint, window_minutes int, seen bigint"
 
 
+def _summed(counts: DataFrame) -> DataFrame:
+    """Counts of a window as one, by the windows' ends, so that a reader of late requests skips most of them."""
+    return counts.groupBy(*WINDOW_KEYS).agg(F.sum("seen").alias("seen")).repartitionByRange("reset_ms").sortWithinPartitions("reset_ms")
+
+
 class RateLimitStream:
     """Writes verdicts below ``{root}/verdicts`` and counts below ``{root}/counts`` (open windows) and ``{root}/closed``.
 
-    A count is in one of the two.  Closed counts are kept; a batch reads those of the windows from its oldest request on.
+    A count is in one of the two.  Closed counts are kept, in few folders; a batch reads those of the windows from its oldest request
+    on.  Of the open counts the last three batches' are there: a batch needs those before it, and may be run again.
     """
 
-    def __init__(self, root: str, limit: int | None = None, window_minutes: int | None = None):
+    def __init__(self, root: str, limit: int | None = None, window_minutes: int | None = None, compact_after: int | None = None):
         self.root = root
         self.limit = limit
         self.window_minutes = window_minutes
-
-    def _counts_path(self, batch_id: int) -> str:
-        return f"{self.root}/counts/batch_id={batch_id}"
+        self.counts = BatchFolders(f"{root}/counts", _summed)
+        self.closed = BatchFolders(f"{root}/closed", _summed, compact_after)
 
     def _previous_counts(self, spark: SparkSession, batch_id: int) -> DataFrame:
         if batch_id > 0:
             try:
-                return spark.read.schema(COUNTS_SCHEMA).parquet(self._counts_path(batch_id - 1))
+                return spark.read.schema(COUNTS_SCHEMA).parquet(f"{self.counts.root}/batch={batch_id - 1}")
             except AnalysisException as error:
                 raise RuntimeError(f"counts of batch {batch_id - 1} are missing") from error
         return spark.createDataFrame([], COUNTS_SCHEMA)
@@ -46,11 +52,10 @@ class RateLimitStream:
         """What earlier batches set aside of the windows that end at ``oldest`` or later."""
         if batch_id == 0 or oldest is None:
             return spark.createDataFrame([], COUNTS_SCHEMA)
-        try:
-            closed = spark.read.schema(f"{COUNTS_SCHEMA}, batch_id bigint").parquet(f"{self.root}/closed")
-        except AnalysisException as error:
-            raise RuntimeError(f"closed counts before batch {batch_id} are missing") from error
-        return closed.where((F.col("batch_id") < batch_id) & (F.col("reset_ms") >= oldest)).drop("batch_id")
+        closed = self.closed.read(spark, batch_id)
+        if closed is None:
+            raise RuntimeError(f"closed counts before batch {batch_id} are missing")
+        return closed.where(F.col("reset_ms") >= oldest)
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -70,8 +75,9 @@ class RateLimitStream:
         # The newest event time of the batch closes old windows.
         newest = F.lit(bounds["newest"]).cast("bigint")
         is_open = newest.isNull() | F.coalesce(F.col("reset_ms") + STATE_GRACE_MS > newest, F.lit(False))
-        counts.where(~is_open).write.mode("overwrite").parquet(f"{self.root}/closed/batch_id={batch_id}")
-        counts.where(is_open).write.mode("overwrite").parquet(self._counts_path(batch_id))
+        self.closed.write(counts.where(~is_open), batch_id)
+        counts.where(is_open).write.mode("overwrite").parquet(f"{self.counts.root}/batch={batch_id}")
+        self.counts.drop(spark, [f"batch={batch_id - 3}"] if batch_id >= 3 else [])
 
     def start(self, requests: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
         writer = requests.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)

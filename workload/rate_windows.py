@@ -172,21 +172,49 @@ def _(t):
 @query(
     "metric_stream",
     """SELECT event_type AS metric, CAST(floor(epoch(ts) / 3600) AS BIGINT) * 3600 AS period, count(*) AS samples,
-              round(sum(value), 4) AS sum_value, max(value) AS max_value, min(value) AS min_value FROM events GROUP BY 1, 2""",
+              round(sum(value), 4) AS sum_value, max(value) AS max_value, min(value) AS min_value, true AS p99_within FROM events GROUP BY 1, 2""",
 )
 def _(t):
+    """Samples in three parts in mixed order; the sketched p99 lies within the sketch's error of rank 0.99."""
+    from shelfmark.operators.logs import period_start
     from shelfmark.streaming.metrics import MetricStream
 
     root = work_dir(t.spark, "metrics")
-    stream = MetricStream(root, 3600)
+    stream = MetricStream(root, 3600, compact_after=2)
     for landed in _in_parts(t, root, F.col("event_id")):
         stream.start(A.metrics(landed), f"{root}/checkpoint").awaitTermination()
-    return stream.series(t.spark).select(
+    series = stream.series(t.spark)
+    counts = A.metrics(t).where("value IS NOT NULL").groupBy("metric", period_start(F.col("ts"), 3600).alias("period"), "value")
+    met = series.join(counts.agg(F.count(F.lit(1)).alias("n")), ["metric", "period"], "left")
+    below = F.sum(F.when(F.col("value") < F.col("p99_value"), F.col("n")).otherwise(0))
+    upto = F.sum(F.when(F.col("value") <= F.col("p99_value"), F.col("n")).otherwise(0))
+    total = F.sum("n")
+    within = total.isNull() | ((below <= total * (0.99 + 0.0165)) & (upto >= total * (0.99 - 0.0165)))
+    grouped = met.groupBy("metric", "period", "samples", "sum_value", "max_value", "min_value").agg(within.alias("p99_within"))
+    return grouped.select(
         "metric", F.unix_timestamp("period").alias("period"), "samples", F.round("sum_value", 4).alias("sum_value"),
-        "max_value", "min_value",
+        "max_value", "min_value", "p99_within",
     )
 
 
+@query(
+    "alarm_stream",
+    """SELECT period, metric, round(statistic, 4) AS statistic FROM (
+         SELECT *, lag(period) OVER (PARTITION BY metric ORDER BY period) AS before FROM (
+           SELECT event_type AS metric, CAST(floor(epoch(ts) / 300) AS BIGINT) * 300 AS period, avg(value) AS statistic FROM events GROUP BY 1, 2
+           HAVING avg(value) > 5)) WHERE before = period - 300""",
+)
+def _(t):
+    """Alarms of every metric over three parts in mixed order: late samples fire and clear."""
+    from shelfmark.streaming.metrics import AlarmStream
+
+    root = work_dir(t.spark, "alarms")
+    stream = AlarmStream(root, "avg", 5.0, 300, consecutive=2)
+    for landed in _in_parts(t, root, F.col("event_id")):
+        stream.start(A.metrics(landed), f"{root}/checkpoint").awaitTermination()
+    return stream.alarms(t.spark).select(F.unix_timestamp("period").alias("period"), "metric", F.round("statistic", 4).alias("statistic"))
+
+
 @query(
     "log_line_stream",
     """SELECT log_id, split_part(rest, ' | ', 2) AS endpoint, split_part(rest, ' | ', 3) AS result FROM tagged WHERE tag = 'CACHE'""",
