@@ -94,6 +94,33 @@ def test_every_leak_is_found_whatever_surrounds_it(spark, monkeypatch):
     assert found == force
 
 
+@pytest.mark.parametrize("times", [1, 12])
+def test_recall_of_the_cosine_against_the_exact_search(spark, tables, times):
+    """Paraphrases that keep 60 to 100 % of an item's words, at two sizes of the corpus."""
+    items = {r["item_id"]: latent_decontam.words_of(r["text"]) for r in tables("benchmark").collect()}
+    texts = [r["text"] for r in tables("documents").select("text").collect() if r["text"]]
+    rnd, rows = random.Random(times), []
+    for k in range(len(texts) * times):
+        words = texts[k % len(texts)].split(" ")[:400]
+        if k < 300:
+            item = items[sorted(items)[k % len(items)]]
+            kept = []
+            for word in item:
+                kept += [word.decode()] if rnd.random() < (0.62, 0.7, 0.8, 0.9, 1.0)[k % 5] else []
+                kept += [rnd.choice(words)] if rnd.random() < 0.15 * (k % 3) else []
+            at = rnd.randint(0, len(words))
+            words = [*words[:at], *kept, *words[at:]]
+        rnd.shuffle(words) if k >= len(texts) else None
+        rows.append((k, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    exact, found = (
+        {(r["doc_id"], r["item_id"]) for r in latent_decontam.contaminated(docs, tables("benchmark"), c).collect()}
+        for c in (-1, latent_decontam.COSINE)
+    )
+    assert found <= exact and len(exact) > 100
+    assert len(found) >= 0.97 * len(exact)
+
+
 def test_leaks_and_cosines_are_the_same_in_blocks_of_items(spark, monkeypatch):
     rnd = random.Random(4)
     items = [(i, " ".join(f"w{int(rnd.expovariate(0.02))}" for _ in range(30))) for i in range(12)]
