@@ -31,6 +31,8 @@ from shelfmark.llm.zstd_quality import calibration
 PER_CLASS, MAX_BYTES = 1500, 8192
 #: Weight of the prior as a share of the sample, standard errors taken off a token's log-odds, drift of a token.
 PRIOR, ERRORS, DRIFT = 0.1, 3.0, 0.25
+#: Toxic texts from which on all ``ERRORS`` are taken off; of fewer texts fewer, as the prior shrinks their log-odds already.
+ENOUGH = 200
 #: Level of significance; letters of a stem, from the least on.
 LEVEL, STEM = 0.05, (4, 5, 6, 7, 8)
 
@@ -128,10 +130,10 @@ class Model:
         return 0.99 * np.interp(evidence, self.at, self.value) + 0.01 * evidence / (10 + evidence)
 
 
-def weights(toxic: list[list[str]], other: list[list[str]], letters: int | None = None) -> dict[str, float]:
+def weights(toxic: list[list[str]], other: list[list[str]], letters: int | None = None, errors: float = ERRORS) -> dict[str, float]:
     """Scores of the words (or of their first ``letters``) that are signs of the first group: certain log-odds less the drift.
 
-    A text counts a word once.
+    A text counts a word once; a sign is in two texts of the group or more.
     """
     counts = [Counter(w for words in group for w in {w[:letters] for w in words}) for group in (other, toxic)]
     sizes = [max(1, sum(c.values())) for c in counts]
@@ -139,9 +141,11 @@ def weights(toxic: list[list[str]], other: list[list[str]], letters: int | None
     found = {}
     for word in counts[1]:
         y0, y1 = counts[0][word], counts[1][word]
+        if y1 < 2:
+            continue
         prior = PRIOR * (y0 + y1)
         odds = [math.log((y + prior) / (n + PRIOR * total - y - prior)) for y, n in ((y0, sizes[0]), (y1, sizes[1]))]
-        certain = odds[1] - odds[0] - ERRORS * math.sqrt(1 / (y0 + prior) + 1 / (y1 + prior))
+        certain = odds[1] - odds[0] - errors * math.sqrt(1 / (y0 + prior) + 1 / (y1 + prior))
         if certain > DRIFT:
             found[word] = certain - DRIFT
     return found
@@ -168,23 +172,40 @@ def extremes(model: Model, texts: list[list[str]]) -> tuple[float, float]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, learnable=None) -> Model:
-    """Token scores from every second text of a bounded sample, extremes and curve from the others.
+    """Token scores, extremes and curve from a bounded sample of labelled texts.
 
-    Without a toxic and another text on both sides the model knows nothing and scores 0.5.
+    The curve is fitted on evidence that each half of the texts has under scores learned from the other half; the scores
+    themselves then come from all texts.  The fewer toxic texts there are, the fewer standard errors are taken off a word's log-odds.
+    Without two toxic and two other texts, or a sign in them, the model knows nothing and scores 0.5.
     """
     learnable = fold(F.col("doc_id"), 3) != 1 if learnable is None else learnable
     sample, sizes = labelled_sample(docs, labels, "toxic", PER_CLASS, MAX_BYTES, learnable)
     texts = {c: distinct_texts([tokens(t) for _, k, t in sample if k == c]) for c in (0, 1)}
     if min(len(texts[0]), len(texts[1])) < 2:
         return Model()
-    signs, usual = texts[1][::2], texts[0][::2]
-    known = Model(weights(signs, usual), {s: v for n in STEM for s, v in weights(signs, usual, n).items()})
-    if not (known.weights or known.stems):
+
+    def learned(toxic: list[list[str]], other: list[list[str]], unseen: list[list[str]]) -> Model | None:
+        errors = ERRORS * min(1.0, math.sqrt(len(toxic) / ENOUGH))
+        known = Model(weights(toxic, other, None, errors), {s: v for n in STEM for s, v in weights(toxic, other, n, errors).items()})
+        if not (known.weights or known.stems):
+            return None
+        return replace(known, **dict(zip(("decay", "rate"), extremes(known, unseen), strict=True)))
+
+    x, y, rates = [], [], []
+    for half in (0, 1):
+        own = learned(texts[1][half::2], texts[0][half::2], texts[0][1 - half :: 2])
+        if own is not None:
+            rates.append((own.decay, own.rate))
+            for c in (0, 1):
+                rest = texts[c][1 - half :: 2]
+                x += [own.evidence(*own.segments(w)) for w in rest]
+                y += [c] * len(rest)
+    known = learned(texts[1], texts[0], texts[0])
+    if known is None or not rates:
         return Model()
-    known = replace(known, **dict(zip(("decay", "rate"), extremes(known, texts[0][1::2]), strict=True)))
-    rest = [(w, c) for c in (0, 1) for w in texts[c][1::2]]
-    x = np.array([known.evidence(*known.segments(w)) for w, _ in rest])
-    at, value = calibration(x, np.array([c for _, c in rest], float), sizes[1] / (sizes[0] + sizes[1]))
+    # texts that scores were learned from look tamer than others: extremes as the halves have them
+    known = replace(known, **dict(zip(("decay", "rate"), np.mean(rates, axis=0).tolist(), strict=True)))
+    at, value = calibration(np.array(x), np.array(y, float), sizes[1] / (sizes[0] + sizes[1]))
     return replace(known, at=at, value=value)
 
 
