@@ -63,8 +63,3 @@ def read_tree(spark: SparkSession, path: str, extensions: Sequence[str] = ("html
     full = F.regexp_replace(F.col("_metadata.file_path"), r"\A[a-z0-9]+:(//[^/]*)?(?=/)", "")
     relative = F.substring(full, len(qualified.rstrip("/")) + 2, 1 << 20)
     return files.select(relative.alias("path"), F.col("value").alias("html"))
-
-
-def write_tree(pages: DataFrame, path: str) -> None:
-    """Pages as a table of paths and texts."""
-    pages.select("path", "html").write.mode("overwrite").parquet(path)

@@ -46,6 +46,24 @@ def test_tree(spark, tmp_path):
     assert {r["path"]: r["html"] for r in read_tree(spark, str(tmp_path)).collect()} == {"a/b/x.html": "<p>\n</p>", "a/y.json": "{}"}
 
 
+def test_trees_are_written_as_files(spark, tmp_path):
+    from shelfmark.sources.trees import write_tree
+
+    root = tmp_path / "site"
+    (root / "kept").mkdir(parents=True)
+    (root / "kept" / "old.html").write_text("old")
+    pages = [("index.html", "<p>é\n</p>"), ("a/b/x.html", ""), ("kept/new.html", None)]
+    write_tree(spark.createDataFrame(pages, "path string, html string").repartition(3), str(root))
+    assert {str(p.relative_to(root)): p.read_text() for p in root.rglob("*") if p.is_file()} == {
+        "index.html": "<p>é\n</p>", "a/b/x.html": "", "kept/new.html": "", "kept/old.html": "old"
+    }
+    for bad in ("../out.html", "/etc/x", "a/../../x", "", "dir/"):  # a failing page leaves the tree as it was
+        rows = spark.createDataFrame([("fresh.html", "x"), (bad, "x")], "path string, html string").coalesce(1)
+        with pytest.raises(Exception, match="not a path inside a tree"):
+            write_tree(rows, str(root))
+        assert sorted(p.name for p in root.iterdir()) == ["a", "index.html", "kept"]
+
+
 def test_index_versions(spark, tmp_path):
     files = spark.createDataFrame(
         [("o", "r", 0, 1, "README.md", "# Install\nRun it"), ("o", "r", 0, 2, "a.py", 'def f():\n    """Doc."""')],

@@ -601,13 +601,13 @@ def _(t):
 
 @query(
     "write_sidecar_documents",
-    """SELECT k, '{"name":"s' || (k % 40) || '","displayName":"Starter ' || k || '","topics":[]}' AS document
-       FROM starter_fields WHERE good""",
+    """SELECT k, '{"name":"s' || (k % 40) || '","displayName":"' || CASE WHEN good THEN 'Starter ' || k ELSE '' END || '","topics":[]}' AS document
+       FROM starter_fields WHERE has_sidecar""",
 )
 def _(t):
     from shelfmark.sources.sidecars import sidecar_documents
 
-    docs = S.read_sidecars(_sidecars(t)).where(F.col("display_name") != "")
+    docs = S.read_sidecars(_sidecars(t))
     named = docs.select(
         F.col("row_id").alias("k"),
         F.regexp_extract("key", r"([^/]*)\.json\z", 1).alias("name"),

@@ -135,14 +135,14 @@ def _(t):
 
 @query(
     "detect_resource_type",
-    """SELECT id, name, CASE WHEN resource_type = '' AND c_prefix <> '' AND shape NOT IN (1, 2) THEN type
-              WHEN shape IN (8, 9, 10, 11, 14) AND shape <> 10 AND shape <> 9 THEN 'application' END AS detected
-       FROM expected_names WHERE shape NOT IN (9, 10, 13)""",
+    rf"""SELECT id, name, CASE WHEN shape IN (6, 7, 12) THEN 's3'
+              WHEN len(parts) >= 3 AND name <> lower(name) AND regexp_matches(parts[1], '{N.CAPS_PATTERN}') THEN 'service-role'
+              WHEN len(parts) >= 4 AND regexp_matches(lower(parts[3]), '^[tbsp][a-z0-9]*$') THEN 'application' END AS detected
+       FROM (SELECT *, string_split(name, '-') AS parts FROM expected_names)""",
 )
 def _(t):
-    found = N.detect_resource_type(F.col("name"))
-    shape = F.col("id") % len(_SHAPES)
-    return names(t).where(~shape.isin(9, 10, 13)).select("id", "name", found.alias("detected"))
+    """Only the shapes with a region from the right are bucket names; all others go by their parts."""
+    return names(t).select("id", "name", N.detect_resource_type(F.col("name")).alias("detected"))
 
 
 @query(

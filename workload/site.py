@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from shelfmark.functions import site as FS
 from shelfmark.operators import site as S
+from shelfmark.session import work_dir
+from shelfmark.sources.archives import read_tree
+from shelfmark.sources.trees import write_tree
 from workload import adapters as A
 from workload.registry import cte, query
 
@@ -40,6 +43,14 @@ def _(t):
     return S.changed_pages(_applied(t)).select("page_id", "path", "html")
 
 
+@query("write_site", "SELECT path, new_html AS html FROM applied_pages WHERE html <> new_html")
+def _(t):
+    """Changed pages written as files, and the tree read back."""
+    root = work_dir(t.spark, "site")
+    write_tree(S.changed_pages(_applied(t)), root)
+    return read_tree(t.spark, root).select("path", "html")
+
+
 @query(
     "replacement_totals",
     """SELECT key, CAST(sum(n) AS BIGINT) AS replacements FROM (
