@@ -310,3 +310,23 @@ def test_a_move_that_was_never_finished_is_none(spark, tmp_path):
     assert store.pointer()[:2] == (1, "a")
     store.build(_files(spark, "beta"), now, version="b")
     assert store.pointer() == (3, "b", "a")
+
+
+def test_damaged_files_become_error_rows(spark, tmp_path):
+    from shelfmark.sources.landing import land_sources
+
+    rows = spark.range(4000).selectExpr("id", "cast(id * 7919 % 1000 as string) AS word")
+    for name in ("good", "hurt"):
+        rows.repartition(4).write.parquet(str(tmp_path / name))
+    cut, empty = sorted((tmp_path / "hurt").glob("*.parquet"))[:2]
+    data = cut.read_bytes()
+    cut.write_bytes(data[: len(data) // 2])
+    (tmp_path / "hurt" / f".{cut.name}.crc").unlink()
+    lost = 4000 - spark.read.option("ignoreCorruptFiles", "true").schema("id long").parquet(str(tmp_path / "hurt")).count()
+    spark.range(0).selectExpr("id", "'' AS word").coalesce(1).write.parquet(str(tmp_path / "none"))
+    folders = {n: str(tmp_path / n) for n in ("good", "hurt", "none", "away")}
+    found, errors, partial = land_sources(spark, folders, "id long, word string")
+    assert partial and {r["source"]: r["count"] for r in found.groupBy("source").count().collect()} == {"good": 4000, "hurt": 4000 - lost}
+    assert {(r["source"], (r["path"] or "").split("/")[-1]) for r in errors.collect()} == {("hurt", cut.name), ("away", "")}
+    assert not land_sources(spark, {n: folders[n] for n in ("good", "none")}, "id long, word string")[2]
+    assert land_sources(spark, {"away": folders["away"]}, "id long, word string")[0].collect() == []

@@ -9,6 +9,8 @@ from shelfmark.operators import catalog as C
 from shelfmark.operators import starters as S
 from shelfmark.operators import versions as VE
 from shelfmark.operators.ranking import last_wins
+from shelfmark.session import work_dir
+from shelfmark.sources.landing import land_sources
 from workload import adapters as A
 from workload.registry import cte, query
 
@@ -211,10 +213,20 @@ def _(t):
 @query(
     "source_errors",
     """SELECT bucket AS source, count(*) AS found, false AS failed FROM objects WHERE bucket IN ('b0', 'b1') GROUP BY bucket
-       UNION ALL SELECT 'b9', NULL, true""",
-)
-def _(t):
-    rows, errors, _partial = _union(t)
+       UNION ALL SELECT 'b1', NULL, true UNION ALL SELECT 'b9', NULL, true""",
+)
+def _(t):
+    """Two landed sources, one of which has a damaged file among its files, and one that is not there."""
+    root = work_dir(t.spark, "sources")
+    listing = A.objects(t).select("bucket", "row_id", "key")
+    for bucket in ("b0", "b1"):
+        listing.where(F.col("bucket") == bucket).repartition(3).write.parquet(f"{root}/{bucket}")
+    path = t.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/b1/part-damaged.parquet")
+    out = path.getFileSystem(t.spark.sparkContext._jsc.hadoopConfiguration()).create(path)
+    out.write(b"PAR1 and then nothing that a reader knows")
+    out.close()
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in listing.schema.fields)
+    rows, errors, _partial = land_sources(t.spark, {b: f"{root}/{b}" for b in ("b0", "b1", "b9")}, schema)
     found = rows.groupBy("source").agg(F.count(F.lit(1)).alias("found")).withColumn("failed", F.lit(False))
     failed = errors.select("source", F.lit(None).cast("bigint").alias("found"), F.lit(True).alias("failed"))
     return found.unionByName(failed)
