@@ -330,3 +330,23 @@ def test_damaged_files_become_error_rows(spark, tmp_path):
     assert {(r["source"], (r["path"] or "").split("/")[-1]) for r in errors.collect()} == {("hurt", cut.name), ("away", "")}
     assert not land_sources(spark, {n: folders[n] for n in ("good", "none")}, "id long, word string")[2]
     assert land_sources(spark, {"away": folders["away"]}, "id long, word string")[0].collect() == []
+
+
+def test_checks_of_a_build_see_what_is_wrong(spark, tmp_path):
+    from shelfmark.plans.index import build_checks
+    from shelfmark.sources.index_store import IndexStore
+
+    now = datetime(2025, 1, 1, tzinfo=timezone.utc)
+    store = IndexStore(spark, str(tmp_path / "index"))
+    store.build(_files(spark, "alpha beta", "gamma"), now)
+    assert {r["violations"] for r in store.checks(now).collect()} == {0} and store.checks(now).count() == 7
+    one = spark.createDataFrame([("a", 1), ("a", 1)], "version string, expires_at int")
+    two = spark.createDataFrame([("b", None), ("a", 2)], "version string, expires_at int")
+    found = {r["check_name"]: r["violations"] for r in build_checks({"one": one, "two": two}).collect()}
+    assert found == {"one_version": 1, "one_expires_at": 2}
+    # a posting whose entry is gone
+    stray = spark.createDataFrame([("word", "nothing", 3, 1.0, now)], "keyword string, hash string, relevance_score int, type_weight double, expires_at timestamp")
+    attempt, _ = store._attempt(store.pointer()[1])
+    stray.write.mode("append").parquet(store._path("postings", attempt) + "/bucket=0")
+    found = {r["check_name"]: r["violations"] for r in store.checks(now).collect()}
+    assert found["posting_without_entry"] == 1 and found["bad_hash"] == 0
