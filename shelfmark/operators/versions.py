@@ -41,6 +41,18 @@ def version_history(versions: DataFrame, wanted: DataFrame | None = None) -> Dat
     return ranked
 
 
+def history_errors(wanted: DataFrame, versions: DataFrame) -> DataFrame:
+    """``category, name, code, message`` of wanted templates without any version: an error row each, however often it is asked for.
+
+    A null category or name is no template, and an error as well.
+    """
+    asked, there = wanted.select(*KEY).distinct(), versions.select(*KEY).distinct()
+    named = F.concat_ws("/", F.coalesce("category", F.lit("")), F.coalesce("name", F.lit("")))
+    return asked.join(there, KEY, "left_anti").select(
+        *KEY, F.lit(NOT_FOUND).alias("code"), F.concat(F.lit("Template not found: "), named).alias("message")
+    )
+
+
 def current_versions(versions: DataFrame) -> DataFrame:
     """The newest version of every template."""
     return first_wins(versions, KEY, _newest_first())

@@ -204,3 +204,14 @@ def test_large_cuts_are_salted(spark):
     plain = df.withColumn("_rank", F.row_number().over(Window.partitionBy("k").orderBy("t", "id"))).where(F.col("_rank") <= k)
     assert top_k(df, ["k"], ["t", "id"], k).exceptAll(plain).count() == 0
     assert top_k(df, ["k"], ["t", "id"], k).count() == plain.count()
+
+
+def test_unknown_templates_of_a_history_are_error_rows(spark):
+    from shelfmark.operators.versions import history_errors
+
+    versions = spark.createDataFrame([("a", "x"), ("a", "x"), (None, "n")], "category string, name string")
+    wanted = spark.createDataFrame([("a", "x"), ("a", "y"), ("a", "y"), (None, "n"), ("b", None)], "category string, name string")
+    found = {tuple(r) for r in history_errors(wanted, versions).collect()}
+    code = "TEMPLATE_NOT_FOUND"
+    assert found == {("a", "y", code, "Template not found: a/y"), (None, "n", code, "Template not found: /n"), ("b", None, code, "Template not found: b/")}
+    assert history_errors(wanted.where("false"), versions).collect() == []

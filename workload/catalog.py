@@ -253,6 +253,18 @@ cte(
 )
 
 
+@query(
+    "version_history_errors",
+    """SELECT DISTINCT category, name || '-absent' AS name, 'TEMPLATE_NOT_FOUND' AS code, 'Template not found: ' || category || '/' || name || '-absent' AS message
+       FROM object_versions""",
+)
+def _(t):
+    """Every template asked for twice, once by a name that is not there."""
+    versions = A.object_versions(t)
+    absent = versions.select("category", F.concat("name", F.lit("-absent")).alias("name"))
+    return VE.history_errors(versions.select("category", "name").unionByName(absent), versions)
+
+
 @query(
     "version_history",
     """SELECT category, name, version_id, version, modified_s, size, CAST(position AS BIGINT) AS position,
