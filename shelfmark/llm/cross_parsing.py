@@ -153,20 +153,22 @@ def build(samples: dict[str, bytes]) -> Model:
 def fit(docs: DataFrame, learnable=None) -> Model:
     """Automata over a bounded sample of the rows with a language outside the held-out fold.
 
-    Of every language about ``PER_LANGUAGE`` whole texts of ``MIN_BYTES`` to ``MAX_BYTES`` bytes are looked at, those with the
-    smallest hash of their id, and the first ``SYMBOLS`` symbols of their sequence are kept.
+    Of every language about ``PER_LANGUAGE`` texts of ``MIN_BYTES`` to ``MAX_BYTES`` bytes are looked at, those with the
+    smallest hash of their id and text; a language that has no such text is learned from its shorter texts and the beginnings of
+    its longer ones.  Repeated rows count once.  The first ``SYMBOLS`` symbols of a language's sequence are kept.
     """
     learnable = fold(F.col("doc_id"), 4) != 2 if learnable is None else learnable
-    rows = docs.select("doc_id", "text", "lang").where(
-        learnable & F.col("lang").isNotNull() & F.octet_length("text").between(MIN_BYTES, MAX_BYTES)
-    ).withColumn("mark", F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a language
-    samples = {}
-    below = F.lit(False)
+    rows = docs.select("doc_id", "text", "lang").where(learnable & F.col("lang").isNotNull() & (F.octet_length("text") > 0))
+    usual = F.octet_length("text").between(MIN_BYTES, MAX_BYTES)
+    mark = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30))
+    sizes = rows.groupBy("lang").agg(F.count_if(usual).alias("usual"), F.count(F.lit(1)).alias("n")).collect()  # a row a language
+    samples, below = {}, F.lit(False)
     for r in sizes:
-        below = below | ((F.col("lang") == r["lang"]) & (F.col("mark") <= int((1 << 30) * min(1.0, PER_LANGUAGE / r["n"]))))
-    chosen = rows.where(below).select("lang", "mark", "doc_id", "text").collect() if sizes else []
-    for r in sorted(chosen, key=lambda r: (r["lang"], r["mark"], r["doc_id"] is None, r["doc_id"] or 0, r["text"])):
+        bound = int((1 << 30) * min(1.0, PER_LANGUAGE / (r["usual"] or r["n"])))
+        below = below | ((F.col("lang") == r["lang"]) & (usual if r["usual"] else F.lit(True)) & (mark <= bound))
+    # copies of one row meet in partial aggregates, so a hot row is one
+    chosen = rows.where(below).groupBy("lang", mark.alias("mark")).agg(F.min(F.substring("text", 1, MAX_BYTES)).alias("text"))
+    for r in sorted(chosen.collect() if sizes else [], key=lambda r: (r["lang"], r["mark"])):
         samples[r["lang"]] = samples.get(r["lang"], b"") + r["text"].lower().encode() + b"\n"
     return build(samples)
 

@@ -52,6 +52,18 @@ def test_language_of_held_out_texts(tables):
     assert np.mean([r["lang"] == r["lang_pred"] for r in rows]) > 0.9
 
 
+def test_languages_of_long_or_short_texts_and_hot_rows_are_learned(spark):
+    rnd = random.Random(5)
+    letters = {"aa": "abcdefg", "bb": "hijklmn", "cc": "opqrstu"}
+    text = lambda lang, n: " ".join("".join(rnd.choice(letters[lang]) for _ in range(5)) for _ in range(n))
+    rows = [(k, text("aa", 40), "aa") for k in range(60)] + [(100 + k, text("bb", 1500), "bb") for k in range(20)]
+    rows += [(200 + k, text("cc", 4), "cc") for k in range(60)] + [(None, text("aa", 30), "aa")] * 400
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    found = cross_parsing.identify(docs).join(docs.select("doc_id", "lang").distinct(), "doc_id").collect()
+    assert np.mean([r["lang"] == r["lang_pred"] for r in found]) > 0.95
+    assert {r["lang_pred"] for r in found} == set(letters)
+
+
 def test_language_of_odd_rows(odd_docs, no_docs):
     rows = cross_parsing.identify(odd_docs).collect()
     assert len(rows) == odd_docs.count()
