@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from shelfmark.llm.base import stored
 from shelfmark.llm.token_pieces import CAPACITY, pieces
+from shelfmark.llm.word_parts import REMEMBERED
 
 #: Pieces packed together by one task.
 GROUP = 10_000
@@ -181,11 +182,11 @@ def pack_pieces(rows: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return first.where(F.col("fill") == capacity).unionByName(second).drop("fill")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, remembered: int = REMEMBERED) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset for every piece of every document.
 
     A null text counts as empty and is the end id alone; null and repeated ids are ordinary rows; an empty table gives none.
     Offsets are gapless from 0 in every sequence.
     """
-    return pack_pieces(stored(pieces(docs, tokenizer, capacity), "pieces"), capacity)
+    return pack_pieces(stored(pieces(docs, tokenizer, capacity, remembered=remembered), "pieces"), capacity)
 

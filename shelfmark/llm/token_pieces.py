@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfmark.llm.base import slices
-from shelfmark.llm.word_parts import Memory, cuts_at_white_space, distinct_words, library_tokenizer, word_parts
+from shelfmark.llm.word_parts import REMEMBERED, Memory, cuts_at_white_space, distinct_words, library_tokenizer, word_parts
 
 CAPACITY = 4096
 END = 1
@@ -22,10 +22,10 @@ END = 1
 class TextTokenizer:
     """Ids of whole texts: word by word, each distinct word encoded once, where the tokenizer's file proves that to be the same."""
 
-    def __init__(self, path: str):
-        self.parts = word_parts(path) if cuts_at_white_space(path) else None
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.parts = word_parts(path, remembered) if cuts_at_white_space(path) else None
         self.whole = library_tokenizer(path) if self.parts is None else None
-        self.known = Memory()
+        self.known = Memory(remembered)
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of every text."""
@@ -56,22 +56,26 @@ class TextTokenizer:
 
 
 @cache
-def text_tokenizer(path: str) -> TextTokenizer:
+def text_tokenizer(path: str, remembered: int = REMEMBERED) -> TextTokenizer:
     """One for each Python worker, which serves many tasks."""
-    return TextTokenizer(path)
+    return TextTokenizer(path, remembered)
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False) -> DataFrame:
+def pieces(
+    docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end: int = END, with_ids: bool = False, remembered: int = REMEMBERED
+) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 (and with ``with_ids`` ids, little-endian 32-bit) of every document's pieces.
 
     A document is its ids and one ``end`` id; a null text counts as empty, so it is the ``end`` id alone.  Only documents
-    longer than ``capacity`` are cut, into full pieces and a rest; no id is lost.  Rows are encoded where they are.
+    longer than ``capacity`` are cut, into full pieces and a rest; no id is lost.  Rows are encoded where they are; a worker
+    remembers the ids of ``remembered`` words, which costs it some 200 bytes each.
     """
     names = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
     last = array("I", [end]).tobytes()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = text_tokenizer(tokenizer)
+        pa.default_memory_pool().release_unused()  # what earlier stages have left in this worker
+        words = text_tokenizer(tokenizer, remembered)
         for batch in slices(batches, 1000):
             rows = []
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]

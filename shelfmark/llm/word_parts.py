@@ -122,14 +122,14 @@ class WordParts:
     PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
     CUT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\\sa-z0-9ß-öø-ÿ]+").findall
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
         self.tokenizer = library_tokenizer(path)
         self.model = self.tokenizer.model
         printable = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         others = [b for b in range(256) if b not in printable]
         #: byte-level models read each byte as a printable character
         self.letters = {b: chr(256 + k) for k, b in enumerate(others)}
-        self.known = Memory()
+        self.known = Memory(remembered)
 
     def _part(self, part: str) -> bytes:
         read = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
@@ -159,6 +159,6 @@ class WordParts:
 
 
 @cache
-def word_parts(path: str) -> WordParts:
+def word_parts(path: str, remembered: int = REMEMBERED) -> WordParts:
     """One for each Python worker, which serves many tasks."""
-    return WordParts(path)
+    return WordParts(path, remembered)
