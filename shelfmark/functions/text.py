@@ -147,8 +147,8 @@ def weighted_score(in_title: Column, in_excerpt: Column, in_keywords: Column, we
     return round_half_up(base * weight)
 
 
-#: Words up to which each is looked up in a text by itself.
-_FEW = 24
+#: Words up to which each is looked up in a text by itself; pieces of a text that are made at once.
+_FEW, _PIECES = 24, 100_000
 
 
 def words_within(words: Column, text: Column) -> Column:
@@ -173,9 +173,13 @@ def words_within(words: Column, text: Column) -> Column:
 
     of_letters = F.filter(rest, lambda w: w.rlike("^[a-z0-9-]+$"))
     lengths = F.array_distinct(F.transform(of_letters, F.length))
-    inside = F.flatten(F.transform(lengths, lambda n: F.array_intersect(of_letters, pieces(n))))
+    # all pieces at once where they are few, as of a title; else those of one length after the other
+    few = F.length(text) * F.size(lengths) <= _PIECES
+    inside = F.when(few, F.array_intersect(of_letters, F.flatten(F.transform(lengths, pieces)))).otherwise(
+        F.flatten(F.transform(lengths, lambda n: F.array_intersect(of_letters, pieces(n))))
+    )
     within = F.when(F.size(rest) <= _FEW, one_by_one(rest)).otherwise(
-        F.concat(inside, one_by_one(F.filter(rest, lambda w: ~w.rlike("^[a-z0-9-]+$"))))
+        F.concat(inside, one_by_one(F.array_except(rest, of_letters)))
     )
     return F.concat(whole, F.when(F.size(rest) > 0, within).otherwise(F.array().cast("array<string>")))
 
