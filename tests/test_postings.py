@@ -44,3 +44,8 @@ def test_no_body_leaves_the_row_of_its_entry(spark):
     above, _, _ = plan.partition("Generate")
     assert "content" not in above and "body" not in above and "scored" in plan
     assert "Generate explode(scored" in plan
+
+
+def test_each_text_is_cut_into_tokens_once(spark):
+    plan = postings(_entry(spark, "t", "b", ["a"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 2 and "split(" not in plan

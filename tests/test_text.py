@@ -123,3 +123,8 @@ def test_html(one):
     assert one("no body", site.inject_footer) == "no body"
     links = """<a href="x/README.md">1</a><a href='y.md#z'>2</a><a href="k.md?x">3</a>"""
     assert one(links, site.rewrite_links) == """<a href="x/index.html">1</a><a href='y.html#z'>2</a><a href="k.md?x">3</a>"""
+
+
+def test_sections_are_cut_once(spark):
+    plan = markdown_sections(_files(spark, "# A\nx\n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
