@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,6 +14,14 @@ DEFAULT_CHUNK_BYTES = 40_000
 _UNIT = 1 << 31
 
 
+def _held(data: Column, use: Callable[[Column], Column]) -> Column:
+    """What ``use`` makes of a text's bytes, which it gets as a lambda's variable.
+
+    Inside a lambda, a column of bytes is copied whole each time it is named; a variable is not.
+    """
+    return F.get(F.transform(F.array(data), use), F.lit(0))
+
+
 def _inside_character(data: Column, at: Column) -> Column:
     """Whether the byte at a place goes on with a character of UTF-8."""
     return F.hex(F.substring(data, at + 1, 1)).between("80", "BF")
@@ -62,14 +72,17 @@ def chunk_content(
         raise ValueError("max_bytes must hold at least one character (4 bytes)")
     whole = F.coalesce(F.col(text), F.lit(""))
     data = documents.select(F.col(key), F.encode(whole, "UTF-8").alias("data"))
-    spans = F.when(F.length("data") <= max_bytes, F.array(F.length("data").cast("bigint"))).otherwise(chunk_spans(F.col("data"), max_bytes))
+    spans = F.when(F.length("data") <= max_bytes, F.array(F.length("data").cast("bigint"))).otherwise(
+        _held(F.col("data"), lambda held: chunk_spans(held, max_bytes))
+    )
     cut = data.select(key, "data", spans.alias("spans"))
 
-    def piece(span: Column) -> Column:
+    def piece(held: Column, span: Column) -> Column:
         start = F.floor(span / F.lit(_UNIT)).cast("int")
-        return F.decode(F.substring(F.col("data"), start + 1, F.pmod(span, F.lit(_UNIT)).cast("int") - start), "UTF-8")
+        return F.decode(F.substring(held, start + 1, F.pmod(span, F.lit(_UNIT)).cast("int") - start), "UTF-8")
 
-    chunks = cut.select(key, F.transform("spans", piece).alias("chunks"))
+    pieces = _held(F.col("data"), lambda held: F.transform("spans", lambda span: piece(held, span)))
+    chunks = cut.select(key, pieces.alias("chunks"))
     return chunks.select(
         key, F.size("chunks").alias("total_chunks"), F.posexplode("chunks").alias("chunk_index", "chunk")
     ).select(key, "chunk_index", "total_chunks", "chunk")

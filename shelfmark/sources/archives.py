@@ -11,6 +11,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Characters of text from which on a task hands out the rows it has read.
+FRAME_CHARACTERS = 1 << 22
+
 
 def _members(data: bytes) -> Iterator[tuple[int, str, str]]:
     """Position, path below the root folder, and text of every readable file of an archive."""
@@ -25,24 +28,38 @@ def _members(data: bytes) -> Iterator[tuple[int, str, str]]:
                 continue  # a damaged member leaves the others readable
 
 
+_COLUMNS = ["archive", "file_ord", "path", "content", "error"]
+
+
+def _frame(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame(rows, columns=_COLUMNS).astype({"file_ord": "Int64"})
+
+
+def _read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """A frame costs more than a small archive, so archives share one until it holds ``FRAME_CHARACTERS``."""
+    for batch in batches:
+        rows, size = [], 0
+        for name, data in zip(batch["archive"], batch["data"]):
+            try:
+                found = [(name, *member, None) for member in _members(bytes(data))]
+            except zipfile.BadZipFile as error:
+                found = [(name, None, None, None, str(error))]
+            rows += found
+            size += sum(len(row[3] or "") for row in found)
+            if size >= FRAME_CHARACTERS:
+                yield _frame(rows)
+                rows, size = [], 0
+        if rows:
+            yield _frame(rows)
+
+
 def unzip(archives: DataFrame) -> DataFrame:
     """``archive, data`` (binary) to ``archive, file_ord, path, content, error``.
 
-    Archives are spread over tasks one by one; an unreadable archive gives one row with ``error``.
+    An unreadable archive gives one row with ``error``.
     """
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        columns = ["archive", "file_ord", "path", "content", "error"]
-        for batch in batches:
-            for name, data in zip(batch["archive"], batch["data"]):
-                try:
-                    rows = [(name, *member, None) for member in _members(bytes(data))]
-                except zipfile.BadZipFile as error:
-                    rows = [(name, None, None, None, str(error))]
-                yield pd.DataFrame(rows, columns=columns).astype({"file_ord": "Int64"})
-
     schema = "archive string, file_ord bigint, path string, content string, error string"
-    return archives.select("archive", "data").mapInPandas(read, schema)
+    return archives.select("archive", "data").mapInPandas(_read, schema)
 
 
 def read_archives(spark: SparkSession, path: str, glob: str = "*.zip") -> DataFrame:

@@ -1,12 +1,17 @@
+import io
 import random
 import time
+import zipfile
 
+import pandas as pd
 import pytest
+import yaml
 from pyspark.sql import functions as F
 
 from shelfmark.operators.chunks import chunk_content
 from shelfmark.operators.code import code_entries, code_items, extract_errors, jsdoc_items, python_items, template_items
 from shelfmark.operators.yaml_documents import load_template
+from shelfmark.sources import archives
 
 
 def test_python_function():
@@ -119,3 +124,40 @@ def test_a_large_file_without_a_brace_takes_seconds():
     started = time.perf_counter()
     assert list(jsdoc_items(text)) == []
     assert time.perf_counter() - started < 20
+
+
+def test_quoted_scalars_are_taken_in_runs(monkeypatch):
+    seen = []
+    peek = yaml.reader.Reader.peek
+    monkeypatch.setattr(yaml.reader.Reader, "peek", lambda self, index=0: (seen.append(1), peek(self, index))[1])
+    words = "word and word " * 5000
+    assert load_template(f'Description: "{words}"') == {"Description": words}
+    assert len(seen) < 1000  # not once for each character
+
+
+def test_quoted_scalars_read_as_the_plain_loader_reads_them():
+    inner = ["a  b", " a b ", "a \tb", "a\n b\n\n c", "a \r\n b", "it''s", "a\\\n  b", "x\\u0041 \\\"q\\\" y", "a\ufeff b", "a # b: c", ""]
+    for quote in "'\"":
+        for text in inner:
+            document = f"k: {quote}{text}{quote}"
+            try:
+                expected = yaml.safe_load(document)
+            except yaml.YAMLError:
+                expected = None
+            assert load_template(document) == expected, document
+
+
+def test_the_bytes_of_a_text_are_not_copied_by_each_step(spark):
+    rows = spark.createDataFrame([(1, "x" * 50)], "id int, text string")
+    plan = chunk_content(rows, "id", "text", 10)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("transform(array(data") == 2  # spans and pieces get the bytes as a variable
+
+
+def test_small_archives_share_a_frame():
+    buffer = io.BytesIO()
+    with zipfile.ZipFile(buffer, "w") as archive:
+        archive.writestr("root/a.md", "text")
+    batch = pd.DataFrame({"archive": [str(k) for k in range(50)], "data": [buffer.getvalue() if k % 9 else b"none" for k in range(50)]})
+    frames = list(archives._read([batch]))
+    assert len(frames) == 1 and len(frames[0]) == 50
+    assert frames[0]["error"].notna().sum() == 6 and set(frames[0]["content"].dropna()) == {"text"}
