@@ -128,3 +128,10 @@ def test_html(one):
 def test_sections_are_cut_once(spark):
     plan = markdown_sections(_files(spark, "# A\nx\n"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") == 1
+
+
+def test_in_line_is_all_but_the_line_ends(one):
+    every = "".join(chr(c) for c in [*range(0x3000), 0xFEFF, 0xFFFF, 0x10000, 0x10FFFF])
+    kept = one(every, lambda s: F.array_join(F.regexp_extract_all(s, F.lit(f"[{text.IN_LINE}]+"), F.lit(0)), ""))
+    assert kept == one(every, lambda s: F.regexp_replace(s, f"[{text.LINE_ENDS}]", ""))
+    assert set(every) - set(kept) == set("\n\r\u2028\u2029")
