@@ -10,7 +10,6 @@ overwrites its own output and nothing else.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -30,7 +29,8 @@ class RateLimitStream:
     """Writes verdicts below ``{root}/verdicts`` and counts below ``{root}/counts`` (open windows) and ``{root}/closed``.
 
     A count is in one of the two.  Closed counts are kept, in few folders; a batch reads those of the windows from its oldest request
-    on.  Of the open counts the last three batches' are there: a batch needs those before it, and may be run again.
+    on.  Of the open counts the last three batches' are there, and those before them below ``{root}/before``: a batch needs those before
+    it, and each of the three may be run again.
     """
 
     def __init__(self, root: str, limit: int | None = None, window_minutes: int | None = None, compact_after: int | None = None):
@@ -38,14 +38,16 @@ class RateLimitStream:
         self.limit = limit
         self.window_minutes = window_minutes
         self.counts = BatchFolders(f"{root}/counts", _summed)
+        self.before = BatchFolders(f"{root}/before", _summed)
         self.closed = BatchFolders(f"{root}/closed", _summed, compact_after)
 
     def _previous_counts(self, spark: SparkSession, batch_id: int) -> DataFrame:
         if batch_id > 0:
-            try:
-                return spark.read.schema(COUNTS_SCHEMA).parquet(f"{self.counts.root}/batch={batch_id - 1}")
-            except AnalysisException as error:
-                raise RuntimeError(f"counts of batch {batch_id - 1} are missing") from error
+            name = f"batch={batch_id - 1}"
+            held = next((f for f in (self.counts, self.before) if name in f.folders(spark)), None)
+            if held is None:
+                raise RuntimeError(f"counts of batch {batch_id - 1} are missing")
+            return spark.read.schema(COUNTS_SCHEMA).parquet(f"{held.root}/{name}")
         return spark.createDataFrame([], COUNTS_SCHEMA)
 
     def _closed_counts(self, spark: SparkSession, batch_id: int, oldest: int | None) -> DataFrame:
@@ -57,6 +59,14 @@ class RateLimitStream:
             raise RuntimeError(f"closed counts before batch {batch_id} are missing")
         return closed.where(F.col("reset_ms") >= oldest)
 
+    def _set_aside(self, spark: SparkSession, batch_id: int) -> None:
+        """Leave the counts of a batch to the one after it only; complete there before they are dropped here."""
+        name = f"batch={batch_id}"
+        if batch_id >= 0 and name in self.counts.folders(spark):
+            spark.read.schema(COUNTS_SCHEMA).parquet(f"{self.counts.root}/{name}").write.mode("overwrite").parquet(f"{self.before.root}/{name}")
+            self.counts.drop(spark, [name])
+            self.before.drop(spark, [f"batch={batch_id - 1}"] if batch_id else [])
+
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         still_open = self._previous_counts(spark, batch_id)
@@ -77,7 +87,7 @@ class RateLimitStream:
         is_open = newest.isNull() | F.coalesce(F.col("reset_ms") + STATE_GRACE_MS > newest, F.lit(False))
         self.closed.write(counts.where(~is_open), batch_id)
         counts.where(is_open).write.mode("overwrite").parquet(f"{self.counts.root}/batch={batch_id}")
-        self.counts.drop(spark, [f"batch={batch_id - 3}"] if batch_id >= 3 else [])
+        self._set_aside(spark, batch_id - 3)
 
     def start(self, requests: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
         writer = requests.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
