@@ -1,7 +1,7 @@
 """Benchmark passages in documents by latent semantic retrieval.
 
-A distributed randomised singular value decomposition of a bounded sample of passages and the benchmark's items, with TF-IDF
-weights whose document frequencies cover all documents, gives a latent space.  Passages sized like an item, at every word of the
+A distributed randomised singular value decomposition of the passages of all documents and of the benchmark's items, with TF-IDF
+weights whose document frequencies cover all documents too, gives a latent space.  Passages sized like an item, at every word of the
 benchmark's vocabulary, are candidates of the item where their cosine with it in that space is ``COSINE`` or more.  A candidate
 counts as a leak if the longest common subsequence of words covers most of the item, or a good part of it together with the
 item's answer, that is its last sentence.
@@ -38,8 +38,8 @@ COSINE = 0.4
 OVERLAP, OVERLAP_WITH_ANSWER, ANSWER = 0.75, 0.6, 0.8
 #: A candidate holds at least one in so many of an item's words from among the rarest; words looked up at once in items.
 LOOKED_UP, PAIRS = 5, 1 << 20
-#: Items looked for in one pass; documents of the sample and their most bytes.
-ITEMS, SAMPLE, SAMPLE_BYTES = 1000, 800, 8192
+#: Items looked for in one pass; pairs of words up to which the products of all passages are summed once, not in each step.
+ITEMS, CELLS = 1000, 1 << 24
 
 _BREAKS = bytes(b if 97 <= b <= 122 or 48 <= b <= 57 or b >= 128 else 32 for b in range(256))
 
@@ -262,34 +262,84 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple
     return int(out[-1]), out[:-1]
 
 
+def _weighted(texts: list[str | None], vocabulary: dict[bytes, int], squared: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The passages of texts as a sparse matrix: passage, term (both ascending) and weight, rows of length one."""
+    get, terms, owners = vocabulary.get, [], []
+    passages = 0
+    for words in map(words_of, texts):
+        count = max(1, -(-(len(words) - PASSAGE + STRIDE) // STRIDE))
+        term = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
+        at = np.flatnonzero(term >= 0)
+        for back in range(PASSAGE // STRIDE):  # a word is in that many passages
+            owner = at // STRIDE - back
+            held = (owner >= 0) & (owner < count)
+            owners.append(owner[held] + passages)
+            terms.append(term[at[held]])
+        passages += count
+    size = max(1, len(vocabulary))
+    codes = np.concatenate(owners) * size + np.concatenate(terms) if owners else np.empty(0, np.int64)
+    places, counts = np.unique(codes, return_counts=True)
+    owner, term = places // size, places % size
+    weight = np.sqrt(counts * squared[term])
+    return owner, term, weight / np.sqrt(np.bincount(owner, weight * weight))[owner]
+
+
+def _partial(terms: np.ndarray, rows: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    """The sums of a task, a row of them for each term, in batches of some megabytes."""
+    group: list[tuple[int, bytes]] = []
+    held = 0
+    for term, row in zip(terms.tolist(), rows, strict=True):
+        group.append((term, row.astype(np.float32).tobytes()))
+        held += len(group[-1][1])
+        if held > 1 << 22:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*group, strict=True)], names=["term", "part"])
+            group, held = [], 0
+    if group:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*group, strict=True)], names=["term", "part"])
+
+
+def _summed(parts: DataFrame) -> DataFrame:
+    """One row for each term: the sum of its rows in all tasks."""
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for term, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                row = np.frombuffer(part.as_buffer(), np.float32)
+                sums[term] = sums[term] + row if term in sums else row.astype(np.float64)
+        yield from _partial(np.array(list(sums), np.int64), iter(sums.values()))
+
+    return parts.repartition("term").mapInArrow(added, "term long, part binary")
+
+
 def latent_space(docs: DataFrame, items: DataFrame, vocabulary: dict[bytes, int], squared: np.ndarray) -> np.ndarray:
-    """Leading right singular vectors (columns) of the weighted passages of a bounded sample and of the items.
+    """Leading right singular vectors (columns) of the weighted passages of all documents and of the items.
 
-    A random block is multiplied by the passages and their transpose in tasks, which send one sum each, and made orthogonal on
-    the driver, ``POWER`` times; the passages themselves stay in the tasks.
+    A random block is multiplied by the passages and their transpose in tasks, whose sums are added by term, and made orthogonal
+    on the driver, ``POWER`` times; the passages themselves stay in the tasks.  Of a vocabulary with at most ``CELLS`` pairs of words
+    the passages' transpose times the passages is summed once and stored, and each step multiplies by it; with more, each step
+    reads all texts, as no task could hold the pairs.
     """
     spark, size = docs.sparkSession, len(vocabulary)
     width = min(size, DIMS + EXTRA)
-    total = docs.count()
-    share = min(1.0, SAMPLE / max(1, total))
-    chosen = docs.select("doc_id", "text").where(F.octet_length("text").between(1, SAMPLE_BYTES)).where(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) <= int(share * (1 << 30))
-    )
-    shared = spark.sparkContext.broadcast(vocabulary)
-
-    def passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 500):
-            rows = []
-            for text in batch.column(1):
-                words = words_of(text.as_py())
-                for at in range(0, max(1, len(words) - PASSAGE + STRIDE), STRIDE):
-                    terms = [k for w in words[at : at + PASSAGE] if (k := shared.value.get(w)) is not None]
-                    if terms:
-                        rows.append(terms)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.int32()))], names=["terms"])
-
-    both = chosen.unionByName(items.select(F.col("item_id").alias("doc_id"), "text"))
-    rows = stored(both.mapInArrow(passages, "terms array<int>").coalesce(4), "sample_passages")
+    texts = docs.select("text").unionByName(items.select("text"))
+    shared = spark.sparkContext.broadcast((vocabulary, squared))
+    #: where the row of a term begins in the upper triangle, less the term
+    row_of = np.arange(size) * size - np.arange(size) * (np.arange(size) + 1) // 2
+
+    def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(size * (size + 1) // 2, np.float32)
+        for batch in slices(batches, 200):
+            owner, term, weight = _weighted(batch.column(0).to_pylist(), *shared.value)
+            weight, row = weight.astype(np.float32), row_of[term]
+            for apart in range(min(PASSAGE, len(term))):
+                first = np.flatnonzero(owner[: len(owner) - apart] == owner[apart:])
+                np.add.at(sums, row[first] + term[first + apart], weight[first] * weight[first + apart])
+        held = np.flatnonzero(sums[row_of + np.arange(size)])
+        yield from _partial(held, (sums[row_of[t] + t : row_of[t] + size] for t in held.tolist()))
+
+    few = size * (size + 1) // 2 <= CELLS
+    products = stored(_summed(texts.mapInArrow(squares, "term long, part binary")), "products").coalesce(4) if few else None
 
     def step(block: np.ndarray) -> np.ndarray:
         given = spark.sparkContext.broadcast(block)
@@ -297,17 +347,32 @@ def latent_space(docs: DataFrame, items: DataFrame, vocabulary: dict[bytes, int]
         def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             x, out = given.value, np.zeros(given.value.shape, np.float64)
             for batch in batches:
-                for terms in batch.column(0).to_pylist():
-                    at, count = np.unique(terms, return_counts=True)
-                    weight = np.sqrt(count * squared[at])
-                    weight /= np.linalg.norm(weight)
-                    out[at] += np.outer(weight, weight @ x[at])
-            yield pa.RecordBatch.from_arrays([pa.array([out.astype(np.float32).tobytes()], pa.binary())], names=["part"])
-
-        parts = rows.mapInArrow(multiplied, "part binary").toLocalIterator()  # one for each of at most four tasks
-        done = sum((np.frombuffer(r["part"], np.float32).astype(np.float64) for r in parts), np.zeros(block.size))
+                for term, part in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                    row = np.frombuffer(part.as_buffer(), np.float32).astype(np.float64)
+                    at = np.flatnonzero(row)
+                    out[term] += row[at] @ x[term + at]
+                    at = at[at > 0]
+                    out[term + at] += np.outer(row[at], x[term])
+            held = np.flatnonzero(out.any(axis=1))
+            yield from _partial(held, iter(out[held]))
+
+        def read_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            x, out = given.value, np.zeros(given.value.shape, np.float64)
+            for batch in slices(batches, 200):
+                owner, term, weight = _weighted(batch.column(0).to_pylist(), *shared.value)
+                borders = np.flatnonzero(np.diff(owner, prepend=-1, append=-1))
+                for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True):
+                    out[term[a:b]] += np.outer(weight[a:b], weight[a:b] @ x[term[a:b]])
+            held = np.flatnonzero(out.any(axis=1))
+            yield from _partial(held, iter(out[held]))
+
+        parts = (products.mapInArrow(multiplied, "term long, part binary") if few
+                 else texts.mapInArrow(read_again, "term long, part binary"))
+        done = np.zeros(block.shape)
+        for r in _summed(parts).toLocalIterator():
+            done[r["term"]] = np.frombuffer(r["part"], np.float32)
         given.unpersist()
-        return done.reshape(block.shape)
+        return done
 
     block = np.linalg.qr(np.random.default_rng(11).standard_normal((size, width)))[0]
     for _ in range(POWER):

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 from shelfmark.llm import latent_decontam
@@ -181,3 +182,30 @@ def test_stages_on_empty_and_odd_tables(odd_docs, no_docs, spark, tmp_path):
         for name, stage in corpus_pipeline.STAGES:
             columns, docs = docs.columns, corpus_pipeline.stored(stage(spark, docs, str(tmp_path)), f"odd_{name}")
             assert name == "packing" or docs.columns == columns
+
+
+@pytest.mark.parametrize("cells", [0, 1 << 24])
+def test_the_space_is_fitted_on_all_passages_of_all_documents(spark, monkeypatch, cells):
+    """Long texts and very many short ones alike, whether the products are stored or the texts read in each step."""
+    for name, value in {"CELLS": cells, "DIMS": 6, "EXTRA": 20}.items():
+        monkeypatch.setattr(latent_decontam, name, value)
+    rnd = random.Random(5)
+    topics = [[f"t{k}w{j}" for j in range(12)] for k in range(8)]
+    long_texts = [" ".join(rnd.choice(topics[k]) if rnd.random() < 0.9 else f"o{j}" for j in range(4000)) for k in range(4)]
+    short = [" ".join(rnd.choice(topics[4 + k % 4]) for _ in range(rnd.randint(0, 90))) for k in range(1000)]
+    texts = [*long_texts, *short, None, "?!"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(topics)], "item_id long, text string")
+    vocabulary = {w.encode(): k for k, w in enumerate(sorted(w for t in topics for w in t))}
+    squared = np.linspace(0.5, 3, len(vocabulary))
+    product = np.zeros((len(vocabulary), len(vocabulary)))
+    for text in [*texts, *map(" ".join, topics)]:
+        words = latent_decontam.words_of(text)
+        for at in range(0, max(1, len(words) - 32 + 16), 16):
+            counts = np.bincount([vocabulary[w] for w in words[at : at + 32] if w in vocabulary], minlength=len(vocabulary))
+            row = np.sqrt(counts * squared)
+            if row.any():
+                product += np.outer(row, row) / (row @ row)
+    space = latent_decontam.latent_space(docs, items, vocabulary, squared).astype(float)
+    assert space.shape == (96, 6) and np.allclose(space.T @ space, np.eye(6), atol=1e-4)
+    assert np.trace(space.T @ product @ space) == pytest.approx(np.linalg.eigvalsh(product)[-6:].sum(), rel=1e-3)
