@@ -12,6 +12,7 @@ from shelfmark.operators import versions as V
 from shelfmark.operators.logs import metric_series
 from shelfmark.operators.rate_limit import rate_limited
 from shelfmark.operators.sections import markdown_entries
+from shelfmark.sources import index_store
 from shelfmark.sources.archives import read_archives, read_tree
 from shelfmark.sources.index_store import IndexStore
 from shelfmark.streaming.metrics import MetricStream
@@ -91,6 +92,29 @@ def test_index_versions(spark, tmp_path):
     assert store.read("entry_meta", late).count() == 0
 
 
+def test_a_build_makes_its_postings_once(spark, tmp_path, monkeypatch):
+    made, scored = spark.sparkContext.accumulator(0), index_store.postings
+
+    def counted(entries):
+        rows = scored(entries)
+
+        def seen(batches):
+            for batch in batches:
+                made.add(batch.num_rows)
+                yield batch
+
+        return rows.mapInArrow(seen, rows.schema)
+
+    monkeypatch.setattr(index_store, "postings", counted)
+    texts = [("o", "r", 0, k, f"{k}.md", f"# Title {k}\nfirst second third{k}") for k in range(50)]
+    files = spark.createDataFrame(texts, "owner string, repo string, src_ord int, file_ord bigint, path string, content string")
+    store = IndexStore(spark, str(tmp_path / "index"))
+    store.build(files, datetime(2025, 7, 14, tzinfo=timezone.utc))
+    rows = store.read("postings", datetime(2025, 7, 14, tzinfo=timezone.utc)).count()
+    assert rows > 100 and made.value == rows
+    assert not any((tmp_path / "index" / "scored").iterdir())
+
+
 def test_stream_of_batches_equals_batch(spark, tmp_path):
     schema = "client string, ts timestamp, request_id bigint"
     requests = spark.range(400).select(
