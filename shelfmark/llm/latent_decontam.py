@@ -21,6 +21,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, replace
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -111,14 +112,17 @@ class Model:
         terms = [t for w in words if (t := self.vocabulary.get(w)) is not None]
         return min(1.0, float(self.vector(terms) @ self.latent[number]) / math.sqrt(self.squared[terms].sum()))
 
-    def near(self, number: int, words: list[bytes], first: int, last: int, least: float) -> list[list[int]]:
+    def terms(self, words: list[bytes]) -> np.ndarray:
+        """The term of every word, one more than the last where it has none."""
+        return np.fromiter(map(self.vocabulary.get, words, repeat(len(self.vocabulary))), np.int64, len(words))
+
+    def near(self, number: int, terms: np.ndarray, first: int, last: int, least: float) -> list[list[int]]:
         """The parts of a document between two words that passages with a cosine of ``least`` or more with an item cover."""
-        get = self.vocabulary.get
-        known = [(k, t) for k in range(first, last) if (t := get(words[k])) is not None]
-        if not known:
+        place = first + np.flatnonzero(terms[first:last] < len(self.vocabulary))
+        if not len(place):
             return []
-        place, term = np.array(known).T
-        sums = np.zeros((len(known) + 1, self.space.shape[1]), np.float32)
+        term = terms[place]
+        sums = np.zeros((len(place) + 1, self.space.shape[1]), np.float32)
         np.cumsum(self.space[term] * np.sqrt(self.squared[term])[:, None].astype(np.float32), axis=0, out=sums[1:])
         reach, item = int(self.stretch[number]), self.latent[number]
         ends = np.searchsorted(place, place + reach)
@@ -132,14 +136,12 @@ class Model:
                 parts.append([at, min(last, at + reach)])
         return parts
 
-    def possible(self, words: list[bytes]) -> dict[int, list[list[int]]]:
-        """By an item's place, the parts of a document (first word, end) outside which no stretch can be a leak of it."""
-        get, other = self.vocabulary.get, len(self.vocabulary)
-        at = np.fromiter((get(w, other) for w in words), np.int64, len(words))
+    def possible(self, at: np.ndarray) -> dict[int, list[list[int]]]:
+        """By an item's place, the parts of a document of these terms (first word, end) outside which no stretch can be a leak."""
         low, n = self.first[at], self.first[at + 1] - self.first[at]
         pairs, longest = np.cumsum(n), int(self.stretch.max())
         found: dict[int, list[list[int]]] = {}
-        start, size = 0, len(words)
+        start, size = 0, len(at)
         while start < size and pairs[-1]:
             # so many words at once that what is looked up stays bounded; stretches across the border are seen after it
             end = max(start + 2 * longest, int(np.searchsorted(pairs, pairs[start] + PAIRS)))
@@ -166,11 +168,14 @@ class Model:
 
     def matches(self, words: list[bytes], prepared: list[tuple[dict, dict, dict]], cosine: float) -> list[dict]:
         """The leaks of a document, the best stretch of each item."""
-        out = []
-        for number, parts in sorted(self.possible(words).items()):
-            best = None
+        out, terms = [], self.terms(words)
+        for number, parts in sorted(self.possible(terms).items()):
+            best, most = None, prepared[number][2]
             for whole in parts:
-                for first, last in self.near(number, words, *whole, cosine) if cosine > -1 else [whole]:
+                shared = Counter(w for w in words[slice(*whole)] if w in most)
+                if sum(min(n, most[w]) for w, n in shared.items()) < self.needed[number]:  # no stretch of it can hold enough
+                    continue
+                for first, last in self.near(number, terms, *whole, cosine) if cosine > -1 else [whole]:
                     best = self._best(number, words, first, last, prepared[number], best)
             if best is not None:
                 overlap, answer, at, end = best
@@ -245,12 +250,14 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, n = shared.value, 0
-        found = np.zeros(len(known) + 1, np.int64)
+        counts: Counter[bytes] = Counter()
         for batch in slices(batches, 1000):
             for text in batch.column(0):
                 n += 1
-                for word in known.keys() & set(words_of(text.as_py())):
-                    found[known[word]] += 1
+                counts.update(known.keys() & set(words_of(text.as_py())))
+        found = np.zeros(len(known) + 1, np.int64)
+        for word, count in counts.items():
+            found[known[word]] = count
         found[-1] = n
         at = np.flatnonzero(found)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(found[at])], names=["term", "n"])
@@ -264,20 +271,20 @@ def document_frequencies(docs: DataFrame, vocabulary: dict[bytes, int]) -> tuple
 
 def _weighted(texts: list[str | None], vocabulary: dict[bytes, int], squared: np.ndarray) -> tuple[np.ndarray, ...]:
     """The passages of texts as a sparse matrix: passage, term (both ascending) and weight, rows of length one."""
-    get, terms, owners = vocabulary.get, [], []
-    passages = 0
-    for words in map(words_of, texts):
-        count = max(1, -(-(len(words) - PASSAGE + STRIDE) // STRIDE))
-        term = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
-        at = np.flatnonzero(term >= 0)
-        for back in range(PASSAGE // STRIDE):  # a word is in that many passages
-            owner = at // STRIDE - back
-            held = (owner >= 0) & (owner < count)
-            owners.append(owner[held] + passages)
-            terms.append(term[at[held]])
-        passages += count
-    size = max(1, len(vocabulary))
-    codes = np.concatenate(owners) * size + np.concatenate(terms) if owners else np.empty(0, np.int64)
+    words = [words_of(text) for text in texts]
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    counts = np.maximum(1, -(-(sizes - PASSAGE + STRIDE) // STRIDE))
+    term = np.fromiter(map(vocabulary.get, chain.from_iterable(words), repeat(-1)), np.int64, int(sizes.sum()))
+    known = np.flatnonzero(term >= 0)
+    text = np.repeat(np.arange(len(words)), sizes)[known]
+    term, step = term[known], (known - (np.cumsum(sizes) - sizes)[text]) // STRIDE
+    counts, base = counts[text], (np.cumsum(counts) - counts)[text]
+    size, codes = max(1, len(vocabulary)), []
+    for back in range(PASSAGE // STRIDE):  # a word is in that many passages
+        owner = step - back
+        held = (owner >= 0) & (owner < counts)
+        codes.append((owner + base)[held] * size + term[held])
+    codes = np.concatenate(codes)
     places, counts = np.unique(codes, return_counts=True)
     owner, term = places // size, places % size
     weight = np.sqrt(counts * squared[term])

@@ -54,6 +54,23 @@ def test_exact_passages_and_paraphrases(tables, spark):
     assert len({d for d, _ in found if d < 10_000} - {d for d, _ in exact}) <= 1
 
 
+def test_parts_with_too_few_words_have_no_cosine(monkeypatch):
+    """No latent vector is made where the words of a part cannot make a leak; where they can, the leak is found."""
+    words = latent_decontam.words_of("a b c d e f g h i j")
+    vocabulary = {w: k for k, w in enumerate(words)}
+    space = np.eye(len(words), dtype=np.float32)
+    known = latent_decontam.Words(vocabulary, np.ones(len(words), np.int64), np.ones(len(words)), space)
+    model = latent_decontam.model_of(known, [(1, "a b c d e f g h i j")])
+    item = model.items[0]
+    prepared = [(latent_decontam.masks_of(words), latent_decontam.masks_of(list(item.answer)), latent_decontam.Counter(words))]
+    calls, near = [], latent_decontam.Model.near
+    monkeypatch.setattr(latent_decontam.Model, "near", lambda *args: calls.append(args[1:]) or near(*args))
+    few = latent_decontam.words_of("z a b a b a b a b a b z")  # ten places, but two words
+    assert model.possible(model.terms(few)) and model.matches(few, prepared, latent_decontam.COSINE) == [] and not calls
+    enough = latent_decontam.words_of("z a b c d e q f g h i j z")
+    assert [m["item_id"] for m in model.matches(enough, prepared, latent_decontam.COSINE)] == [1] and len(calls) == 1
+
+
 def leaks_by_force(words, item):
     """Length of the best leak of an item, comparing the stretch at every word."""
     size, found = len(item.words), 0
