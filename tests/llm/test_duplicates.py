@@ -225,6 +225,38 @@ def test_units_near_a_common_one(spark, monkeypatch):
     assert found_groups(df) == want and any(len(g) > 6 for g in want)
 
 
+def test_units_of_few_words(spark):
+    """Texts in which runs of words repeat, so that similar units may differ in their inner words."""
+    rnd, docs = random.Random(12), []
+    for _ in range(60):
+        base = [rnd.choice("abc") for _ in range(rnd.choice([20, 20, 21, 26]))]
+        for _ in range(5):
+            own = list(base)
+            for _ in range(rnd.randint(0, 2)):
+                own[rnd.randrange(len(own))] = rnd.choice("abcd")
+            docs.append((len(docs), " ".join(own)))
+    cut = [list(x) for c in paragraph_minhash._units(*text_bytes(pa.array([t for _, t in docs])), False) for x in [c[-1]]]
+    cores = np.concatenate(cut)
+    assert (cores == 0).any() and (cores != 0).any()
+    want = slow_groups(docs)
+    assert found_groups(spark.createDataFrame(docs, "doc_id long, text string").coalesce(2)) == want and len(want) > 40
+
+
+def test_common_words_alone_share_no_band(spark):
+    """Texts that have five words in common, which are an anchor in all of them, and nothing else."""
+    rnd = random.Random(13)
+    least = min((f"k{k}" for k in range(3000)), key=lambda w: paragraph_minhash._Cut(
+        *text_bytes(pa.array([f"{w} " * 7 + f"{w} b c d e" + " x" * 8]))).key.view(np.uint64)[0])
+    own = lambda n: " ".join(f"w{rnd.randrange(10**9)}" for _ in range(n))
+    texts = [f"{own(7)} {least} b c d e {own(8)}" for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0]])), "doc_id long, text string").coalesce(2)
+    assert paragraph_minhash.units(docs).select("key").distinct().count() == 1
+    assert paragraph_minhash.shared_bands(docs).count() == 1
+    assert found_groups(docs) == [[(0, 0), (300, 0)]]
+    # so many units are similar by less than 14/18 that five common words must do
+    assert paragraph_minhash.shared_bands(docs, 0.7).count() == 1 and not paragraph_minhash._by_core(0.7)
+
+
 def test_changed_passages_are_found(spark):
     """Passages of 100 words of which one copy has a word changed, inside long lines."""
     rnd, docs = random.Random(6), []
