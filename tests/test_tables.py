@@ -215,3 +215,25 @@ def test_unknown_templates_of_a_history_are_error_rows(spark):
     code = "TEMPLATE_NOT_FOUND"
     assert found == {("a", "y", code, "Template not found: a/y"), (None, "n", code, "Template not found: /n"), ("b", None, code, "Template not found: b/")}
     assert history_errors(wanted.where("false"), versions).collect() == []
+
+
+def test_a_search_makes_the_postings_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            made.add(len(batch))
+            yield batch
+
+    postings = spark.range(300).select(
+        F.lit("key").alias("keyword"), F.concat(F.lit("h"), F.col("id") % 100).alias("hash"), F.lit(3).alias("relevance_score")
+    )
+    postings = postings.mapInPandas(counted, postings.schema)
+    meta = spark.range(100).select(
+        F.concat(F.lit("h"), "id").alias("hash"), F.lit("t").alias("title"), F.lit("").alias("excerpt"), F.lit("p").alias("content_path"),
+        F.lit("a").alias("type"), F.lit("").alias("sub_type"), F.lit("r").alias("repository"), F.lit("o").alias("owner"),
+    )
+    queries = spark.createDataFrame([(1, "key"), (2, "key other")], "query_id int, text string")
+    found = ranked_search(queries, postings, meta, limit=5).collect()
+    assert len(found) == 10 and {(r["relevance_score"], r["total_results"]) for r in found} == {(9, 100)}
+    assert made.value == 300
