@@ -49,3 +49,20 @@ def test_no_body_leaves_the_row_of_its_entry(spark):
 def test_each_text_is_cut_into_tokens_once(spark):
     plan = postings(_entry(spark, "t", "b", ["a"]))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") == 2 and "split(" not in plan
+
+
+def test_strays_are_counted_before_they_meet_the_entries(spark):
+    from shelfmark.functions.text import path_hash
+    from shelfmark.plans.index import consistency_checks
+
+    schema = "content_path string, content string, excerpt string, keywords array<string>"
+    entries = spark.createDataFrame([("a", "text", "text", ["w"])], schema).withColumn("hash", path_hash(F.col("content_path")))
+    rows = spark.createDataFrame([("w", None), ("w", "gone"), ("v", "gone"), ("x", "lost")], "keyword string, hash string")
+    made = entries.select(F.lit("w").alias("keyword"), "hash").unionByName(rows)
+    checks = consistency_checks(entries, made)
+    assert {r["check_name"]: r["violations"] for r in checks.collect()}["posting_without_entry"] == 4
+    sound = consistency_checks(entries, made.where("hash NOT IN ('gone', 'lost')"))
+    assert {r["violations"] for r in sound.collect()} == {0}
+    plan = checks._jdf.queryExecution().optimizedPlan().toString()
+    below = plan.partition("LeftAnti")[2]
+    assert "Aggregate [hash" in below.partition("\n")[2].partition("Join")[0]
