@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -51,6 +52,19 @@ def test_each_text_is_cut_into_tokens_once(spark):
     assert plan.count("regexp_extract_all(") == 2 and "split(" not in plan
 
 
+def test_words_of_title_body_both_and_neither(spark):
+    words = ["Alpha", "beta", "gamma", "delta", "lph", "mm", "nowhere", "not here"]
+    found = {r["keyword"]: r["relevance_score"] for r in postings(_entry(spark, "Alpha beta", "beta gamma", words)).collect()}
+    assert found == _scores("Alpha beta", "beta gamma", words)
+    assert found == {"alpha": 13, "beta": 18, "gamma": 8, "delta": 3, "lph": 13, "mm": 8, "nowhere": 3, "not here": 3}
+
+
+def test_tokens_of_a_body_are_put_into_one_set(spark):
+    plan = postings(_entry(spark, "t", "b", ["a"]))._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"array_intersect\(words#\d+, body_tokens", plan)
+    assert not re.search(r"array_except\(\w+#\d+, (body|title)_tokens", plan)
+
+
 def test_strays_are_counted_before_they_meet_the_entries(spark):
     from shelfmark.functions.text import path_hash
     from shelfmark.plans.index import consistency_checks
