@@ -12,11 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfmark.llm.base import slices
+from shelfmark.llm.base import release_memory, sized_slices
 from shelfmark.llm.word_parts import REMEMBERED, Memory, cuts_at_white_space, distinct_words, library_tokenizer, word_parts
 
 CAPACITY = 4096
 END = 1
+#: Bytes of text that are encoded together; what is made of them takes some thirty times as much.
+BATCH = 1 << 20
 
 
 class TextTokenizer:
@@ -74,9 +76,9 @@ def pieces(
     last = array("I", [end]).tobytes()
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.default_memory_pool().release_unused()  # what earlier stages have left in this worker
+        release_memory()
         words = text_tokenizer(tokenizer, remembered)
-        for batch in slices(batches, 1000):
+        for batch in sized_slices(batches, 1, BATCH):
             rows = []
             texts = [t or b"" for t in batch.column(1).cast(pa.binary()).to_pylist()]
             for doc_id, ids in zip(batch.column(0).to_pylist(), words.encode(texts), strict=True):

@@ -155,3 +155,38 @@ def test_matrices_unpack_to_the_documents(path, odd_docs, no_docs, tmp_path):
     assert token_packing.packed_matrices(no_docs, path).collect() == []
     token_packing.write_matrices(odd_docs, str(tmp_path / "m"), path, 512)
     assert odd_docs.sparkSession.read.parquet(str(tmp_path / "m")).count() == packed.count()
+
+
+def test_texts_are_encoded_in_slices_of_bytes(spark, tmp_path, monkeypatch):
+    import pyarrow as pa
+
+    from shelfmark.llm.base import sized_slices
+
+    texts = ["ab" * 30, None, "", "c" * 500, "dd", "é" * 45, "f" * 99, "g" * 101]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(8)), pa.array(texts)], names=["doc_id", "text"])
+    for given in ([batch], [batch.slice(1, 6), batch.slice(7)], [batch.slice(0, 0)]):
+        cut = list(sized_slices(iter(given), 1, 100))
+        assert [r for b in cut for r in b.to_pylist()] == [r for b in given for r in b.to_pylist()]
+        for b in cut:
+            assert b.num_rows == 1 or sum(len((t or "").encode()) for t in b.column(1).to_pylist()) <= 100
+
+
+def test_memory_of_earlier_stages_goes_back_to_the_system():
+    import gc
+    import sys
+
+    import numpy as np
+    import pytest
+
+    from shelfmark.llm.base import release_memory
+
+    if not sys.platform.startswith("linux"):
+        pytest.skip("reads /proc")
+    resident = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096  # noqa: E731, SIM115
+    held = [np.ones(8000) for _ in range(4000)]  # 256 MB in pieces that the C library keeps when they are freed
+    last = held[::200]
+    del held
+    gc.collect()
+    before = resident()
+    release_memory()
+    assert resident() < before - (64 << 20) and len(last) == 20
