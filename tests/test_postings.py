@@ -80,3 +80,44 @@ def test_strays_are_counted_before_they_meet_the_entries(spark):
     plan = checks._jdf.queryExecution().optimizedPlan().toString()
     below = plan.partition("LeftAnti")[2]
     assert "Aggregate [hash" in below.partition("\n")[2].partition("Join")[0]
+
+
+def test_first_entries_of_a_stored_table_are_marked_by_bits(spark):
+    from shelfmark.operators.postings import first_rows, rows_marked, stored_unique_entries, unique_entries
+    from shelfmark.session import stored
+
+    rows = spark.range(70_000).select(
+        F.when(F.col("id") % 1000 > 0, F.sha2((F.col("id") % 40_009).cast("string"), 256)).alias("hash"),
+        (F.col("id") % 3).cast("int").alias("src_ord"), F.lit("r").alias("repository"),
+        F.when(F.col("id") % 7 > 0, 70_000 - F.col("id")).alias("file_ord"), F.col("id").cast("int").alias("sec_ord"), F.lit("body").alias("content"),
+    )
+    wanted = sorted(r["sec_ord"] for r in unique_entries(rows).collect())
+    for files in (1, 3):  # more rows than a part of a bitmap has
+        found = stored_unique_entries(rows.coalesce(files))
+        assert sorted(r["sec_ord"] for r in found.collect()) == wanted and found.columns == rows.columns
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" in plan and "Exchange hashpartitioning" not in plan
+    empty = stored(rows.limit(0), "entries")
+    assert rows_marked(empty, first_rows(empty)).collect() == []
+
+
+def test_shuffle_files_go_when_a_table_is_stored(spark):
+    import time
+
+    from shelfmark.session import stored
+
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {found.apply(k).getName() for k in range(found.size()) if "shuffle" in found.apply(k).getName()}
+
+    before, setting = files(), spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled")
+    kept = spark.range(10_000).repartition(5, "id")
+    assert kept.count() == 10_000
+    own = files() - before
+    table = stored(spark.range(10_000).repartition(7, "id"), "numbers")
+    for _ in range(50):
+        if not files() - before - own:
+            break
+        time.sleep(0.2)
+    assert not files() - before - own and table.count() == 10_000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == setting
