@@ -374,3 +374,27 @@ def test_checks_of_a_build_see_what_is_wrong(spark, tmp_path):
     stray.write.mode("append").parquet(store._path("postings", attempt) + "/bucket=0")
     found = {r["check_name"]: r["violations"] for r in store.checks(now).collect()}
     assert found["posting_without_entry"] == 1 and found["bad_hash"] == 0
+
+
+def test_postings_name_their_entry_by_a_number_in_the_order_of_hashes(spark, tmp_path, monkeypatch):
+    from shelfmark.sources import index_store
+    from shelfmark.sources.index_store import IndexStore, entry_number
+
+    now = datetime(2025, 1, 1, tzinfo=timezone.utc)
+    store = IndexStore(spark, str(tmp_path / "index"))
+    store.build(_files(spark, *[f"alpha beta{k}" for k in range(40)]), now)
+    attempt, _ = store._attempt(store.pointer()[1])
+    laid_out = spark.read.parquet(store._path("postings", attempt))
+    assert "entry" in laid_out.columns and "hash" not in laid_out.columns
+    # what is read has the hashes of the entries again
+    meta = store.read("entry_meta", now)
+    wanted = {(w, r["hash"]) for r in meta.collect() for w in r["keywords"]}
+    assert {(r["keyword"], r["hash"]) for r in store.read("postings", now).collect()} == wanted
+    hashes = spark.createDataFrame([(x * 16 + "0" * 48,) for x in "0789af"] + [("f" * 15 + "e" + "0" * 48,)], "hash string")
+    numbers = hashes.select("hash", entry_number(hashes["hash"]).alias("n")).collect()
+    assert [r["hash"] for r in sorted(numbers, key=lambda r: r["n"])] == sorted(r["hash"] for r in numbers)
+    # steps that later ones do not read are dropped
+    assert not any((tmp_path / "index" / "code_items").iterdir()) and not (tmp_path / "index" / "entries").exists()
+    monkeypatch.setattr(index_store, "entry_number", lambda hash_: (F.crc32(hash_) % 3).cast("bigint"))
+    with pytest.raises(RuntimeError, match="64 bits"):
+        store.build(_files(spark, *["alpha"] * 9), now)
